@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
@@ -52,17 +52,10 @@ def micro_batches(df: DataFrame, size: int = S.BATCH_SIZE) -> DataFrame:
 
 
 def with_item_number(batched: DataFrame) -> DataFrame:
-    """1-based number of each non-blank row within its batch; null for blank rows.
-
-    A batch has at most ``size`` rows, so its positions fit in one small array.
-    """
-    filled = F.filter("_filled", lambda pos: pos.isNotNull())
-    positions = batched.groupBy("batch_id").agg(
-        F.collect_list(F.when(~is_blank(F.col("clean_text")), F.col("pos"))).alias("_filled")
-    )
-    joined = batched.join(positions.withColumn("_filled", F.array_sort(filled)), "batch_id")
-    place = F.array_position("_filled", F.col("pos"))
-    return joined.withColumn("item", F.nullif(place, F.lit(0).cast("bigint")).cast("int")).drop("_filled")
+    """1-based number of each non-blank row within its batch; null for blank rows."""
+    filled = ~is_blank(F.col("clean_text"))
+    upto = Window.partitionBy("batch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return batched.withColumn("item", F.when(filled, F.count_if(filled).over(upto).cast("int")))
 
 
 def build_batch_prompts(batched: DataFrame, chars: int = S.BATCH_TEXT_CHARS) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.session import scratch_path
 
+CSV = {"escape": '"', "emptyValue": "", "lineSep": "\n", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
 COLUMN_DDL = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in S.FEEDBACK)
 
 
@@ -85,14 +86,11 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     One part file per task, or a single file on request for small results.
     """
     out = df.coalesce(1) if single_file else df
-    out.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
-        "emptyValue", ""
-    ).csv(path)
+    out.write.options(header=True, quoteAll=True, **CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV).csv(path)
 
 
 def write_raw_csv(rows: DataFrame, path: str) -> None:
