@@ -6,7 +6,7 @@ from importlib import import_module
 
 from voxledger.catalog.registry import Registry, registry
 
-MODULES = ("backlog", "metrics", "incidents")
+MODULES = ("backlog", "metrics", "incidents", "text", "labels", "sources", "streams")
 
 
 def load() -> Registry:

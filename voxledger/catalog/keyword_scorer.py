@@ -1,0 +1,28 @@
+"""An offline stand-in for a labelling model: first keyword group found decides."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from voxledger.session import ship_by_value
+
+ship_by_value(__name__)
+
+KEYWORDS = (
+    (("crash", "errand", "freez"), ("Bug", "Negative", 5)),
+    (("late ", "tionti", "bad"), ("Complaint", "Negative", 4)),
+    (("add ", "wish", "mentqu"), ("Feature Request", "Neutral", 2)),
+    (("love", "great", "heit"), ("Praise", "Positive", 1)),
+)
+ITEM = re.compile(r'^\d+\. "(.*)"$', re.MULTILINE)
+
+
+def keyword_scorer(prompt: str) -> str:
+    labels = []
+    for text in ITEM.findall(prompt):
+        seen = text.lower()
+        found = (label for words, label in KEYWORDS if any(word in seen for word in words))
+        category, sentiment, urgency = next(found, ("Spam", "Neutral", 1))
+        labels.append({"category": category, "sentiment": sentiment, "urgency_score": urgency})
+    return "```json\n" + json.dumps(labels) + "\n```"

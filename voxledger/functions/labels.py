@@ -6,6 +6,8 @@ still known: ``4.7`` and ``"4.7"`` are different urgencies.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,11 +33,15 @@ def fallback_label() -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _payload(answer: Column, outermost: str) -> Column:
     text = strip(F.regexp_replace(strip(answer), FENCE_OPEN, ""))
     text = strip(F.regexp_replace(text, FENCE_CLOSE, ""))
-    found = F.regexp_extract(text, outermost, 0)
-    return F.when(found != "", found).otherwise(text)
+    return _let(text, lambda t: F.coalesce(F.nullif(F.regexp_extract(t, outermost, 0), F.lit("")), t))
 
 
 def _parse_one(text: Column) -> Column:
@@ -46,19 +52,18 @@ def _parse_one(text: Column) -> Column:
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return _let(items, lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0))))
 
 
 def parse_object(answer: Column) -> Column:
     """The outermost object of an answer as a variant; null when it does not parse."""
-    value = _parse_one(_payload(answer, OUTER_OBJECT))
-    return F.when(_is_object(value), value)
+    return _let(_parse_one(_payload(answer, OUTER_OBJECT)), lambda value: F.when(_is_object(value), value))
 
 
 def parse_array(answer: Column) -> Column:
     """The outermost array of an answer as ``array<variant>``; null when it does not parse."""
     value = _parse_one(_payload(answer, OUTER_ARRAY))
-    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def _is_object(value: Column) -> Column:
@@ -80,7 +85,13 @@ def is_unusable(value: Column) -> Column:
 
 
 def _urgency(value: Column) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(value, "$.urgency_score", "variant"))
+    return _let(
+        F.schema_of_variant(F.try_variant_get(value, "$.urgency_score", "variant")),
+        lambda kind: _urgency_of_kind(value, kind),
+    )
+
+
+def _urgency_of_kind(value: Column, kind: Column) -> Column:
     text = F.try_variant_get(value, "$.urgency_score", "string")
     number = F.when(
         kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
@@ -107,13 +118,19 @@ def validate(value: Column) -> Column:
 
 def labels_from_object(answer: Column) -> Column:
     """Labels for a one-row answer; the fallback when anything is wrong with it."""
-    value = parse_object(answer)
-    usable = F.coalesce(~is_unusable(value), F.lit(False))
-    return F.when(usable, validate(value)).otherwise(fallback_label())
+
+    def labels(value: Column) -> Column:
+        usable = F.coalesce(~is_unusable(value), F.lit(False))
+        return F.when(usable, validate(value)).otherwise(fallback_label())
+
+    return _let(parse_object(answer), labels)
 
 
 def labels_from_array(answer: Column) -> Column:
     """Labels for a batch answer as an array, or null when the batch as a whole failed."""
-    items = parse_array(answer)
-    usable = F.coalesce(~F.exists(items, is_unusable), F.lit(False))
-    return F.when(usable, F.transform(items, validate))
+
+    def labels(items: Column) -> Column:
+        usable = F.coalesce(~F.exists(items, is_unusable), F.lit(False))
+        return F.when(usable, F.transform(items, validate))
+
+    return _let(parse_array(answer), labels)
