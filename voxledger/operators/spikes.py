@@ -4,16 +4,18 @@ The rule is a greedy scan per category: at a row, count the rows of the next
 ``w`` minutes (both ends included); with ``threshold`` or more, that is a
 window and the scan continues behind it, otherwise it moves to the next row.
 
-A scan per category would run as two tasks. Here the work is cut by time:
+A scan per category runs as two tasks, which is right for a few million rows
+and only then. Beyond that the work is cut by time:
 
 * Equal timestamps are counted first, with partial aggregation, so a burst in
   a single instant is one row.
 * Rows are compared inside cells of ``w / 3600``. A cell holds at most
   ``threshold`` rows per microsecond, whatever the size of the burst, and the
   few rows it needs from later cells are handed over explicitly.
+* Instants at which no window can start are dropped before any are gathered.
 * The chain of windows is followed per block of time for every position at
-  which it could enter the block, the per-block results are composed along a
-  tree, and once the entry of each block is known all blocks are replayed.
+  which it could enter the block, the per-block results are composed, and
+  once the entry of each block is known all blocks are replayed.
 """
 
 from __future__ import annotations
@@ -28,17 +30,21 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.functions.numeric import from_micros, micros
 from voxledger.operators.filters import filter_incident_categories
-from voxledger.session import ship_by_value
+from voxledger.session import counts_at_most, materialize, ship_by_value
 
 ship_by_value(__name__)
 
 CELLS_PER_WINDOW = 3600
+SLOTS_PER_WINDOW = 12
+# Up to this many counted rows the times of a category are handled by one task.
+GATHER_ROWS = 4_000_000
 WINDOWS_PER_BLOCK = 24
 BLOCKS_PER_SPAN = 30
 BEFORE_ALL = -(2**62)
 
 MAP_TYPE = "category string, block bigint, entry bigint, leave bigint"
 ENTRY_TYPE = "category string, block bigint, reached bigint"
+RANGE_TYPE = "category string, low bigint, high bigint"
 START_TYPE = "category string, start_us bigint"
 
 
@@ -71,12 +77,12 @@ def qualifying_times(times: DataFrame, threshold: int, window_us: int) -> DataFr
     heads = rows.withColumn("r", F.row_number().over(in_cell)).filter(F.col("r") <= ahead).drop("r")
 
     # The same hand-over one level up: a slot of one window length sees the first heads of the next.
-    slotted = heads.withColumn("slot", time_slot(F.col("us"), window_us)).withColumn("own", F.lit(True))
     in_slot = Window.partitionBy("category", "slot").orderBy("us")
-    first = slotted.withColumn("r", F.row_number().over(in_slot)).filter(F.col("r") <= ahead).drop("r")
-    lent = first.withColumn("slot", F.col("slot") - 1).withColumn("own", F.lit(False))
+    placed = heads.withColumn("slot", time_slot(F.col("us"), window_us)).withColumn("r", F.row_number().over(in_slot))
+    own = F.struct(F.col("slot").alias("slot"), F.lit(True).alias("own"))
+    lent = F.when(F.col("r") <= ahead, F.struct((F.col("slot") - 1).alias("slot"), F.lit(False).alias("own")))
     following = (
-        slotted.unionByName(lent)
+        placed.select("category", "cell", "us", F.inline(F.array_compact(F.array(own, lent))))
         .withColumn("next_cell", F.lead("cell").over(in_slot))
         .withColumn("later", F.collect_list("us").over(in_slot.rowsBetween(1, ahead)))
         .filter(F.col("own") & (F.col("next_cell") > F.col("cell")))
@@ -95,12 +101,12 @@ def qualifying_times(times: DataFrame, threshold: int, window_us: int) -> DataFr
 
 
 def reachable_times(qualifying: DataFrame, window_us: int) -> DataFrame:
-    """Drop instants that no chain can stop at.
+    """Drop instants that no chain can stop at; keeps the ``cell`` they lie in.
 
     A chain stops at ``q`` only if some window ends after the qualifying
     instant before ``q`` and before ``q``. Instants that open a cell are kept
-    without asking. What is left in a very dense slot is no more than the
-    instants one window earlier, plus one per cell.
+    without asking. What is left in a burst is no more than the instants one
+    window earlier, plus one per cell.
     """
     cell_us = max(1, window_us // CELLS_PER_WINDOW)
     stop = F.struct(F.col("us").alias("us"), F.lit(0).alias("is_end"))
@@ -111,8 +117,75 @@ def reachable_times(qualifying: DataFrame, window_us: int) -> DataFrame:
     return (
         both.withColumn("after_end", F.lag("is_end").over(order))
         .filter((F.col("is_end") == 0) & (F.coalesce("after_end", F.lit(1)) == 1))
-        .select("category", "us")
+        .select("category", "cell", "us")
+    )
+
+
+def corridor(times: DataFrame, window_us: int) -> DataFrame:
+    """Stretches of time that contain every window start, as disjoint (``low``, ``high``).
+
+    Each slot of a twelfth of the window is summarised by its first and last
+    instant and its widest gap. Following the chain on the summaries alone
+    gives bounds for every start: one step adds at most one gap of
+    uncertainty, and any pause longer than the uncertainty removes it. Where
+    instants are dense the gaps are small and few instants remain; where they
+    are sparse there is little to drop. The summaries per category are as many
+    as the slots in the time span, however many rows there are.
+    """
+    in_cell = Window.partitionBy("category", "cell").orderBy("us")
+    cells = (
+        times.withColumn("gap", F.col("us") - F.lag("us").over(in_cell))
+        .groupBy("category", "cell")
+        .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max("gap").alias("gap"))
+        .withColumn("slot", time_slot(F.col("first"), max(1, window_us // SLOTS_PER_WINDOW)))
+    )
+    in_slot = Window.partitionBy("category", "slot").orderBy("cell")
+    slots = (
+        cells.withColumn("between", F.col("first") - F.lag("last").over(in_slot))
+        .groupBy("category", "slot")
+        .agg(
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            F.coalesce(F.greatest(F.max("gap"), F.max("between")), F.lit(0).cast("bigint")).alias("gap"),
+        )
     )
+    return slots.groupBy("category").applyInPandas(_track(window_us), RANGE_TYPE)
+
+
+def within(times: DataFrame, ranges: DataFrame, window_us: int) -> DataFrame:
+    """Instants inside the (disjoint) ranges, matched slot by slot."""
+    slot_us = max(1, window_us // SLOTS_PER_WINDOW)
+    slots = F.sequence(time_slot(F.col("low"), slot_us), time_slot(F.col("high"), slot_us))
+    pieces = ranges.select("category", "low", "high", F.explode(slots).alias("slot"))
+    slotted = times.select("category", "us", time_slot(F.col("us"), slot_us).alias("slot"))
+    joined = slotted.join(pieces, ["category", "slot"])
+    return joined.filter((F.col("us") >= F.col("low")) & (F.col("us") <= F.col("high"))).select("category", "us")
+
+
+def _track(window_us: int):
+    def run(key: tuple, slots: pd.DataFrame) -> pd.DataFrame:
+        slots = slots.sort_values("slot")
+        first, last, gap = (slots[name].to_numpy() for name in ("first", "last", "gap"))
+        ranges: list[list[int]] = []
+        low = high = BEFORE_ALL
+        while (a := int(np.searchsorted(last, low, side="right"))) < len(last):
+            b = int(np.searchsorted(last, high, side="right"))
+            earliest = max(low + 1, int(first[a]))
+            if b == len(last):
+                latest = int(last[-1])
+            elif high < first[b]:
+                latest = int(first[b])
+            else:
+                latest = int(min(high + gap[b], last[b]))
+            if ranges and earliest <= ranges[-1][1] + 1:
+                ranges[-1][1] = max(ranges[-1][1], latest)
+            else:
+                ranges.append([earliest, latest])
+            low, high = earliest + window_us, latest + window_us
+        bounds = np.array(ranges, dtype=np.int64).reshape(-1, 2)
+        return pd.DataFrame({"category": key[0], "low": bounds[:, 0], "high": bounds[:, 1]})
+
+    return run
 
 
 def _enter(entries: np.ndarray, leaves: np.ndarray, reached: np.ndarray, window_us: int) -> np.ndarray:
@@ -129,6 +202,12 @@ def _entry_count(times: np.ndarray, block_start: int, window_us: int) -> int:
     return min(len(times), int(np.searchsorted(times, block_start + window_us, side="left")) + 1)
 
 
+def _as_map(category: str, block: int, entries: np.ndarray, leaves: np.ndarray) -> pd.DataFrame:
+    """Map rows. Leading times with the same outcome need only their last one."""
+    ends_run = np.append(leaves[1:] != leaves[:-1], True)
+    return pd.DataFrame({"category": category, "block": block, "entry": entries[ends_run], "leave": leaves[ends_run]})
+
+
 def _by_block(maps: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     maps = maps.sort_values(["block", "entry"])
     for block, part in maps.groupby("block", sort=True):
@@ -148,9 +227,7 @@ def _block_map(window_us: int, block_us: int):
                 break
             last = further
         count = _entry_count(times, int(block) * block_us, window_us)
-        return pd.DataFrame(
-            {"category": category, "block": block, "entry": times[:count], "leave": times[last[:count]]}
-        )
+        return _as_map(category, block, times[:count], times[last[:count]])
 
     return run
 
@@ -164,7 +241,7 @@ def _compose(window_us: int, span_us: int):
         reached = entries - 1
         for _, entry, leave in blocks:
             reached = _enter(entry, leave, reached, window_us)
-        return pd.DataFrame({"category": category, "block": span, "entry": entries, "leave": reached - window_us})
+        return _as_map(category, span, entries, reached - window_us)
 
     return run
 
@@ -193,21 +270,46 @@ def _fold_span(window_us: int):
     return run
 
 
+def _walk(times: np.ndarray, reached: int, window_us: int) -> np.ndarray:
+    """Starts behind ``reached`` among sorted qualifying times."""
+    starts = []
+    at = int(np.searchsorted(times, reached, side="right"))
+    while at < len(times):
+        starts.append(times[at])
+        at = int(np.searchsorted(times, times[at] + window_us, side="right"))
+    return np.array(starts, dtype=np.int64)
+
+
 def _replay(window_us: int):
     def run(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(rows["us"].to_numpy())
-        starts = []
-        at = int(np.searchsorted(times, entry["reached"].iloc[0], side="right"))
-        while at < len(times):
-            starts.append(times[at])
-            at = int(np.searchsorted(times, times[at] + window_us, side="right"))
-        return pd.DataFrame({"category": key[0], "start_us": np.array(starts, dtype=np.int64)})
+        starts = _walk(np.sort(rows["us"].to_numpy()), int(entry["reached"].iloc[0]), window_us)
+        return pd.DataFrame({"category": key[0], "start_us": starts})
+
+    return run
+
+
+def _walk_all(window_us: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        starts = _walk(np.sort(rows["us"].to_numpy()), BEFORE_ALL, window_us)
+        return pd.DataFrame({"category": key[0], "start_us": starts})
 
     return run
 
 
-def chain_starts(times: DataFrame, window_us: int) -> DataFrame:
-    """Window starts: the first instant, then always the next one behind the window."""
+def _scan(threshold: int, window_us: int):
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("us")
+        times = rows["us"].to_numpy()
+        upto = np.append(0, np.cumsum(rows["n"].to_numpy()))
+        inside = upto[np.searchsorted(times, times + window_us, side="right")] - upto[:-1]
+        starts = _walk(times[inside >= threshold], BEFORE_ALL, window_us)
+        return pd.DataFrame({"category": key[0], "start_us": starts})
+
+    return run
+
+
+def chain_by_blocks(times: DataFrame, window_us: int) -> DataFrame:
+    """Window starts among candidates, block by block."""
     block_us = window_us * WINDOWS_PER_BLOCK
     span_us = block_us * BLOCKS_PER_SPAN
     blocked = times.withColumn("block", time_slot(F.col("us"), block_us))
@@ -231,13 +333,29 @@ def chain_starts(times: DataFrame, window_us: int) -> DataFrame:
     )
 
 
+def window_starts(times: DataFrame, threshold: int, window_us: int, gather_rows: int = GATHER_ROWS) -> DataFrame:
+    """Window starts from counted instants (written, as they are read several times).
+
+    The row count decides the way: few instants are scanned by one task per
+    category; many are tested in cells, narrowed to candidates, and the chain
+    goes through one task per category or block by block, again by count.
+    """
+    if counts_at_most(times, gather_rows):
+        return times.groupBy("category").applyInPandas(_scan(threshold, window_us), START_TYPE)
+    reachable = reachable_times(qualifying_times(times, threshold, window_us), window_us)
+    candidates = materialize(within(reachable, corridor(reachable, window_us), window_us), "candidates")
+    if counts_at_most(candidates, gather_rows):
+        return candidates.groupBy("category").applyInPandas(_walk_all(window_us), START_TYPE)
+    return chain_by_blocks(candidates, window_us)
+
+
 def spike_windows(
     df: DataFrame,
     threshold: int = S.SPIKE_THRESHOLD,
     window_minutes: int = S.SPIKE_WINDOW_MINUTES,
+    gather_rows: int = GATHER_ROWS,
 ) -> DataFrame:
     """One row per detected window: ``category``, ``start_us``, ``window_start``."""
-    window_us = window_micros(window_minutes)
-    qualifying = qualifying_times(incident_times(df), int(threshold), window_us)
-    starts = chain_starts(reachable_times(qualifying, window_us), window_us)
+    times = materialize(incident_times(df), "times")
+    starts = window_starts(times, int(threshold), window_micros(window_minutes), gather_rows)
     return starts.withColumn("window_start", from_micros(F.col("start_us")))

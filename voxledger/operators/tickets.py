@@ -16,7 +16,7 @@ from voxledger.operators.filters import filter_incident_categories
 from voxledger.operators.metrics import baseline_rate
 from voxledger.operators.ordering import with_position
 from voxledger.operators.spikes import time_slot, window_micros
-from voxledger.session import BROADCAST_ROWS, fits_broadcast
+from voxledger.session import BROADCAST_ROWS, counts_at_most, materialize
 
 KEY = ["category", "start_us"]
 SAMPLES = 3
@@ -33,7 +33,7 @@ def window_members(
     shuffle join on slots of a sixtieth of the window, which spreads a burst.
     """
     window_us = window_micros(window_minutes)
-    small = fits_broadcast(windows, broadcast_rows)
+    small = counts_at_most(windows, broadcast_rows)
     slot_us = window_us if small else max(1, window_us // SHUFFLE_CELLS)
     first, last = (time_slot(us, slot_us) for us in (F.col("start_us"), F.col("start_us") + window_us))
     slots = windows.select(*KEY, F.explode(F.sequence(first, last)).alias("_slot"))
@@ -54,22 +54,34 @@ def ticket_sources(members: DataFrame) -> DataFrame:
     )
 
 
-def ticket_samples(members: DataFrame) -> DataFrame:
-    """The first rows of each ticket by time; ``n`` counts from 1."""
+def ticket_samples(df: DataFrame, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The first rows of each ticket by time; ``n`` counts from 1.
+
+    Which rows they are is decided on narrow columns, one task keeping at most
+    three per ticket before the shuffle. Only then are the texts read.
+    """
     by_time = Window.partitionBy(*KEY).orderBy("created_at", "id")
-    numbered = members.withColumn("n", F.row_number().over(by_time)).filter(F.col("n") <= SAMPLES)
-    return numbered.select(*KEY, "n", "id", "source", "clean_text")
+    numbered = members.select(*KEY, "created_at", "id").withColumn("n", F.row_number().over(by_time))
+    chosen = materialize(numbered.filter(F.col("n") <= SAMPLES).select(*KEY, "n", "id"), "samples")
+    side = F.broadcast(chosen) if counts_at_most(chosen, broadcast_rows) else chosen
+    return df.select("id", "source", "clean_text").join(side, "id").select(*KEY, "n", "id", "source", "clean_text")
 
 
-def number_tickets(tickets: DataFrame) -> DataFrame:
-    """Sequential ids over categories ascending, then time, beside the stable key."""
-    numbered = with_position(
-        tickets, "start_us", ["category"], [F.asc("category")], block_bits=40, group_bits=54, name="number"
-    )
-    return (
-        numbered.withColumn("number", F.col("number") + 1)
-        .withColumn("ticket_id", D.ticket_id(F.col("number")))
-        .withColumn("ticket_key", D.ticket_key(F.col("category"), F.col("start_us")))
+def number_tickets(tickets: DataFrame, windows: DataFrame, single_task_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Sequential ids over categories ascending, then time, beside the stable key.
+
+    ``tickets`` has one row per window; counted windows decide whether one
+    task may number them.
+    """
+    if counts_at_most(windows, single_task_rows):
+        numbered = tickets.withColumn("number", F.row_number().over(Window.orderBy(*KEY)).cast("bigint"))
+    else:
+        placed = with_position(
+            tickets, "start_us", ["category"], [F.asc("category")], block_bits=40, group_bits=54, name="number"
+        )
+        numbered = placed.withColumn("number", F.col("number") + 1)
+    return numbered.withColumn("ticket_id", D.ticket_id(F.col("number"))).withColumn(
+        "ticket_key", D.ticket_key(F.col("category"), F.col("start_us"))
     )
 
 
@@ -100,10 +112,10 @@ def spike_tickets(
     )
 
 
-def with_samples(tickets: DataFrame, members: DataFrame) -> DataFrame:
+def with_samples(tickets: DataFrame, df: DataFrame, members: DataFrame) -> DataFrame:
     """Attach up to three sample texts per ticket, alone and with their source."""
     gathered = (
-        ticket_samples(members)
+        ticket_samples(df, members)
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("n", "source", "clean_text"))).alias("s"))
         .select(

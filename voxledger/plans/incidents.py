@@ -21,9 +21,10 @@ def incident_tickets(
     df: DataFrame, threshold: int = S.SPIKE_THRESHOLD, window_minutes: int = S.SPIKE_WINDOW_MINUTES
 ) -> DataFrame:
     """Numbered tickets with sources and samples. ``df`` carries ``id`` and ``clean_text``."""
-    members = K.window_members(df, found_windows(df, threshold, window_minutes), window_minutes)
-    tickets = K.number_tickets(K.spike_tickets(df, members, window_minutes))
-    return K.with_samples(tickets, members)
+    windows = found_windows(df, threshold, window_minutes)
+    members = K.window_members(df, windows, window_minutes)
+    tickets = K.number_tickets(K.spike_tickets(df, members, window_minutes), windows)
+    return K.with_samples(tickets, df, members)
 
 
 def anomalies(

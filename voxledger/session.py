@@ -60,6 +60,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count a join side, stopping at ``max_rows + 1``. Call it on materialized data."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def counts_at_most(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame is small, by counting. Call it on materialized data."""
+    return df.count() <= max_rows

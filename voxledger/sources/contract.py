@@ -30,15 +30,13 @@ def first_nonempty_tier(tiers: Sequence[DataFrame], authoritative: DataFrame | N
     """Rows of the first tier that has any.
 
     An authoritative tier (a working authenticated feed) is the answer even
-    when it is empty. Each other tier is probed with a one-row limit.
+    when it is empty. Tiers are probed in order for a single row, so a tier
+    behind the first useful one is never read.
     """
     if authoritative is not None:
         return to_contract(authoritative)
-    frames = [to_contract(tier) for tier in tiers]
-    probes = [frame.limit(1).select(F.lit(i).alias("tier")) for i, frame in enumerate(frames)]
-    chosen = reduce(DataFrame.unionByName, probes).agg(F.min("tier")).scalar()
-    tagged = [frame.withColumn("tier", F.lit(i)) for i, frame in enumerate(frames)]
-    return reduce(DataFrame.unionByName, tagged).filter(F.col("tier") == chosen).drop("tier")
+    chosen = next((tier for tier in tiers if not tier.isEmpty()), tiers[-1])
+    return to_contract(chosen)
 
 
 def channel_cap(limit: int, channels: int) -> int:

@@ -16,13 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voxledger import schema as S
 from voxledger.functions.numeric import from_micros
-from voxledger.operators.spikes import (
-    chain_starts,
-    incident_times,
-    qualifying_times,
-    reachable_times,
-    window_micros,
-)
+from voxledger.operators.spikes import incident_times, window_micros, window_starts
 from voxledger.session import materialize
 
 TIMES_TYPE = "category string, us bigint, n bigint"
@@ -43,9 +37,7 @@ class SpikeStream:
         return f"{self.root}/{kind}/delivery={delivery}"
 
     def _chain(self, times: DataFrame) -> DataFrame:
-        window_us = window_micros(self.window_minutes)
-        ready = qualifying_times(times, self.threshold, window_us)
-        return chain_starts(reachable_times(ready, window_us), window_us)
+        return window_starts(times, self.threshold, window_micros(self.window_minutes))
 
     def _state(self, spark: SparkSession, delivery: int) -> tuple[DataFrame, int | None, int]:
         """Undecided instants, newest event time and late rows so far."""
