@@ -146,7 +146,7 @@ def test_load_and_upsert(spark, table):
 
 
 def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
-    texts = ['say "hi"', "two\nlines", "comma, semi;", "back\\slash", "", "ü \U0001f621"]
+    texts = ['say "hi"', "two\nlines", "comma, semi;", "back\\slash", "", " padded ", "ü \U0001f621"]
     rows = spark.createDataFrame([("s", t, "2026-01-01T00:00:00") for t in texts], "source string, raw_text string, created_at string")
     T.write_raw_csv(rows, str(tmp_path / "csv"))
     back = T.read_csv(spark, str(tmp_path / "csv"), "source string, raw_text string, created_at string")

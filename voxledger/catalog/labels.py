@@ -13,10 +13,11 @@ from voxledger.catalog import sql as Q
 from voxledger.catalog.keyword_scorer import KEYWORDS, keyword_scorer
 from voxledger.catalog.registry import query
 from voxledger.functions import labels as L
+from voxledger.functions.text import clean_text
 from voxledger.operators import enrichment as E
 from voxledger.plans.ingest import ingest_run
 from voxledger.session import scratch_path
-from voxledger.sources.driver_tables import cleaned_documents, table
+from voxledger.sources.driver_tables import texts
 from voxledger.sources.feedback_table import create_feedback_table
 
 # One label object per row, as SQL text both engines evaluate on (id, lang).
@@ -46,9 +47,7 @@ def _spark_sql(text: str) -> str:
 
 
 def _documents(spark, sf_dir):
-    rows = cleaned_documents(table(spark, sf_dir, "documents")).join(
-        table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id"
-    )
+    rows = texts(spark, sf_dir, "documents").withColumn("clean_text", clean_text(F.col("text")))
     blank = F.when(F.col("doc_id") % 9 == 4, "  ").otherwise(F.col("clean_text"))
     return rows.select(F.col("doc_id").alias("id"), "lang", blank.alias("clean_text"))
 
@@ -188,7 +187,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     minutes = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    raw = table(spark, sf_dir, "documents").select(
+    raw = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.lit("tweet").alias("source"),
         F.col("text").alias("raw_text"),

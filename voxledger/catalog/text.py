@@ -11,7 +11,7 @@ from voxledger.functions import text as X
 from voxledger.functions import timeparse as P
 from voxledger.operators import filters
 from voxledger.operators.enrichment import route_empty_text
-from voxledger.sources.driver_tables import cleaned_documents, table
+from voxledger.sources.driver_tables import table, texts
 
 # What the page tables hold in entities, decoded with '&' last.
 DECODED = "html"
@@ -41,7 +41,7 @@ def post_content(html: str = "html"):
 )
 def _(spark, sf_dir):
     def part(name, key, text):
-        return table(spark, sf_dir, name).select(
+        return texts(spark, sf_dir, name).select(
             F.lit(name).alias("origin"), key.alias("id"), X.clean_text(F.col(text)).alias("clean_text")
         )
 
@@ -55,7 +55,7 @@ def _(spark, sf_dir):
 
 @query("extract_post_body", f"SELECT page_id, {body_sql()} AS body FROM pages")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.post_body(post_content()).alias("body"))
+    return texts(spark, sf_dir, "pages").select("page_id", X.post_body(post_content()).alias("body"))
 
 
 @query(
@@ -75,7 +75,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     title = F.concat(F.lit(" "), F.col("source"), F.lit(" "))
     body = F.when(F.col("lang") == "en", "").otherwise(X.clean_text(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", X.merge_title_body(title, body).alias("raw_text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", X.merge_title_body(title, body).alias("raw_text"))
 
 
 @query(
@@ -156,7 +156,8 @@ def _(spark, sf_dir):
         .when(form == 3, F.concat(F.repeat(F.lit("@someone "), 5), text))
         .otherwise(text)
     )
-    noisy = cleaned_documents(table(spark, sf_dir, "documents").withColumn("text", raw))
+    noisy = texts(spark, sf_dir, "documents").select("doc_id", raw.alias("raw_text"))
+    noisy = noisy.withColumn("clean_text", X.clean_text_once(F.col("raw_text")))
     return filters.drop_noise(noisy).select("doc_id", "clean_text")
 
 
@@ -184,4 +185,4 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     clean = F.when(F.col("lang") == "fr", "  ").otherwise(X.clean_text(F.col("text")))
-    return route_empty_text(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean.alias("clean_text")))
+    return route_empty_text(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean.alias("clean_text")))

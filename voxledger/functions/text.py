@@ -13,21 +13,24 @@ from voxledger.session import ship_by_value
 
 ship_by_value(__name__)
 
-# What cleanup removes. (?U) and \x1c-\x1f give the Unicode idea of white space.
-TAG = r"<[^>]+>"
-LINK = r"(?U)https?://[^\s\x1c-\x1f]+|www\.[^\s\x1c-\x1f]+"
-EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+"
-SPACES = r"(?U)[\s\x1c-\x1f]+"
-POST_BODY = r"(?s)<!-- SC_OFF -->(.*?)<!-- SC_ON -->"
-BODY_LINKS = r"(?i)\[link\]|\[comments\]"
-BODY_FOOTER = r"(?id)submitted by.*"
-
-# Every character that counts as white space when trimming.
+# Every character that counts as white space, as a trim list and as a pattern class.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+WS = r"\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+# What cleanup removes.
+TAG = r"<[^>]+>"
+LINK = rf"https?://[^{WS}]+|www\.[^{WS}]+"
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]+"
+# Runs of white space; a single plain space is left alone, as it would become itself.
+SPACES = rf" [{WS}]+|[{WS}&&[^ ]][{WS}]*"
+POST_BODY = r"(?s)<!-- SC_OFF -->(.*?)<!-- SC_ON -->"
+BODY_LINKS = r"(?i)\[link\]|\[comments\]"
+BODY_FOOTER = r"(?id)submitted by.*"
+LETTER_OR_DIGIT = r"\p{L}\p{N}"
 
 
 def strip(text: Column) -> Column:
@@ -39,14 +42,35 @@ def collapse(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, SPACES, " "))
 
 
+def _if(condition: Column, text: Column, pattern: str) -> Column:
+    """Replace matches by a space where the condition holds; the text is computed once."""
+    replaced = F.transform(
+        F.array(text), lambda t: F.when(condition, F.regexp_replace(t, F.lit(pattern), F.lit(" "))).otherwise(t)
+    )
+    return F.get(replaced, F.lit(0))
+
+
 def clean_text(raw: Column) -> Column:
-    """Drop markup, links and emoji, then collapse white space; null gives ''."""
-    text = raw
-    for pattern in (TAG, LINK, EMOJI):
-        text = F.regexp_replace(text, pattern, " ")
+    """Drop markup, links and emoji, then collapse white space; null gives ''.
+
+    Removing one kind never creates another, so cheap looks at the raw text
+    tell which patterns can match at all.
+    """
+    text = _if(raw.contains("<"), raw, TAG)
+    text = _if(raw.contains("://") | raw.contains("www."), text, LINK)
+    text = _if(F.octet_length(raw) != F.char_length(raw), text, EMOJI)
     return F.coalesce(collapse(text), F.lit(""))
 
 
+def clean_text_once(raw: Column) -> Column:
+    """``clean_text`` for a select that is filtered by its result afterwards.
+
+    Catalyst moves a filter below a projection by repeating the expression in
+    it, which would clean every text twice. It does not move one below explode.
+    """
+    return F.explode(F.array(clean_text(raw)))
+
+
 @F.pandas_udf(StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """Decode HTML entities; the named-entity table has no built-in counterpart."""
@@ -81,11 +105,15 @@ def is_blank(text: Column) -> Column:
     return strip(F.coalesce(text, F.lit(""))) == ""
 
 
-def meaningful_words(clean: Column) -> Column:
-    """White-space tokens that hold at least one letter or digit."""
-    bare = F.regexp_replace(clean, r"[^\p{L}\p{N}\s]+", "")
-    return F.regexp_count(bare, F.lit(r"\S+"))
+def has_words(clean: Column, count: int) -> Column:
+    """At least ``count`` words, a word being a token with a letter or digit.
+
+    The match stops at the last word it needs and never goes back.
+    """
+    other, word = rf"[^{LETTER_OR_DIGIT}]*+", rf"[{LETTER_OR_DIGIT}]"
+    return clean.rlike(rf"^(?:{other}{word}[^ ]*+ ){{{count - 1}}}{other}{word}")
 
 
 def mentions(raw: Column) -> Column:
-    return F.regexp_count(raw, F.lit(r"(?U)@\w+"))
+    counted = F.regexp_count(raw, F.lit(r"(?U)@\w+"))
+    return F.when(raw.contains("@"), counted).otherwise(0)

@@ -71,7 +71,7 @@ def drop_noise(df: DataFrame, min_words: int = 3, max_mentions: int = 5) -> Data
     return df.filter(
         (F.col("clean_text") != "")
         & (X.mentions(F.col("raw_text")) <= max_mentions)
-        & (X.meaningful_words(F.col("clean_text")) >= min_words)
+        & X.has_words(F.col("clean_text"), min_words)
     )
 
 

@@ -60,6 +60,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work on a scan that has fewer splits than cores.
+
+    A large table has more splits and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def counts_at_most(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether a frame is small, by counting. Call it on materialized data."""
     return df.count() <= max_rows

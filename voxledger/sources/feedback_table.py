@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.session import scratch_path
 
-CSV = {"escape": '"', "emptyValue": "", "lineSep": "\n", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+CSV = {
+    "escape": '"',
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+}
 COLUMN_DDL = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in S.FEEDBACK)
 
 
@@ -90,7 +96,8 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, multiLine=True, **CSV).csv(path)
+    # Only a text that cannot occur stands for null, so an empty text stays empty.
+    return spark.read.schema(schema).options(header=True, multiLine=True, nullValue="\0", **CSV).csv(path)
 
 
 def write_raw_csv(rows: DataFrame, path: str) -> None:
