@@ -71,7 +71,7 @@ def _(spark, sf_dir):
     return tickets.ticket_sources(_members(spark, sf_dir)).select("category", "start_us", "source", "count")
 
 
-@query("ticket_samples", TEXT_TICKETS + SAMPLES + " SELECT category, start_us, n, id, source, clean_text FROM samples")
+@query("ticket_samples", TEXT_TICKETS + SAMPLES + " SELECT category, start_us, n::INT AS n, id, source, clean_text FROM samples")
 def _(spark, sf_dir):
     return tickets.ticket_samples(feedback_text(spark, sf_dir), _members(spark, sf_dir))
 
