@@ -173,6 +173,10 @@ def test_backlog_page(spark):
     ranked = [r.id for r in score(df).orderBy("priority_score", ascending=False).collect()]
     assert len(ranked) == 30
     assert B.backlog(df, page=9, limit=7).count() == 0
+    scores = {r.id: r.priority_score for r in score(df).collect()}
+    assert all(r.priority_score == scores[r.id] for r in page)  # volume of all 30 rows, not of the match
+    odd = feedback(spark, [hours_ago(i, category="Billing", urgency=2, sentiment="Neutral" if i else "Negative") for i in range(9)])
+    assert [r.priority_score for r in B.backlog(odd, sentiment="Negative").collect()] == [1.3]
     with pytest.raises(ValueError):
         B.backlog(df, limit=201)
 

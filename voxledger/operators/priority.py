@@ -25,25 +25,27 @@ def category_weight(category: Column) -> Column:
     return F.coalesce(F.try_element_at(weights, category), F.lit(S.OTHER_CATEGORY_WEIGHT))
 
 
-def with_category_volume(df: DataFrame) -> DataFrame:
-    """Attach the category's row count without shuffling rows of known categories.
+def with_category_volume(df: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """Attach the category's row count in ``full`` (by default ``df`` itself).
 
-    The six known counts are one global aggregate with one output row, looked
+    Rows of known categories are not shuffled. The six known counts are one global aggregate with one output row, looked
     up as a subquery value, so a category holding a third of the table costs
     nothing extra. Rows of any other category take an ordinary join with their
     own counts; on a Parquet table the dictionary of ``category`` lets that
     branch skip every row group without such rows.
     """
     category = F.col("category")
+    full = df if full is None else full
     counters = [F.count_if(category == name).alias(f"n{i}") for i, name in enumerate(KNOWN_CATEGORIES)]
-    counts = df.agg(*counters).select(
+    counts = full.agg(*counters).select(
         _pairs({name: F.col(f"n{i}") for i, name in enumerate(KNOWN_CATEGORIES)}).alias("volumes")
     )
     known = df.filter(category.isin(*KNOWN_CATEGORIES) | category.isNull()).withColumn(
         "category_volume", F.coalesce(F.try_element_at(counts.scalar(), category), F.lit(1).cast("bigint"))
     )
-    other = df.filter(~category.isin(*KNOWN_CATEGORIES))
-    volumes = category_volume(other).withColumnRenamed("volume", "category_volume")
+    unknown = ~category.isin(*KNOWN_CATEGORIES)
+    other = df.filter(unknown)
+    volumes = category_volume(full.filter(unknown)).withColumnRenamed("volume", "category_volume")
     return known.unionByName(other.join(volumes, "category").select(known.columns))
 
 
@@ -52,10 +54,10 @@ def priority(urgency: Column, category: Column, volume: Column) -> Column:
     return half_even(urgency * category_weight(category) * damped, 2)
 
 
-def score(df: DataFrame) -> DataFrame:
-    """Set ``priority_score`` from the volumes of the frame passed in."""
+def score(df: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """Set ``priority_score``, with volumes of ``full`` (by default ``df`` itself)."""
     value = priority(F.col("urgency_score"), F.col("category"), F.col("category_volume"))
-    return with_category_volume(df).withColumn("priority_score", value).drop("category_volume")
+    return with_category_volume(df, full).withColumn("priority_score", value).drop("category_volume")
 
 
 def rank_feedback(df: DataFrame) -> DataFrame:

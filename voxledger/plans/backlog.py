@@ -22,9 +22,8 @@ def matching_feedback(
     hours: int | None = None,
     mode: str = "regex",
 ) -> DataFrame:
-    """Scored rows that pass the filters; volumes and the time anchor come from the full table."""
-    recent = filter_recent(score(df), hours)
-    return search_text(filter_facets(recent, category, sentiment, source), search, mode)
+    """Rows that pass the filters; the time anchor is the newest row of the full table."""
+    return search_text(filter_facets(filter_recent(df, hours), category, sentiment, source), search, mode)
 
 
 def select_display(df: DataFrame) -> DataFrame:
@@ -32,10 +31,14 @@ def select_display(df: DataFrame) -> DataFrame:
 
 
 def backlog(df: DataFrame, page: int = 1, limit: int = 25, **filters) -> DataFrame:
-    """One page of the backlog with the totals of the whole match on every row."""
+    """One page of the backlog with the totals of the whole match on every row.
+
+    Filters run before scoring, volumes still come from the full table.
+    """
     matching = matching_feedback(df, **filters)
     totals = page_totals(matching, limit).select(F.struct("total", "total_pages").alias("t")).scalar()
-    return paginate(matching, page, limit).withColumn("_t", totals).select(
+    scored = score(matching, full=df)
+    return paginate(scored, page, limit).withColumn("_t", totals).select(
         "id",
         "priority_score",
         "category",
@@ -54,8 +57,8 @@ def backlog(df: DataFrame, page: int = 1, limit: int = 25, **filters) -> DataFra
 
 def backlog_export(df: DataFrame, **filters) -> DataFrame:
     """All matching rows, highest priority first, in the export columns."""
-    ordered = matching_feedback(df, **filters).orderBy(F.desc_nulls_last("priority_score"), "id")
-    return select_display(ordered)
+    scored = score(matching_feedback(df, **filters), full=df)
+    return select_display(scored.orderBy(F.desc_nulls_last("priority_score"), "id"))
 
 
 def export_backlog_csv(df: DataFrame, path: str, single_file: bool = False, **filters) -> None:
