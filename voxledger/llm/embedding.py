@@ -53,14 +53,21 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
     return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
 
 
-def fit_tree(sample: np.ndarray, least: int, seed: int) -> Node | int:
-    """A tree over unit vectors; leaves are numbered from 0."""
+def fit_tree(sample: np.ndarray, least: int, seed: int, cosine: float) -> Node | int:
+    """A tree over unit vectors; leaves are numbered from 0.
+
+    A node is not split where it is small, or where half its sample lies so close to
+    its mean that any two of these are linked: a split would lose links there.
+    """
     rng, leaves = np.random.default_rng(seed), iter(range(1 << 62))
 
     def grow(x: np.ndarray) -> Node | int:
         n = len(x)
         if n < 2 * least:
             return next(leaves)
+        mean = x.mean(0)
+        if np.median(x @ mean) >= math.sqrt((1 + cosine) / 2) * np.linalg.norm(mean):
+            return next(leaves)
         direction = rng.standard_normal(x.shape[1])
         direction /= np.linalg.norm(direction)
         along = np.sort(x @ direction)
@@ -103,7 +110,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(double, lambda x: x != 0), F.lit(False))
 
 
-def fit_forest(reps: DataFrame, vector: str, rows: int) -> list[Node | int]:
+def fit_forest(reps: DataFrame, vector: str, rows: int, cosine: float) -> list[Node | int]:
     """The trees, from a hashed sample of about ``SAMPLE_ROWS`` vectors."""
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     part = F.pmod(F.xxhash64(vector, F.lit("sample")), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))
@@ -112,7 +119,7 @@ def fit_forest(reps: DataFrame, vector: str, rows: int) -> list[Node | int]:
     # In the order of the components, so that the trees do not depend on the order of arrival.
     x = x[np.lexsort(x.T)] if len(x) else x
     least = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS * share)) // 2
-    return [fit_tree(x, least, seed) for seed in range(TREES)]
+    return [fit_tree(x, least, seed, cosine) for seed in range(TREES)]
 
 
 def tile_hits(x: np.ndarray, a: slice, b: slice, cosine: float) -> np.ndarray:
@@ -124,7 +131,7 @@ def compare_leaf(
 ) -> tuple[np.ndarray, Union]:
     """New links of a leaf's rows: how many rows each links to, and which nodes hang together.
 
-    ``met`` marks the leaves of earlier trees; a pair that shares one was counted there.
+    ``met`` marks the leaves that come before this one; a pair that shares one was counted there.
     """
     links, found = np.zeros(len(x), dtype=np.int64), Union()
     for i in range(0, len(x), TILE_ROWS):
@@ -165,10 +172,16 @@ def _unite(hit: np.ndarray, left: np.ndarray, right: np.ndarray, found: Union) -
         found.join(node, name)
 
 
-def earlier_leaves(signatures: list[list[list[int]]], tree: int) -> np.ndarray:
-    """One column per leaf of an earlier tree that any row lies in."""
+def earlier_leaves(signatures: list[list[list[int]]], tree: int, leaf: int) -> np.ndarray:
+    """One column per leaf before this one, of this tree or an earlier, that any row lies in."""
     seen: dict[tuple[int, int], int] = {}
-    cells = [(r, seen.setdefault((t, leaf), len(seen))) for r, own in enumerate(signatures) for t in range(tree) for leaf in own[t]]
+    cells = [
+        (row, seen.setdefault((t, other), len(seen)))
+        for row, own in enumerate(signatures)
+        for t in range(tree + 1)
+        for other in own[t]
+        if t < tree or other < leaf
+    ]
     out = np.zeros((len(signatures), len(seen)), dtype=np.float32)
     if cells:
         out[tuple(np.array(cells).T)] = 1
@@ -185,7 +198,7 @@ def _compare(cosine: float):
                 unit_rows(run["vector"].combine_chunks()),
                 nodes,
                 copies,
-                earlier_leaves(run["leaves"].to_pylist(), tree),
+                earlier_leaves(run["leaves"].to_pylist(), tree, run["leaf"][0].as_py() & ((1 << 40) - 1)),
                 run["mine"].to_numpy(),
                 across,
                 cosine,
@@ -211,7 +224,7 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, cosine: float
     columns are ignored.
 
     A leaf of more than ``BLOCK_ROWS`` is compared block by block in several tasks.
-    A pair that meets in several trees is counted in the first of them.
+    A pair that meets in several leaves is counted in the first of them.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
     good = source.filter(usable(F.col("vector")) & F.col("id").isNotNull())
@@ -222,7 +235,7 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, cosine: float
     fits = F.coalesce(usable(F.col("vector")) & F.col("id").isNotNull() & (F.size("vector") == lengths["size"]), F.lit(False))
     classes = source.filter(fits).groupBy("vector").agg(F.min("id").cast("bigint").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "vector-classes")
-    forest = fit_forest(classes, "vector", classes.count())
+    forest = fit_forest(classes, "vector", classes.count(), cosine)
 
     @arrow_udf("array<array<int>>")
     def leaves(vectors: pa.Array) -> pa.Array:

@@ -11,7 +11,6 @@ of the strict patterns always stay.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -242,8 +241,10 @@ def fit_pii(found: DataFrame, spans: str) -> PiiModel:
 
 def probability(span: Column, model: PiiModel) -> Column:
     """The classifier's probability that a span is personal data."""
-    terms = [F.when(F.get(span["features"], F.lit(i)) == v, w).otherwise(0.0) for (i, v), w in model.weights.items()]
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(model.constant))))
+    rows = [[model.weights.get((i, v), 0.0) for v in range(len(KINDS) + len(EXTRA))] for i in range(len(FEATURES))]
+    tables = F.expr(f"array({', '.join(f'array({", ".join(f"{w:.12e}D" for w in row)})' for row in rows)})")
+    terms = F.zip_with(span["features"], tables, lambda f, t: F.get(t, f))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.aggregate(terms, F.lit(model.constant), lambda a, w: a + w)))
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -305,9 +306,10 @@ def find_pii(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def mask_documents(docs: DataFrame, text_col: str) -> DataFrame:
     """The rows with personal data masked in ``text_col``; other columns, and null texts, stay as they are."""
-    text, spans = F.col(text_col), "__pii_spans"
-    safe = F.coalesce(text, F.lit(""))
-    model = fit_pii(docs.select(safe.alias("text")).select(candidates(F.col("text")).alias("found")), "found")
-    with_spans = docs.withColumn(spans, F.when(text.isNotNull(), decide(candidates(text), model)))
-    out = F.when(F.size(spans) > 0, masked(text, F.col(spans))).otherwise(text)
-    return with_spans.withColumn(text_col, out).drop(spans)
+    whole, found, spans = "__pii_text", "__pii_found", "__pii_spans"
+    proposed = candidates(F.col(whole)).alias(found)
+    texts = docs.withColumn(whole, F.coalesce(F.col(text_col), F.lit("")))
+    model = fit_pii(texts.select(proposed), found)
+    decided = texts.select("*", proposed).withColumn(spans, decide(F.col(found), model))
+    out = F.when(F.col(text_col).isNotNull(), masked(F.col(whole), F.col(spans)))
+    return decided.withColumn(text_col, F.when(F.size(spans) > 0, out).otherwise(F.col(text_col))).drop(whole, found, spans)
