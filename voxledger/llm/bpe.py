@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -24,16 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from voxledger.llm.tokens import CACHE_WORDS, is_odd, spaced_words
 from voxledger.session import ship_by_value
 
 ship_by_value(__name__)
 
 # Bytes that are encoded directly; longer strings are halved.
 LEAF_BYTES = 32
-# Words kept with their tokens by one worker.
-CACHE_WORDS = 300_000
-# A space that starts no word of its own; texts without one split at single spaces.
-_ODD_SPACE = re.compile(r" (?=\s)| \Z|[\x1c-\x1f\x85]")
 
 
 class Encoder:
@@ -108,30 +104,26 @@ class Encoder:
         """One match of the split pattern; a piece that is a token stays whole."""
         return [self.ranks[raw]] if raw in self.ranks else self.encode_half(raw)
 
-    def _word(self, word: str) -> bytes:
-        ids = [i for piece in self.pattern.findall(word) for i in self.encode_piece(piece.encode())]
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = out
-        return out
+    def _ids(self, pieces: list[str]) -> bytes:
+        return np.array([i for piece in pieces for i in self.encode_piece(piece.encode())], dtype="<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text.
 
-        Where every space is followed by another character, a piece begins at each
+        Where every space is followed by a visible character, a piece begins at each
         space, so the text falls into words that are encoded by themselves.
         """
-        if not text:
-            return np.zeros(0, dtype="<u4")
-        if _ODD_SPACE.search(text):
-            words = self.pattern.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            words = ([first] if first else []) + [" " + w for w in rest]
-        known = self.words
-        return np.frombuffer(b"".join([known.get(w) or self._word(w) for w in words]), dtype="<u4")
+        words = spaced_words(text) if text else []
+        parts = [self.words.get(w) for w in words]
+        for at in [k for k, part in enumerate(parts) if part is None]:
+            word = words[at]
+            if is_odd(word):
+                return np.frombuffer(self._ids(self.pattern.findall(text)), dtype="<u4")
+            parts[at] = self._ids(self.pattern.findall(word))
+            if len(self.words) >= CACHE_WORDS:
+                self.words.clear()
+            self.words[word] = parts[at]
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of a token sequence: the concatenation over its halves, hence over its tokens."""

@@ -1,4 +1,9 @@
-"""Token ids by a public tokenizer file, with a cache of words per worker."""
+"""Token ids by a public tokenizer file, with a cache of words per worker.
+
+Byte-level tokenizers split a text before every space that stands in front of a
+visible character. Where all spaces are such, the words between them are
+tokenized by themselves, once each.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +17,28 @@ from voxledger.session import ship_by_value
 
 ship_by_value(__name__)
 
-CACHE_WORDS = 300_000
-# Spaces that do not begin a word by themselves, and control characters that libraries class differently.
-_ODD_SPACE = re.compile(r" (?=\s)| \Z|[\x1c-\x1f\x85]")
+CACHE_WORDS = 400_000
+# Words tokenized in one call, joined by a sign that no joined word holds and that is a token of its own.
+JOINED, MARK = 500, "\r"
+_ODD_WORD = re.compile(r" ?\Z| \s|.*[\x00\x1c-\x1f\x85]", re.S)
+
+
+def spaced_words(text: str) -> list[str]:
+    """The text cut before each space; one that holds the cutting sign stays whole, and is odd."""
+    if "\0" in text:
+        return [text]
+    words = text.replace(" ", "\0 ").split("\0")
+    return words if words[0] else words[1:]
+
+
+def is_odd(word: str) -> bool:
+    """Whether a word's text must be tokenized whole: the word is a bare space, begins with two
+    spaces of any kind, or holds control characters that libraries class differently."""
+    return _ODD_WORD.match(word) is not None
 
 
 class WordTokens:
-    """Ids of texts; words at single spaces are tokenized once and kept."""
+    """Ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -28,27 +48,37 @@ class WordTokens:
         # The strings of special tokens are ordinary text inside documents.
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.mark = self._whole([MARK])[0]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Tokenize words that are not kept yet, many in one call."""
+        plain = [w for w in words if MARK not in w and not w[-1].isspace()]
+        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
+        for group, ids in zip(groups, self._whole([MARK.join(g) for g in groups]), strict=True):
+            numbers = np.frombuffer(ids, "<u4")
+            ends = np.flatnonzero(numbers == np.frombuffer(self.mark, "<u4")[0]).tolist()
+            starts = [0, *(e + 1 for e in ends)]
+            self.words.update(zip(group, (ids[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(numbers)], strict=True)), strict=True))
+        rest = [w for w in words if MARK in w or w[-1].isspace()]
+        self.words.update(zip(rest, self._whole(rest), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [None if _ODD_SPACE.search(t) else _words(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        new = list({w for words in split if words for w in words}.difference(self.words))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.words.update(zip(part, self._encode(part), strict=True))
-        whole = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(self.words.__getitem__, words)) for words in split]
-
-
-def _words(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + w for w in rest]
+        split = [spaced_words(t) for t in texts]
+        known = self.words
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = {w for words in split for w in words if w not in known}
+        odd = {w for w in new if is_odd(w)}
+        self._learn(list(new - odd))
+        apart = {k for k, words in enumerate(split) if odd and not odd.isdisjoint(words)}
+        out = [b"" if k in apart else b"".join([known[w] for w in words]) for k, words in enumerate(split)]
+        for k, ids in zip(sorted(apart), self._whole([texts[k] for k in sorted(apart)]), strict=True):
+            out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
