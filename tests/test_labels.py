@@ -92,14 +92,14 @@ def test_batches_and_prompts(spark):
 
 
 def test_a_failing_scorer_never_fails_the_job(spark):
-    def scorer(prompt):
-        if "text 20" in prompt:
+    def answer(prompts):
+        if any("text 20" in prompt for prompt in prompts):
             raise RuntimeError("quota")
-        return "[" + ", ".join([FULL % 2] * 15) + "]"
+        return ["[" + ", ".join([FULL % 2] * 15) + "]" for _ in prompts]
 
     df = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "id bigint, clean_text string")
     numbered = E.with_item_number(E.micro_batches(df))
-    answers = E.score_batches(E.build_batch_prompts(numbered), scorer, parallelism=2)
+    answers = E.answering(answer, parallelism=2)(E.build_batch_prompts(numbered))
     found = [row.category for row in E.apply_batch_responses(numbered, answers).orderBy("id").collect()]
     assert found == ["Bug"] * 15 + ["Uncategorized"] * 15 + ["Bug"] * 10
 

@@ -101,7 +101,8 @@ def test_filters(spark):
         return [row.id for row in found.orderBy("id").collect()]
 
     assert ids(filters.filter_recent(df, 24)) == [0, 1]
-    assert ids(filters.filter_recent(df, 0)) == ids(filters.filter_recent(df, None)) == [0, 1, 2]
+    assert ids(filters.filter_recent(df, None)) == [0, 1, 2]
+    assert ids(filters.filter_recent(df, 0)) == [0]
     assert ids(filters.filter_facets(df, category="", source="tweet")) == [0]
     assert ids(filters.filter_multiselect(df, ["Bug", "Praise"], [], ["app_review"])) == [1, 2]
     assert ids(filters.search_text(df, "failed|A.B")) == [0, 1, 2]

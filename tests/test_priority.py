@@ -1,7 +1,8 @@
 from helpers import feedback
+from pyspark.sql import functions as F
 
+from voxledger.operators.enrichment import micro_batches
 from voxledger.operators.ordering import paginate, top_n, with_position, with_rank
-from voxledger.operators import ordering
 from voxledger.operators.priority import rank_feedback, score
 
 
@@ -57,17 +58,23 @@ def test_positions_with_sparse_and_negative_ids(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in ids], "id bigint, key string")
     placed = {row.id: row.position for row in with_position(df, "id").collect()}
     assert [placed[i] for i in sorted(ids)] == list(range(len(ids)))
-    keyed = with_position(df, "id", ["key"], [ordering.F.asc("key")]).collect()
+    keyed = with_position(df, "id", [F.asc("key")]).collect()
     in_order = [row.id for row in sorted(keyed, key=lambda row: row.position)]
     assert in_order == [row[1] for row in sorted(("a" if i % 2 else "b", i) for i in ids)]
 
 
-def test_deep_pages_equal_the_heap(spark, monkeypatch):
+def test_rows_without_id_keep_a_position(spark):
+    df = spark.createDataFrame([(None, "x"), (3, "y"), (None, "x"), (1, "z"), (None, None)], "id bigint, text string")
+    placed = sorted((row.position, row.id) for row in with_position(df, "id").collect())
+    assert placed == [(0, 1), (1, 3), (2, None), (3, None), (4, None)]
+    assert micro_batches(df.withColumnRenamed("text", "clean_text"), 2).count() == 5
+
+
+def test_pages_and_ranks(spark):
     scored = score(feedback(spark, [{"category": c, "urgency": u} for c in ("Bug", "Spam") for u in (5, 1, 3, 3, 2)]))
     shallow = [[row.id for row in paginate(scored, page, 4).collect()] for page in (1, 2, 3, 4)]
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 0)
-    deep = [sorted(paginate(scored, page, 4).collect(), key=lambda r: (-r.priority_score, r.id)) for page in (1, 2, 3, 4)]
-    assert [[row.id for row in page] for page in deep] == shallow
+    in_order = sorted(scored.collect(), key=lambda r: (-r.priority_score, r.id))
+    assert sum(shallow, []) == [row.id for row in in_order]
     assert [len(page) for page in shallow] == [4, 4, 2, 0]
     ranks = {row.id: row["rank"] for row in with_rank(scored).collect()}
     assert [ranks[i] for i in shallow[0]] == [0, 1, 2, 3]

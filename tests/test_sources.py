@@ -4,23 +4,24 @@ import json
 import pytest
 from helpers import feedback, hours_ago
 
-from voxledger.catalog.keyword_scorer import keyword_scorer
+from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.operators.priority import score
 from voxledger.plans import backlog as B
-from voxledger.plans.ingest import ingest_run
+from voxledger.plans.ingest import fetch_run, ingest_run, upsert_run, with_ids
+from voxledger.session import folders
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
 from voxledger.sources import watermark as W
 
-FEED = """<?xml version="1.0" encoding="UTF-8"?>
-<feed xmlns="http://www.w3.org/2005/Atom"><title>new posts</title>
-  <entry><id>x/t3_one</id><title> Payment failed </title><updated>2026-09-28T12:00:00+00:00</updated>
-    <content type="html">&lt;!-- SC_OFF --&gt;&lt;p&gt;Money debited &amp;amp; lost.&lt;/p&gt;&lt;!-- SC_ON --&gt; submitted by &lt;a&gt;[link]&lt;/a&gt;</content></entry>
-  <entry><id>t3_two</id><title>Address issue</title><updated>2026-09-28T11:00:00+00:00</updated></entry>
-  <entry><id>t3_three</id><updated>2026-09-28T11:00:00+00:00</updated></entry>
-  <entry><id>t3_four</id><title>Clock broken</title><updated>yesterday</updated></entry>
+FEED = """<feed xmlns="http://www.w3.org/2005/Atom">
+  <entry><id>thread/t3_k9x</id><updated>2031-03-02T08:30:00+00:00</updated><title>  Map view goes grey</title>
+    <content type="html">&lt;!-- SC_OFF --&gt;Tiles &amp;lt;gone&amp;gt; after &lt;i&gt;zooming&lt;/i&gt;, twice&lt;!-- SC_ON --&gt; [comments]</content></entry>
+  <entry><title>Dark mode please</title><id>t3_m2</id><updated>2031-03-02T07:30:00+00:00</updated></entry>
+  <entry><id>t3_untitled</id><updated>2031-03-02T09:00:00+00:00</updated></entry>
+  <entry><id>t3_undated</id><title>When was this?</title><updated>some day</updated></entry>
 </feed>"""
+HALF_PAST_SEVEN = 1930203000.0
 ELEVEN = 1790593200.0
 
 
@@ -30,21 +31,21 @@ def feeds(spark, *documents):
 
 def test_atom_feed(spark):
     rows = {row.external_id: row for row in P.parse_atom_feed(feeds(spark, FEED, "<broken", "")).collect()}
-    assert set(rows) == {"reddit_one", "reddit_two", "reddit_four"}
-    assert rows["reddit_one"].raw_text == "Payment failed - Money debited & lost."
-    assert rows["reddit_one"].created_at == "2026-09-28T12:00:00+00:00"
-    assert rows["reddit_two"].raw_text == "Address issue"
-    assert rows["reddit_four"].posted_at >= dt.datetime(2026, 9, 28)
-
-
-def test_mark_equal_to_a_post_skips_it(spark):
-    single = FEED[: FEED.index("  <entry><id>t3_three")] + "</feed>"
-    kept = P.parse_atom_feed(feeds(spark, single), since=ELEVEN)
-    assert [row.external_id for row in kept.collect()] == ["reddit_one"]
-    assert P.newest_mark(kept, ELEVEN).first().since_utc == ELEVEN + 3600
-    assert P.newest_mark(kept.limit(0), ELEVEN).first().since_utc == ELEVEN
+    assert set(rows) == {"reddit_k9x", "reddit_m2", "reddit_undated"}
+    assert rows["reddit_k9x"].raw_text == "Map view goes grey - Tiles <gone> after zooming , twice"
+    assert rows["reddit_k9x"].created_at == "2031-03-02T08:30:00+00:00"
+    assert rows["reddit_m2"].raw_text == "Dark mode please"
+    assert rows["reddit_undated"].posted_at > dt.datetime(2026, 1, 1)
+
+
+def test_a_post_at_the_mark_is_not_new(spark):
+    dated = FEED[: FEED.index("  <entry><id>t3_untitled")] + "</feed>"
+    kept = P.parse_atom_feed(feeds(spark, dated), since=HALF_PAST_SEVEN)
+    assert [row.external_id for row in kept.collect()] == ["reddit_k9x"]
+    assert P.newest_mark(kept, HALF_PAST_SEVEN).first().since_utc == HALF_PAST_SEVEN + 3600
+    assert P.newest_mark(kept.limit(0), HALF_PAST_SEVEN).first().since_utc == HALF_PAST_SEVEN
     assert P.newest_mark(kept.limit(0)).first().since_utc is None
-    assert P.parse_atom_feed(feeds(spark, single), since=0).count() == 2
+    assert P.parse_atom_feed(feeds(spark, dated), since=0).count() == 2
 
 
 def test_seed_posts(spark, tmp_path):
@@ -110,6 +111,8 @@ def test_watermark_round_trip(spark, tmp_path):
     assert W.read_mark(spark, path) is None
     W.save_mark(spark.createDataFrame([(1727500000.5,)], "since_utc double"), path)
     assert W.read_mark(spark, path) == 1727500000.5
+    W.save_mark(spark.createDataFrame([(1700000000.0,)], "since_utc double"), path)
+    assert W.read_mark(spark, path) == 1700000000.0
 
 
 def stored(spark, name):
@@ -124,7 +127,7 @@ def table(spark, tmp_path):
     spark.sql("DROP TABLE feedback_under_test")
 
 
-def test_load_and_upsert(spark, table):
+def test_load_and_upsert(spark, table, tmp_path):
     df = feedback(spark, [hours_ago(i) for i in range(4)])
     T.load_append(df, table)
     T.create_feedback_table(spark, table)
@@ -132,6 +135,12 @@ def test_load_and_upsert(spark, table):
     assert stored(spark, table).count() == 8
     T.load_overwrite(df.limit(3), table)
     assert stored(spark, table).count() == 3 and stored(spark, table).first().priority_score == 0.0
+    root = str(tmp_path / "table")
+    assert T.scan_feedback(spark, root).count() == 3
+    for n in (2, 1):
+        T.load_overwrite(stored(spark, table).limit(n), table)
+        assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == n
+    assert folders(spark, root) == ["version-000000002", "version-000000003"]
 
     def delivery(*ids):
         rows = [(100 + i, key, f"t{i}") for i, key in enumerate(ids)]
@@ -172,7 +181,8 @@ def test_backlog_page(spark):
     assert len(page) == 7 and {(r.total, r.total_pages, r.source) for r in page} == {(21, 3, "Twitter")}
     ranked = [r.id for r in score(df).orderBy("priority_score", ascending=False).collect()]
     assert len(ranked) == 30
-    assert B.backlog(df, page=9, limit=7).count() == 0
+    (past,) = B.backlog(df, page=9, limit=7).collect()
+    assert (past.id, past.total, past.total_pages, past.page) == (None, 30, 5, 9)
     scores = {r.id: r.priority_score for r in score(df).collect()}
     assert all(r.priority_score == scores[r.id] for r in page)  # volume of all 30 rows, not of the match
     odd = feedback(spark, [hours_ago(i, category="Billing", urgency=2, sentiment="Neutral" if i else "Negative") for i in range(9)])
@@ -190,12 +200,59 @@ def test_ingest_run(spark, table):
         ],
         "id bigint, source string, raw_text string, created_at string",
     )
-    assert not ingest_run(raw.limit(0), keyword_scorer, table)
-    assert ingest_run(raw, keyword_scorer, table)
+    assert not ingest_run(raw.limit(0), keyword_answers, table)
+    assert ingest_run(raw, keyword_answers, table)
     found = {r.id: r for r in stored(spark, table).collect()}
     assert (found[1].clean_text, found[1].category, found[1].urgency_score) == ("App crash", "Bug", 5)
     assert found[1].priority_score == 8.25 and found[2].category == "Praise"
     assert found[2].created_at == dt.datetime(2025, 12, 31, 23)
     assert (found[3].category, found[3].clean_text) == ("Uncategorized", "")
-    assert ingest_run(raw, keyword_scorer, table, append=True)
+    assert ingest_run(raw, keyword_answers, table, append=True)
     assert stored(spark, table).count() == 6
+
+
+def test_nulls_take_the_defaults(spark):
+    rows = spark.createDataFrame([(1, None, None, None)], "id bigint, category string, raw_text string, urgency_score int")
+    (row,) = T.to_feedback(rows).collect()
+    assert (row.category, row.raw_text, row.urgency_score, row.sentiment) == ("Uncategorized", "", 1, "Neutral")
+
+
+def counting(asked):
+    def scorer(prompts):
+        asked.append(prompts.agg({"item_count": "sum"}).first()[0] or 0)
+        return keyword_answers(prompts)
+
+    return scorer
+
+
+def test_repeated_deliveries_ask_nothing(spark, table):
+    raw = spark.createDataFrame(
+        [("tweet", "a", "crash", None), ("tweet", "b", "love", None), ("tweet", "a", "crash again", None)],
+        "source string, external_id string, raw_text string, created_at string",
+    )
+    asked = []
+    assert upsert_run(raw, counting(asked), table) and asked == [2]
+    assert not upsert_run(raw, counting(asked), table) and asked == [2]
+    assert stored(spark, table).count() == 2
+
+
+def test_fetch_survives_a_crash_before_the_mark(spark, table, tmp_path, monkeypatch):
+    posts = spark.createDataFrame(
+        [(f"p{i}", "ch", f"Post {i}", "late bus", ELEVEN + i, False) for i in range(40)] + [("q", "other", "x", "", ELEVEN, False)],
+        "id string, channel string, title string, selftext string, created_utc double, stickied boolean",
+    )
+    mark, asked = str(tmp_path / "mark"), []
+
+    def run():
+        tiers = [lambda since: P.normalize_submissions(posts.limit(0), since), lambda since: P.normalize_submissions(posts, since)]
+        return fetch_run(spark, tiers, counting(asked), table, mark, "ch", 25)
+
+    monkeypatch.setattr("voxledger.plans.ingest.save_mark", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        run()
+    assert stored(spark, table).count() == 25 and W.read_mark(spark, mark) is None
+    monkeypatch.undo()
+    assert run() and W.read_mark(spark, mark) == ELEVEN + 39 and asked == [25]
+    assert not run() and stored(spark, table).count() == 25
+    ids = [r.id for r in with_ids(C.to_contract(P.normalize_submissions(posts))).collect()]
+    assert len(set(ids)) == 41 and min(ids) >= 0

@@ -5,15 +5,13 @@ import pytest
 from helpers import NOON, feedback, hours_ago, minutes_in, plain_scan
 
 from voxledger.operators import spikes, tickets
+from voxledger.operators.enrichment import answering
 from voxledger.plans import incidents
 
 EPOCH = dt.datetime(1970, 1, 1)
 
 
-GATHER_ALL, CHAIN_IN_ONE_TASK, BY_BLOCKS = "all", "chain", "blocks"
-
-
-def starts(spark, times_by_category, threshold, window_minutes, partitions=4, way=GATHER_ALL):
+def starts(spark, times_by_category, threshold, window_minutes, partitions=4):
     rows = [
         (i, category, EPOCH + dt.timedelta(microseconds=us))
         for category, times in times_by_category.items()
@@ -21,24 +19,15 @@ def starts(spark, times_by_category, threshold, window_minutes, partitions=4, wa
     ]
     df = spark.createDataFrame(rows, "id bigint, category string, created_at timestamp_ntz").repartition(partitions)
     found = {category: [] for category in times_by_category}
-    window_us = window_minutes * 60_000_000
-    if way == GATHER_ALL:
-        result = spikes.spike_windows(df, threshold, window_minutes)
-    elif way == BY_BLOCKS:
-        result = spikes.spike_windows(df, threshold, window_minutes, gather_rows=-1)
-    else:
-        times = spikes.qualifying_times(spikes.incident_times(df), threshold, window_us)
-        result = times.groupBy("category").applyInPandas(spikes._walk_all(window_us), spikes.START_TYPE)
-    for row in result.collect():
+    for row in spikes.spike_windows(df, threshold, window_minutes).collect():
         found[row.category].append(row.start_us)
     return {category: sorted(times) for category, times in found.items()}
 
 
-def check(spark, times_by_category, threshold, window_minutes, ways=(GATHER_ALL, CHAIN_IN_ONE_TASK, BY_BLOCKS)):
+def check(spark, times_by_category, threshold, window_minutes):
     window = window_minutes * 60_000_000
     want = {c: plain_scan(times, threshold, window) for c, times in times_by_category.items()}
-    for way in ways:
-        assert starts(spark, times_by_category, threshold, window_minutes, way=way) == want, way
+    assert starts(spark, times_by_category, threshold, window_minutes) == want
     return want
 
 
@@ -131,33 +120,51 @@ def test_partitioning_does_not_matter(spark):
     rng = random.Random(3)
     times = {"Bug": [rng.randrange(0, 10**11) for _ in range(400)]}
     once = starts(spark, times, 3, 60, partitions=1)
-    assert once == starts(spark, times, 3, 60, partitions=16) == starts(spark, times, 3, 60, partitions=16, way=BY_BLOCKS)
+    assert once == starts(spark, times, 3, 60, partitions=16)
 
 
 def test_threshold_of_one(spark):
     check(spark, {"Bug": [0, 10, 3_600_000_001, 9_000_000_000]}, 1, 60)
 
 
-def test_shuffle_join_equals_broadcast_join(spark):
+def test_members_and_samples(spark):
     rows = [minutes_in(m, source=s) for m in (0, 1, 2, 59, 60, 61, 300, 301, 302, 303, 360) for s in ("a", "b")]
-    df = feedback(spark, rows)
-    windows = incidents.found_windows(df)
-    wide = tickets.window_members(df, windows, 60)
-    narrow = tickets.window_members(df, windows, 60, broadcast_rows=0)
-    assert sorted(map(tuple, wide.select("id", "start_us").collect())) == sorted(
-        map(tuple, narrow.select("id", "start_us").collect())
-    )
-    assert sorted(map(tuple, tickets.ticket_samples(df, wide).collect())) == sorted(
-        map(tuple, tickets.ticket_samples(df, narrow, broadcast_rows=0).collect())
-    )
-
-
-def test_many_tickets_are_numbered_alike(spark):
+    members = tickets.window_members(feedback(spark, rows), incidents.found_windows(feedback(spark, rows)), 60)
+    found = {}
+    for row in members.collect():
+        found.setdefault(row.start_us, []).append(row.id)
+    assert sorted(map(sorted, found.values())) == [list(range(10)), list(range(12, 22))]
+    samples = sorted((r.start_us, r.n, r.id) for r in tickets.ticket_samples(members).collect())
+    assert [(n, i) for _, n, i in samples] == [(1, 0), (2, 1), (3, 2), (1, 12), (2, 13), (3, 14)]
+
+
+def test_tickets_are_numbered_by_category_and_time(spark):
     keys = [(c, s * 3_600_000_001) for c in ("Complaint", "Bug") for s in (5, 1, 9, 700)]
     found = spark.createDataFrame(keys, "category string, start_us bigint")
-    one_task = tickets.number_tickets(found, found).orderBy("number").collect()
-    assert one_task == tickets.number_tickets(found, found, single_task_rows=0).orderBy("number").collect()
-    assert [(t.category, t.start_us) for t in one_task] == sorted(keys)
+    numbered = tickets.number_tickets(found).orderBy("number").collect()
+    assert [(t.category, t.start_us, t.number) for t in numbered] == [(*key, n + 1) for n, key in enumerate(sorted(keys))]
+
+
+def test_rows_without_a_source_and_repeated_titles(spark):
+    rows = [minutes_in(i, source="tweet" if i % 2 else None) for i in range(6)]
+    found = incidents.incident_tickets(feedback(spark, rows))
+    key = found.first().ticket_key
+    titles = spark.createDataFrame([(key, "Second"), (key, "First")], "ticket_key string, title string")
+    (card,) = incidents.anomalies(found, titles=titles).collect()
+    assert (card.affected_count, [(c.source, c["count"]) for c in card.source_counts]) == (6, [("Twitter", 3)])
+    assert card.title == "First"
+
+
+def test_generated_titles(spark):
+    rows = [minutes_in(i, text=f"t{i}") for i in range(6)] + [minutes_in(900 + i) for i in range(6)]
+    found = incidents.incident_tickets(feedback(spark, rows))
+
+    def answer(prompts):
+        return ['"Login loop"' if "t0" in prompt else "x" * 200 for prompt in prompts]
+
+    titles = incidents.generated_titles(found, answering(answer, key="ticket_key"))
+    first, other = incidents.anomalies(found, titles=titles).orderBy("ticket_id").collect()
+    assert first.title == "Login loop" and other.title == other.original_title
 
 
 def test_cards_use_the_stable_key(spark):

@@ -20,8 +20,8 @@ SAMPLES = """, ranked AS (SELECT m.category, m.start_us, m.id, m.source, fbt.cle
   samples AS (SELECT * FROM ranked WHERE n <= 3)"""
 
 
-def _members(spark, sf_dir):
-    rows = feedback(spark, sf_dir)
+def _members(spark, sf_dir, rows=None):
+    rows = feedback(spark, sf_dir) if rows is None else rows
     return tickets.window_members(rows, incidents.found_windows(rows), 60)
 
 
@@ -29,7 +29,7 @@ def _tickets(spark, sf_dir):
     rows = feedback(spark, sf_dir)
     windows = incidents.found_windows(rows)
     members = tickets.window_members(rows, windows, 60)
-    return tickets.number_tickets(tickets.spike_tickets(rows, members), windows)
+    return tickets.number_tickets(tickets.spike_tickets(rows, members))
 
 
 @query("spike_windows", WINDOWS + "SELECT category, start_us, make_timestamp(start_us) AS window_start FROM chain")
@@ -37,14 +37,6 @@ def _(spark, sf_dir):
     return spikes.spike_windows(feedback(spark, sf_dir))
 
 
-@query(
-    "spike_windows_by_blocks", WINDOWS + "SELECT category, start_us, make_timestamp(start_us) AS window_start FROM chain"
-)
-def _(spark, sf_dir):
-    """The same windows the way large tables take."""
-    return spikes.spike_windows(feedback(spark, sf_dir), gather_rows=-1)
-
-
 @query(
     "sort_by_time",
     WINDOWS + "SELECT category, us, count(*) AS n FROM inc GROUP BY category, us",
@@ -73,13 +65,13 @@ def _(spark, sf_dir):
 
 @query("ticket_samples", TEXT_TICKETS + SAMPLES + " SELECT category, start_us, n::INT AS n, id, source, clean_text FROM samples")
 def _(spark, sf_dir):
-    return tickets.ticket_samples(feedback_text(spark, sf_dir), _members(spark, sf_dir))
+    return tickets.ticket_samples(_members(spark, sf_dir, feedback_text(spark, sf_dir)))
 
 
 @query("ticket_numbering", TICKETS + "SELECT category, start_us, number, ticket_id, ticket_key FROM titled")
 def _(spark, sf_dir):
     windows = incidents.found_windows(feedback(spark, sf_dir))
-    return tickets.number_tickets(windows.select("category", "start_us"), windows)
+    return tickets.number_tickets(windows.select("category", "start_us"))
 
 
 @query("ticket_action_flag", TICKETS + "SELECT ticket_id, ticket_key, number % 3 = 0 AS jira_created FROM titled")

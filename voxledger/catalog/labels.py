@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxledger.catalog import sql as Q
-from voxledger.catalog.keyword_scorer import KEYWORDS, keyword_scorer
+from voxledger.catalog.keyword_answers import KEYWORDS, keyword_answers
 from voxledger.catalog.registry import query
 from voxledger.functions import labels as L
 from voxledger.functions.text import clean_text
 from voxledger.operators import enrichment as E
 from voxledger.plans.ingest import ingest_run
 from voxledger.session import scratch_path
-from voxledger.sources.driver_tables import texts
+from voxledger.sources.driver_tables import table
 from voxledger.sources.feedback_table import create_feedback_table
 
 # One label object per row, as SQL text both engines evaluate on (id, lang).
@@ -47,12 +47,15 @@ def _spark_sql(text: str) -> str:
 
 
 def _documents(spark, sf_dir):
-    rows = texts(spark, sf_dir, "documents").withColumn("clean_text", clean_text(F.col("text")))
-    blank = F.when(F.col("doc_id") % 9 == 4, "  ").otherwise(F.col("clean_text"))
-    return rows.select(F.col("doc_id").alias("id"), "lang", blank.alias("clean_text"))
+    """All documents under even ids, and blank rows between them."""
+    rows, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    whole = rows.select((doc * 2).alias("id"), "lang", clean_text(F.col("text")).alias("clean_text"))
+    blank = rows.filter(doc % 9 == 4).select((doc * 2 + 1).alias("id"), "lang", F.lit("  ").alias("clean_text"))
+    return whole.unionByName(blank)
 
 
-DOCS = f"""docs AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 9 = 4 THEN '  ' ELSE {Q.clean('text')} END AS clean_text FROM documents)"""
+DOCS = f"""docs AS (SELECT doc_id * 2 AS id, lang, {Q.clean('text')} AS clean_text FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, lang, '  ' FROM documents WHERE doc_id % 9 = 4)"""
 BATCHED = f"""{DOCS}, batched AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch_id,
     CAST((row_number() OVER (ORDER BY id) - 1) % 15 AS INT) AS pos FROM docs),
   numbered AS (SELECT *, CASE WHEN trim(clean_text) <> '' THEN
@@ -89,9 +92,30 @@ def _batch_answers(numbered):
     return objects.select("batch_id", answer.alias("response"))
 
 
-@query("parse_label_object", f"WITH {DOCS} SELECT id, {ROW_OK} OR (id // 10) % 7 = 6 AS parsed FROM docs")
+# The fields of an object before they are validated, as text.
+RAW_CATEGORY = """CASE id % 9 WHEN 0 THEN 'Bug' WHEN 1 THEN 'Feature Request' WHEN 2 THEN 'Complaint' WHEN 3 THEN 'Spam'
+  WHEN 4 THEN 'Praise' WHEN 5 THEN 'bug' WHEN 6 THEN '5' WHEN 8 THEN 'Other' END"""
+RAW_SENTIMENT = "CASE lang WHEN 'en' THEN 'Negative' WHEN 'fr' THEN 'Positive' WHEN 'es' THEN 'mixed' END"
+RAW_URGENCY = """CASE id % 10 WHEN 0 THEN '4' WHEN 1 THEN '4.7' WHEN 2 THEN ' 3 ' WHEN 3 THEN '4.7' WHEN 4 THEN 'true'
+  WHEN 7 THEN '99999999999' WHEN 8 THEN '-2' WHEN 9 THEN '[5]' END"""
+
+
+def _raw_fields(parsed):
+    """Category, sentiment and urgency of a parsed object as text."""
+    return [
+        F.try_variant_get(parsed, f"$.{name}", "string").alias(name) for name in ("category", "sentiment", "urgency_score")
+    ]
+
+
+@query(
+    "parse_label_object",
+    f"""WITH {DOCS}, w AS (SELECT *, {ROW_OK} AS ok, (id // 10) % 7 = 6 AS odd FROM docs)
+    SELECT id, ok OR odd AS parsed, CASE WHEN ok THEN {RAW_CATEGORY} WHEN odd THEN '[1]' END AS category,
+      CASE WHEN ok OR odd THEN {RAW_SENTIMENT} END AS sentiment, CASE WHEN ok OR odd THEN {RAW_URGENCY} END AS urgency_score FROM w""",
+)
 def _(spark, sf_dir):
-    return _row_answers(spark, sf_dir).select("id", L.parse_object(F.col("response")).isNotNull().alias("parsed"))
+    rows = _row_answers(spark, sf_dir).select("id", L.parse_object(F.col("response")).alias("v"))
+    return rows.select("id", F.col("v").isNotNull().alias("parsed"), *_raw_fields(F.col("v")))
 
 
 @query(
@@ -132,13 +156,17 @@ def _(spark, sf_dir):
 
 @query(
     "parse_label_array",
-    f"""WITH {BATCHED} SELECT batch_id, CASE WHEN batch_id % 8 IN (5, 7) THEN NULL WHEN batch_id % 8 IN (4, 6) THEN max(items) + 1
-      WHEN batch_id % 8 = 3 THEN greatest(max(items) - 2, 0) ELSE max(items) END AS objects FROM numbered WHERE items > 0 GROUP BY batch_id""",
+    f"""WITH {BATCHED}, o AS (
+      SELECT batch_id, item, items, {RAW_CATEGORY} AS category, {RAW_SENTIMENT} AS sentiment FROM numbered
+      WHERE item IS NOT NULL AND batch_id % 8 NOT IN (5, 7) AND NOT (batch_id % 8 = 3 AND item > items - 2)
+      UNION ALL SELECT DISTINCT batch_id, items + 1, items, CASE batch_id % 8 WHEN 4 THEN 'Spam' END, NULL FROM numbered
+      WHERE items > 0 AND batch_id % 8 IN (4, 6))
+    SELECT batch_id, CAST(item AS INT) AS item, category, sentiment FROM o""",
 )
 def _(spark, sf_dir):
     parsed = L.parse_array(F.col("response"))
-    count = F.when(parsed.isNotNull(), F.size(parsed).cast("bigint"))
-    return _batch_answers(_numbered(spark, sf_dir)).select("batch_id", count.alias("objects"))
+    each = _batch_answers(_numbered(spark, sf_dir)).select("batch_id", F.posexplode(parsed).alias("pos", "v"))
+    return each.select("batch_id", (F.col("pos") + 1).alias("item"), *_raw_fields(F.col("v"))[:2])
 
 
 @query(
@@ -164,18 +192,6 @@ def keyword_case(field: int) -> str:
 SEEN = "lower(substring(clean_text, 1, 1000)) AS seen"
 
 
-@query(
-    "score_batches",
-    f"""WITH {BATCHED}, s AS (SELECT *, {SEEN} FROM numbered WHERE item IS NOT NULL)
-    SELECT id, {keyword_case(0)} AS category, {keyword_case(1)} AS sentiment, {keyword_case(2)} AS urgency_score FROM s""",
-)
-def _(spark, sf_dir):
-    numbered = _numbered(spark, sf_dir)
-    answers = E.score_batches(E.build_batch_prompts(numbered), keyword_scorer, parallelism=8)
-    labelled = E.apply_batch_responses(numbered, answers).filter("item IS NOT NULL")
-    return labelled.select("id", "category", "sentiment", "urgency_score")
-
-
 @query(
     "ingest_run",
     f"""WITH src AS (SELECT doc_id AS id, 'tweet' AS source, text AS raw_text, {Q.clean('text')} AS clean_text,
@@ -187,7 +203,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     minutes = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    raw = texts(spark, sf_dir, "documents").select(
+    raw = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.lit("tweet").alias("source"),
         F.col("text").alias("raw_text"),
@@ -196,7 +212,7 @@ def _(spark, sf_dir):
     path = scratch_path(spark, "feedback")
     name = "feedback_" + path[-12:]
     create_feedback_table(spark, name, path)
-    ingest_run(raw, keyword_scorer, name)
+    ingest_run(raw, keyword_answers, name)
     loaded = spark.table(name).drop("external_id")
     spark.sql(f"DROP TABLE {name}")
     return loaded

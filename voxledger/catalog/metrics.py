@@ -52,18 +52,6 @@ def _(spark, sf_dir):
     return filters.filter_incident_categories(feedback(spark, sf_dir)).select("id", "category")
 
 
-@query(
-    "empty_input_defaults",
-    """SELECT * FROM (VALUES ('total_feedback', 0.0::DOUBLE), ('bugs_reported', 0.0), ('negative_rate', 0.0),
-       ('avg_urgency', 0.0), ('Negative', 0.0), ('Neutral', 0.0), ('Positive', 0.0)) t(name, value)""",
-)
-def _(spark, sf_dir):
-    nothing = filters.filter_facets(feedback(spark, sf_dir), category="Uncategorized")
-    kpis = metrics.kpis(nothing).select(F.col("metric").alias("name"), "value")
-    shares = metrics.sentiment_share(metrics.sentiment_distribution(nothing))
-    return kpis.unionByName(shares.select(F.col("sentiment").alias("name"), F.col("percentage").alias("value")))
-
-
 @query("category_volume", FB + "SELECT category, count(*) AS volume FROM fb GROUP BY category")
 def _(spark, sf_dir):
     return priority.category_volume(feedback(spark, sf_dir))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.catalog import sql as Q
+from voxledger.catalog.keyword_answers import keyword_answers
+from voxledger.catalog.labels import SEEN, keyword_case
 from voxledger.catalog.registry import query
 from voxledger.catalog.text import body_sql, post_content
 from voxledger.functions.timeparse import epoch_seconds
+from voxledger.plans.ingest import fetch_run
 from voxledger.session import scratch_path
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
@@ -18,8 +21,8 @@ from voxledger.sources.driver_tables import feedback, feedback_text, table
 
 START = 1704067200  # 2024-01-01
 MID_MONTH = 1705276800.0  # 2024-01-15
-FB = f"WITH {Q.CTE_FB} "
-LABEL_COLUMNS = "id, source, created_at, category, sentiment, urgency_score"
+FB = f"WITH {Q.CTE_FBT}, fb_rows AS (SELECT * FROM fbt) "
+LABEL_COLUMNS = "id, source, raw_text, clean_text, created_at, category, sentiment, urgency_score"
 
 # ISO text of a timestamp as the readers write it: a fraction only when there is one.
 ISO = """strftime({t}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({t}) % 1000000 <> 0 THEN strftime({t}, '.%f') ELSE '' END || '+00:00'"""
@@ -51,25 +54,25 @@ def _(spark, sf_dir):
     return T.scan_feedback(spark, path).drop("external_id")
 
 
-@query("create_feedback_table", FB + f"SELECT {LABEL_COLUMNS} FROM fb")
+@query("create_feedback_table", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows")
 def _(spark, sf_dir):
     name = _new_table(spark)
-    T.load_append(feedback(spark, sf_dir), name)
+    T.load_append(feedback_text(spark, sf_dir), name)
     T.create_feedback_table(spark, name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
 
 
-@query("load_overwrite", FB + f"SELECT {LABEL_COLUMNS} FROM fb")
+@query("load_overwrite", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows")
 def _(spark, sf_dir):
-    rows, name = feedback(spark, sf_dir), _new_table(spark)
+    rows, name = feedback_text(spark, sf_dir), _new_table(spark)
     T.load_append(rows.withColumn("category", F.lit("Spam")), name)
     T.load_overwrite(rows, name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
 
 
-@query("load_append", FB + f"SELECT {LABEL_COLUMNS} FROM fb UNION ALL SELECT {LABEL_COLUMNS} FROM fb WHERE category = 'Bug'")
+@query("load_append", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows UNION ALL SELECT {LABEL_COLUMNS} FROM fb_rows WHERE category = 'Bug'")
 def _(spark, sf_dir):
-    rows, name = feedback(spark, sf_dir), _new_table(spark)
+    rows, name = feedback_text(spark, sf_dir), _new_table(spark)
     T.load_append(rows, name)
     T.load_append(rows.filter("category = 'Bug'"), name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
@@ -77,7 +80,7 @@ def _(spark, sf_dir):
 
 @query(
     "upsert_new_only",
-    FB + f""", x AS (SELECT *, CASE WHEN id % 11 = 0 THEN NULL ELSE 'e' || (id // 3) END AS external_id FROM fb),
+    FB + f""", x AS (SELECT *, CASE WHEN id % 11 = 0 THEN NULL ELSE 'e' || (id // 3) END AS external_id FROM fb_rows),
     inc AS (SELECT * FROM x WHERE category IN ('Bug', 'Complaint')),
     s1 AS (SELECT * FROM inc WHERE external_id IS NULL UNION ALL
            SELECT * FROM inc WHERE external_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY id) = 1),
@@ -88,7 +91,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     third = F.floor(F.col("id") / 3).cast("string")
-    rows = feedback(spark, sf_dir).withColumn(
+    rows = feedback_text(spark, sf_dir).withColumn(
         "external_id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("e"), third))
     )
     name = _new_table(spark)
@@ -125,30 +128,35 @@ def _feeds(spark, sf_dir):
     title = F.concat(F.lit(" Page "), F.regexp_extract("html", "<title>(.*?)</title>", 1))
     entry = F.concat(
         F.lit("<entry><id>"),
-        _escaped(F.concat(F.lit("tag/t3_"), page.cast("string"))),
+        _escaped(F.concat(F.lit("tag/t3_"), page.cast("string"), F.when(F.col("full"), "").otherwise("n"))),
         F.lit("</id>"),
         F.when(page % 10 != 7, F.concat(F.lit("<title>"), _escaped(title), F.lit("</title>"))).otherwise(""),
         F.lit("<updated>"),
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
         F.lit("</updated>"),
-        F.when(page % 4 != 0, F.concat(F.lit('<content type="html">'), _escaped(post_content()), F.lit("</content>"))).otherwise(""),
+        F.when(F.col("full"), F.concat(F.lit('<content type="html">'), _escaped(post_content()), F.lit("</content>"))).otherwise(""),
         F.lit("</entry>"),
     )
-    grouped = table(spark, sf_dir, "pages").groupBy(F.floor(page / 25).alias("feed")).agg(
-        F.array_sort(F.collect_list(F.struct("page_id", entry.alias("entry")))).alias("e")
+    pages = table(spark, sf_dir, "pages")
+    both = pages.withColumn("full", F.lit(True)).unionByName(
+        pages.filter(page % 4 == 0).withColumn("full", F.lit(False))
     )
-    head = '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>new posts</title>'
+    grouped = both.groupBy(F.floor(page / 25).alias("feed")).agg(
+        F.array_sort(F.collect_list(F.struct("page_id", "full", entry.alias("entry")))).alias("e")
+    )
+    head = '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom"><title>pages</title>'
     return grouped.select("feed", F.concat(F.lit(head), F.array_join("e.entry", ""), F.lit("</feed>")).alias("xml"))
 
 
-FEED = f"""p AS (SELECT page_id, 'Page ' || trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title,
-    CASE WHEN page_id % 4 <> 0 THEN {body_sql()} ELSE '' END AS body,
-    TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id AS posted_at FROM pages WHERE page_id % 10 <> 7)"""
+FEED = f"""q AS (SELECT *, TRUE AS whole FROM pages UNION ALL SELECT *, FALSE FROM pages WHERE page_id % 4 = 0),
+  p AS (SELECT page_id || CASE WHEN whole THEN '' ELSE 'n' END AS post, page_id,
+    'Page ' || trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title, CASE WHEN whole THEN {body_sql()} ELSE '' END AS body,
+    TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id AS posted_at FROM q WHERE page_id % 10 <> 7)"""
 
 
 @query(
     "parse_atom_feed",
-    f"""WITH {FEED} SELECT 'reddit' AS source, 'reddit_' || page_id AS external_id,
+    f"""WITH {FEED} SELECT 'reddit' AS source, 'reddit_' || post AS external_id,
       CASE WHEN body <> '' THEN title || ' - ' || body ELSE title END AS raw_text,
       strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM p WHERE epoch_us(posted_at) > {START + 1200}::BIGINT * 1000000""",
 )
@@ -160,20 +168,27 @@ def _(spark, sf_dir):
     "read_seed_posts",
     f"""WITH d AS (SELECT *, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * doc_id AS posted_at, doc_id % 40 AS pos FROM documents)
     SELECT 'reddit' AS source, CASE WHEN doc_id % 7 = 0 THEN 'reddit_' || epoch_us(posted_at) // 1000000 ELSE 'd' || doc_id END AS external_id,
-      CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS raw_text, strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at
-    FROM d WHERE pos < 25 AND epoch_us(posted_at) > {START + 1200}::BIGINT * 1000000""",
+      text AS raw_text, strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at
+    FROM d WHERE pos < 25 AND epoch_us(posted_at) > {START + 1200}::BIGINT * 1000000
+    UNION ALL SELECT 'reddit', 'n' || doc_id, '', strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00')
+    FROM d WHERE doc_id % 40 < 25 AND epoch_us(posted_at) > {START + 1200}::BIGINT * 1000000""",
 )
 def _(spark, sf_dir):
     doc = F.col("doc_id")
     at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=doc.cast("int"))
-    post = F.struct(
-        F.lit("reddit").alias("source"),
-        F.when(doc % 7 != 0, F.concat(F.lit("d"), doc.cast("string"))).alias("external_id"),
-        F.when(doc % 5 != 0, F.col("text")).alias("raw_text"),
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created_at"),
-    )
-    lists = table(spark, sf_dir, "documents").groupBy(F.floor(doc / 40).alias("list")).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", post.alias("post")))).alias("p")
+    def lists_of(name, external_id, text):
+        post = F.struct(
+            F.lit("reddit").alias("source"),
+            external_id.alias("external_id"),
+            text.alias("raw_text"),
+            F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("created_at"),
+        )
+        named = F.concat(F.lit(name), F.floor(doc / 40).cast("string")).alias("list")
+        posts = F.array_sort(F.collect_list(F.struct("doc_id", post.alias("post")))).alias("p")
+        return table(spark, sf_dir, "documents").groupBy(named).agg(posts)
+
+    lists = lists_of("whole", F.when(doc % 7 != 0, F.concat(F.lit("d"), doc.cast("string"))), F.col("text")).unionByName(
+        lists_of("bare", F.concat(F.lit("n"), doc.cast("string")), F.lit(None).cast("string"))
     )
     path = scratch_path(spark, "seed")
     # One file per list, as the posts are delivered.
@@ -186,15 +201,14 @@ def _submissions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("p"), doc.cast("string")).alias("id"),
         F.col("source").alias("channel"),
-        F.concat(F.lit(" "), F.substring("text", 1, 60)).alias("title"),
-        F.when(doc % 5 == 0, None).when(doc % 5 == 1, "").otherwise(F.col("text")).alias("selftext"),
+        F.concat(F.lit(" Post in "), F.col("lang")).alias("title"),
+        F.col("text").alias("selftext"),
         (F.lit(float(START)) + doc * 37.25).alias("created_utc"),
         (doc % 13 == 0).alias("stickied"),
     )
 
 
-SUBMISSIONS = f"""posts AS (SELECT 'p' || doc_id AS id, doc_id, source AS channel, trim(substring(text, 1, 60), E' \\t\\n\\r') AS title,
-    CASE WHEN doc_id % 5 < 2 THEN '' ELSE text END AS body, make_timestamp(({START}::BIGINT * 1000000 + doc_id * 37250000)::BIGINT) AS posted_at
+SUBMISSIONS = f"""posts AS (SELECT 'p' || doc_id AS id, doc_id, source AS channel, coalesce('Post in ' || lang, '') AS title, text AS body, make_timestamp(({START}::BIGINT * 1000000 + doc_id * 37250000)::BIGINT) AS posted_at
     FROM documents WHERE doc_id % 13 <> 0)"""
 
 
@@ -202,10 +216,15 @@ SUBMISSIONS = f"""posts AS (SELECT 'p' || doc_id AS id, doc_id, source AS channe
     "normalize_submissions",
     f"""WITH {SUBMISSIONS} SELECT 'reddit' AS source, 'reddit_' || id AS external_id,
       CASE WHEN body <> '' THEN title || ' - ' || trim(body, E' \\t\\n\\r') ELSE title END AS raw_text, {ISO.format(t='posted_at')} AS created_at
+    FROM posts WHERE epoch_us(posted_at) > {START + 1000}::BIGINT * 1000000
+    UNION ALL SELECT 'reddit', 'reddit_n' || id, title, {ISO.format(t='posted_at')}
     FROM posts WHERE epoch_us(posted_at) > {START + 1000}::BIGINT * 1000000""",
 )
 def _(spark, sf_dir):
-    return C.to_contract(P.normalize_submissions(_submissions(spark, sf_dir), since=START + 1000.0))
+    posts = _submissions(spark, sf_dir)
+    bare = F.when(F.col("created_utc") % 2 < 1, "")
+    without = posts.withColumn("id", F.concat(F.lit("n"), F.col("id"))).withColumn("selftext", bare)
+    return C.to_contract(P.normalize_submissions(posts.unionByName(without), since=START + 1000.0))
 
 
 CONTRACT = """SELECT 'app_review' AS source, 'd' || doc_id AS external_id, text AS raw_text, NULL::VARCHAR AS created_at FROM documents
@@ -297,3 +316,37 @@ def _(spark, sf_dir):
     W.save_mark(P.newest_mark(first_delivery, W.read_mark(spark, path), "ts"), path)
     mark = W.read_mark(spark, path)
     return P.newer_than(events, mark, "ts").select("event_id", "ts", F.lit(mark).alias("since_utc"))
+
+
+FETCH_CHANNELS = tuple(f"src{i}" for i in range(20))
+
+
+@query(
+    "fetch_run",
+    f"""WITH {SUBMISSIONS},
+      newest AS (SELECT * FROM posts WHERE epoch_us(posted_at) > {START + 1000}::BIGINT * 1000000
+        QUALIFY row_number() OVER (PARTITION BY channel ORDER BY posted_at DESC, 'reddit_' || id) <= 25),
+      src AS (SELECT doc_id AS id, 'reddit_' || id AS external_id, title || ' - ' || trim(body, E' \\t\\n\\r') AS raw_text, posted_at AS created_at
+        FROM newest WHERE doc_id % 13 <> 0),
+      c AS (SELECT *, {Q.clean('raw_text')} AS clean_text FROM src), s AS (SELECT *, {SEEN} FROM c),
+      l AS (SELECT * EXCLUDE (seen), {keyword_case(0)} AS category, {keyword_case(1)} AS sentiment, {keyword_case(2)} AS urgency_score FROM s),
+      {Q.scored('l')}
+    SELECT external_id, raw_text, clean_text, created_at, category, sentiment, urgency_score, priority_score FROM scored""",
+)
+def _(spark, sf_dir):
+    """Posts from a landed feed to the scored table; the second run finds the mark and nothing new."""
+    posts, mark = _submissions(spark, sf_dir), scratch_path(spark, "mark")
+    W.save_mark(spark.range(1).select(F.lit(START + 1000.0).alias("since_utc")), mark)
+
+    def nothing(since):
+        return P.normalize_submissions(posts.limit(0), since)
+
+    def landed(since):
+        return P.normalize_submissions(posts, since)
+
+    name = _new_table(spark)
+    for _ in range(2):
+        fetch_run(spark, [nothing, landed], keyword_answers, name, mark, FETCH_CHANNELS, 500)
+    return _read_and_forget(
+        spark, name, "external_id, raw_text, clean_text, created_at, category, sentiment, urgency_score, priority_score"
+    )

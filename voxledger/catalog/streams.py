@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxledger.catalog import sql as Q
 from voxledger.catalog.incidents import WINDOWS
-from voxledger.catalog.keyword_scorer import keyword_scorer
+from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.catalog.labels import SEEN, keyword_case
 from voxledger.catalog.registry import query
 from voxledger.session import scratch_path
@@ -78,7 +78,7 @@ def _(spark, sf_dir):
     # The second run has lost its offsets and is handed everything again.
     for _ in range(2):
         stream = spark.readStream.schema(raw.schema).parquet(landing)
-        stream_ingest(stream, keyword_scorer, name, scratch_path(spark, "offsets")).awaitTermination()
+        stream_ingest(stream, keyword_answers, name, scratch_path(spark, "offsets")).awaitTermination()
     spark.catalog.refreshTable(name)
     columns = ("id", "external_id", "raw_text", "clean_text", "category", "sentiment", "urgency_score")
     stored = spark.table(name).select(*columns)

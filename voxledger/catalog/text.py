@@ -11,7 +11,7 @@ from voxledger.functions import text as X
 from voxledger.functions import timeparse as P
 from voxledger.operators import filters
 from voxledger.operators.enrichment import route_empty_text
-from voxledger.sources.driver_tables import table, texts
+from voxledger.sources.driver_tables import table
 
 # What the page tables hold in entities, decoded with '&' last.
 DECODED = "html"
@@ -41,7 +41,7 @@ def post_content(html: str = "html"):
 )
 def _(spark, sf_dir):
     def part(name, key, text):
-        return texts(spark, sf_dir, name).select(
+        return table(spark, sf_dir, name).select(
             F.lit(name).alias("origin"), key.alias("id"), X.clean_text(F.col(text)).alias("clean_text")
         )
 
@@ -55,7 +55,7 @@ def _(spark, sf_dir):
 
 @query("extract_post_body", f"SELECT page_id, {body_sql()} AS body FROM pages")
 def _(spark, sf_dir):
-    return texts(spark, sf_dir, "pages").select("page_id", X.post_body(post_content()).alias("body"))
+    return table(spark, sf_dir, "pages").select("page_id", X.post_body(post_content()).alias("body"))
 
 
 @query(
@@ -69,13 +69,16 @@ def _(spark, sf_dir):
 
 @query(
     "merge_title_body",
-    f"""WITH d AS (SELECT doc_id, ' ' || source || ' ' AS title, CASE WHEN lang = 'en' THEN '' ELSE {Q.clean('text')} END AS body FROM documents)
+    f"""WITH d AS (SELECT doc_id, ' ' || source || ' ' AS title, {Q.clean('text')} AS body FROM documents
+      UNION ALL SELECT -1 - doc_id, ' ' || source || ' ', '' FROM documents)
     SELECT doc_id, CASE WHEN body <> '' THEN trim(title) || ' - ' || body ELSE trim(title) END AS raw_text FROM d""",
 )
 def _(spark, sf_dir):
     title = F.concat(F.lit(" "), F.col("source"), F.lit(" "))
-    body = F.when(F.col("lang") == "en", "").otherwise(X.clean_text(F.col("text")))
-    return texts(spark, sf_dir, "documents").select("doc_id", X.merge_title_body(title, body).alias("raw_text"))
+    docs = table(spark, sf_dir, "documents")
+    whole = docs.select("doc_id", title.alias("title"), X.clean_text(F.col("text")).alias("body"))
+    bare = docs.select((-1 - F.col("doc_id")).alias("doc_id"), title.alias("title"), F.lit("").alias("body"))
+    return whole.unionByName(bare).select("doc_id", X.merge_title_body(F.col("title"), F.col("body")).alias("raw_text"))
 
 
 @query(
@@ -136,8 +139,9 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", D.accept_title(answer, kind).alias("title"))
 
 
-NOISY = f"""noisy AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'ok ... !!' WHEN 1 THEN repeat('@someone ', 6) || text
-    WHEN 2 THEN 'https://example.com/' || doc_id WHEN 3 THEN repeat('@someone ', 5) || text ELSE text END AS raw_text FROM documents),
+NOISY = f"""noisy AS (SELECT doc_id, text AS raw_text FROM documents UNION ALL
+    SELECT -1 - doc_id, CASE doc_id % 10 WHEN 0 THEN 'ok ... !!' WHEN 1 THEN repeat('@someone ', 6) || text
+    WHEN 2 THEN 'https://example.com/' || doc_id ELSE repeat('@someone ', 5) || text END FROM documents WHERE doc_id % 10 < 4),
   cleaned AS (SELECT *, {Q.clean('raw_text')} AS clean_text FROM noisy)"""
 
 
@@ -153,10 +157,11 @@ def _(spark, sf_dir):
         F.when(form == 0, "ok ... !!")
         .when(form == 1, F.concat(F.repeat(F.lit("@someone "), 6), text))
         .when(form == 2, F.concat(F.lit("https://example.com/"), F.col("doc_id").cast("string")))
-        .when(form == 3, F.concat(F.repeat(F.lit("@someone "), 5), text))
-        .otherwise(text)
+        .otherwise(F.concat(F.repeat(F.lit("@someone "), 5), text))
     )
-    noisy = texts(spark, sf_dir, "documents").select("doc_id", raw.alias("raw_text"))
+    docs = table(spark, sf_dir, "documents")
+    noise = docs.filter(form < 4).select((-1 - F.col("doc_id")).alias("doc_id"), raw.alias("raw_text"))
+    noisy = docs.select("doc_id", text.alias("raw_text")).unionByName(noise)
     noisy = noisy.withColumn("clean_text", X.clean_text_once(F.col("raw_text")))
     return filters.drop_noise(noisy).select("doc_id", "clean_text")
 
@@ -177,12 +182,13 @@ def _(spark, sf_dir):
 
 @query(
     "route_empty_text",
-    f"""WITH d AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN '  ' ELSE {Q.clean('text')} END AS clean_text FROM documents)
+    f"""WITH d AS (SELECT doc_id AS id, {Q.clean('text')} AS clean_text FROM documents UNION ALL SELECT -1 - doc_id, '  ' FROM documents)
     SELECT id, clean_text, trim(clean_text) <> '' AS needs_model,
       CASE WHEN trim(clean_text) = '' THEN 'Uncategorized' END AS category,
       CASE WHEN trim(clean_text) = '' THEN 'Neutral' END AS sentiment,
       CASE WHEN trim(clean_text) = '' THEN 1 END AS urgency_score FROM d""",
 )
 def _(spark, sf_dir):
-    clean = F.when(F.col("lang") == "fr", "  ").otherwise(X.clean_text(F.col("text")))
-    return route_empty_text(texts(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean.alias("clean_text")))
+    docs, doc = table(spark, sf_dir, "documents"), F.col("doc_id")
+    whole = docs.select(doc.alias("id"), X.clean_text(F.col("text")).alias("clean_text"))
+    return route_empty_text(whole.unionByName(docs.select((-1 - doc).alias("id"), F.lit("  ").alias("clean_text"))))

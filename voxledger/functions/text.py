@@ -80,7 +80,9 @@ def unescape_entities(text: pd.Series) -> pd.Series:
 def post_body(content: Column) -> Column:
     """Readable text of a post between its body markers; '' when there is none."""
     block = F.regexp_extract(F.coalesce(content, F.lit("")), POST_BODY, 1)
-    text = unescape_entities(F.regexp_replace(block, TAG, " "))
+    plain = F.regexp_replace(block, TAG, " ")
+    # Only texts that hold an ampersand are sent to Python.
+    text = F.coalesce(unescape_entities(F.when(plain.contains("&"), plain)), plain)
     text = F.regexp_replace(text, BODY_LINKS, "")
     text = F.regexp_replace(text, BODY_FOOTER, "")
     return collapse(text)

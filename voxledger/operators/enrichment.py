@@ -33,6 +33,9 @@ TITLE_PROMPT = (
 )
 TITLE_SAMPLES = 5
 
+# From prompts (a key and ``prompt``) to answers (the key and ``response``), as a frame.
+Scorer = Callable[[DataFrame], DataFrame]
+
 
 def _fill(template: str, **parts: Column) -> Column:
     text = F.lit(template)
@@ -91,30 +94,41 @@ def build_title_prompts(tickets: DataFrame) -> DataFrame:
     )
 
 
-def score_batches(
-    prompts: DataFrame, scorer: Callable[[str], str], parallelism: int | None = None, key: str = "batch_id"
-) -> DataFrame:
-    """Run a scorer over prompts; an exception becomes a null answer, never a failed job.
+def answering(
+    answer: Callable[[list[str]], list[str | None]], parallelism: int | None = None, key: str = "batch_id"
+) -> Scorer:
+    """A scorer from a function that answers a list of prompts.
 
-    ``parallelism`` bounds how many scorers run at once. Throttling and
-    retries belong inside the callable.
+    Each Arrow batch of prompts is one call. Where a call fails, its prompts are
+    tried one by one, and one that still fails has a null answer; the job goes on.
+    ``parallelism`` bounds how many calls run at once. Throttling belongs inside
+    the function.
     """
 
-    def answer(prompt: str) -> str | None:
+    def alone(prompt: str) -> str | None:
         try:
-            return scorer(prompt)
+            return answer([prompt])[0]
         except Exception:
             return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "response": [answer(p) for p in frame["prompt"]]})
-
-    key_type = prompts.schema[key].dataType.simpleString()
-    wanted = prompts.select(key, "prompt")
-    if parallelism:
-        wanted = wanted.repartition(parallelism)
-    return wanted.mapInPandas(run, f"{key} {key_type}, response string")
+            asked = list(frame["prompt"])
+            try:
+                answers = answer(asked)
+                if len(answers) != len(asked):
+                    raise ValueError("one answer per prompt")
+            except Exception:
+                answers = [alone(prompt) for prompt in asked]
+            yield pd.DataFrame({key: frame[key], "response": pd.Series(answers, dtype=object)})
+
+    def score(prompts: DataFrame) -> DataFrame:
+        wanted = prompts.select(key, "prompt")
+        if parallelism:
+            wanted = wanted.repartition(parallelism)
+        return wanted.mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, response string")
+
+    return score
 
 
 def _spread(df: DataFrame, label: Column) -> DataFrame:

@@ -14,8 +14,8 @@ from voxledger.functions.numeric import hours_before_newest
 
 
 def filter_recent(df: DataFrame, hours: int | None, ts: str = "created_at") -> DataFrame:
-    """Rows within ``hours`` of the newest row, both ends included; 0 or None keeps all."""
-    if not hours:
+    """Rows within ``hours`` of the newest row, both ends included: 0 keeps the newest instant, None all rows."""
+    if hours is None:
         return df
     return df.filter(F.col(ts) >= hours_before_newest(df, hours, ts))
 

@@ -7,63 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Pages that end beyond this row are cut by position instead of a top-k heap.
-TOP_K_ROWS = 20_000
-
-
-def _running_before(value: str, window) -> Column:
-    total = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(total, F.lit(0).cast("bigint"))
-
-
-def with_position(
-    df: DataFrame,
-    id_column: str,
-    keys: Sequence[str] = (),
-    key_order: Sequence[Column] = (),
-    block_bits: int = 20,
-    group_bits: int = 44,
-    name: str = "position",
-) -> DataFrame:
-    """0-based position in the order (``key_order``, ``id_column``).
-
-    Ids are unique integers, so a block of ``2**block_bits`` consecutive ids
-    under one key holds at most that many rows, however hot the key is. Rows
-    are numbered inside their block; block sizes are summed twice, inside
-    groups of blocks and over the groups, to get what lies before each block.
-    Keys must not be null.
+from voxledger.session import materialize
+
+# A partition's rows are numbered below this bit by monotonically_increasing_id.
+ROW_BITS = 33
+
+
+def _tie(df: DataFrame) -> Column:
+    """A hash of the row, for rows without an id."""
+    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    return F.xxhash64(*hashable)
+
+
+def with_position(df: DataFrame, id_column: str, order: Sequence[Column] = (), name: str = "position") -> DataFrame:
+    """0-based position in the order (``order``, ``id_column``).
+
+    Rows are dealt to ranges of the order and sorted inside them, once, and
+    written; a row's position is the number of rows in earlier ranges, of which
+    there are as many as tasks, plus its place in its own. Rows without an id come
+    last among equals, ordered by a hash of their values, so any number of them
+    spreads over ranges.
     """
-    keys = list(keys)
-    rows = df.withColumn("_block", F.shiftright(F.col(id_column).cast("bigint"), block_bits))
-    blocks = (
-        rows.groupBy(*keys, "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_group", F.shiftright("_block", group_bits - block_bits))
-    )
-    groups = blocks.groupBy(*keys, "_group").agg(F.sum("_rows").alias("_group_rows"))
-    groups = groups.select(
-        *keys, "_group", _running_before("_group_rows", Window.orderBy(*key_order, "_group")).alias("_group_start")
-    )
-    inside = Window.partitionBy(*keys, "_group").orderBy("_block")
-    starts = (
-        blocks.withColumn("_inside", _running_before("_rows", inside))
-        .join(groups, [*keys, "_group"])
-        .select(*keys, "_block", (F.col("_group_start") + F.col("_inside")).alias("_start"))
-    )
-    in_block = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(id_column))
-    return (
-        rows.withColumn("_in_block", in_block)
-        .join(starts, [*keys, "_block"])
-        .withColumn(name, F.col("_start") + F.col("_in_block") - 1)
-        .select(*df.columns, name)
-    )
+    keys = [*order, F.asc_nulls_last(id_column), F.when(F.col(id_column).isNull(), _tie(df)).asc()]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_place", ROW_BITS)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0).cast("bigint")).alias("_start"))
+    by_part = starts.agg(F.map_from_entries(F.collect_list(F.struct("_part", "_start"))).alias("starts")).scalar()
+    inside = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return placed.select(*df.columns, (F.try_element_at(by_part, part) + inside).alias(name))
 
 
 def with_rank(scored: DataFrame) -> DataFrame:
     """0-based ``rank`` by priority, ties by id."""
-    keyed = scored.withColumn("_score", F.coalesce("priority_score", F.lit(float("-inf"))))
-    ranked = with_position(keyed, "id", ["_score"], [F.desc("_score")], name="rank")
-    return ranked.drop("_score")
+    return with_position(scored, "id", [F.desc_nulls_last("priority_score")], "rank")
 
 
 def top_n(scored: DataFrame, n: int = 100) -> DataFrame:
@@ -71,14 +50,15 @@ def top_n(scored: DataFrame, n: int = 100) -> DataFrame:
 
 
 def paginate(scored: DataFrame, page: int = 1, limit: int = 25) -> DataFrame:
-    """One page of the ranked rows; empty past the end."""
+    """One page of the ranked rows; empty past the end.
+
+    Spark keeps the rows up to the page's end in a heap per task, and sorts
+    instead where that end lies beyond its own limit for heaps.
+    """
     if page < 1 or not 1 <= limit <= 200:
         raise ValueError("page starts at 1 and limit lies between 1 and 200")
     start = (page - 1) * limit
-    if start + limit <= TOP_K_ROWS:
-        return scored.orderBy(F.desc_nulls_last("priority_score"), "id").offset(start).limit(limit)
-    rank = F.col("rank")
-    return with_rank(scored).filter((rank >= start) & (rank < start + limit)).drop("rank")
+    return scored.orderBy(F.desc_nulls_last("priority_score"), "id").offset(start).limit(limit)
 
 
 def page_totals(filtered: DataFrame, limit: int = 25) -> DataFrame:

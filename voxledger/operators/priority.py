@@ -9,6 +9,8 @@ from voxledger import schema as S
 from voxledger.functions.numeric import half_even
 
 KNOWN_CATEGORIES = tuple(S.CATEGORY_WEIGHTS)
+# Parts that the rows of one category outside the vocabulary are dealt to.
+SALTS = 64
 
 
 def category_volume(df: DataFrame) -> DataFrame:
@@ -25,13 +27,18 @@ def category_weight(category: Column) -> Column:
     return F.coalesce(F.try_element_at(weights, category), F.lit(S.OTHER_CATEGORY_WEIGHT))
 
 
+def _numbers(df: DataFrame) -> list[str]:
+    """Columns of fixed width, which tell rows of one category apart."""
+    return [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "double", "timestamp", "timestamp_ntz")]
+
+
 def with_category_volume(df: DataFrame, full: DataFrame | None = None) -> DataFrame:
     """Attach the category's row count in ``full`` (by default ``df`` itself).
 
     Rows of known categories are not shuffled. The six known counts are one global aggregate with one output row, looked
     up as a subquery value, so a category holding a third of the table costs
-    nothing extra. Rows of any other category take an ordinary join with their
-    own counts; on a Parquet table the dictionary of ``category`` lets that
+    nothing extra. Rows of any other category take a join with their
+    own counts, salted so that one such category may be hot; on a Parquet table the dictionary of ``category`` lets that
     branch skip every row group without such rows.
     """
     category = F.col("category")
@@ -46,7 +53,9 @@ def with_category_volume(df: DataFrame, full: DataFrame | None = None) -> DataFr
     unknown = ~category.isin(*KNOWN_CATEGORIES)
     other = df.filter(unknown)
     volumes = category_volume(full.filter(unknown)).withColumnRenamed("volume", "category_volume")
-    return known.unionByName(other.join(volumes, "category").select(known.columns))
+    salted = volumes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = other.withColumn("_salt", F.pmod(F.xxhash64(*_numbers(df)), F.lit(SALTS)).cast("int"))
+    return known.unionByName(dealt.join(salted, ["category", "_salt"]).select(known.columns))
 
 
 def priority(urgency: Column, category: Column, volume: Column) -> Column:

@@ -4,8 +4,7 @@ The rule is a greedy scan per category: at a row, count the rows of the next
 ``w`` minutes (both ends included); with ``threshold`` or more, that is a
 window and the scan continues behind it, otherwise it moves to the next row.
 
-A scan per category runs as two tasks, which is right for a few million rows
-and only then. Beyond that the work is cut by time:
+A scan per category would run as two tasks, so the work is cut by time:
 
 * Equal timestamps are counted first, with partial aggregation, so a burst in
   a single instant is one row.
@@ -30,14 +29,12 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.functions.numeric import from_micros, micros
 from voxledger.operators.filters import filter_incident_categories
-from voxledger.session import counts_at_most, materialize, ship_by_value
+from voxledger.session import materialize, ship_by_value
 
 ship_by_value(__name__)
 
 CELLS_PER_WINDOW = 3600
 SLOTS_PER_WINDOW = 12
-# Up to this many counted rows the times of a category are handled by one task.
-GATHER_ROWS = 4_000_000
 WINDOWS_PER_BLOCK = 24
 BLOCKS_PER_SPAN = 30
 BEFORE_ALL = -(2**62)
@@ -288,26 +285,6 @@ def _replay(window_us: int):
     return run
 
 
-def _walk_all(window_us: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        starts = _walk(np.sort(rows["us"].to_numpy()), BEFORE_ALL, window_us)
-        return pd.DataFrame({"category": key[0], "start_us": starts})
-
-    return run
-
-
-def _scan(threshold: int, window_us: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("us")
-        times = rows["us"].to_numpy()
-        upto = np.append(0, np.cumsum(rows["n"].to_numpy()))
-        inside = upto[np.searchsorted(times, times + window_us, side="right")] - upto[:-1]
-        starts = _walk(times[inside >= threshold], BEFORE_ALL, window_us)
-        return pd.DataFrame({"category": key[0], "start_us": starts})
-
-    return run
-
-
 def chain_by_blocks(times: DataFrame, window_us: int) -> DataFrame:
     """Window starts among candidates, block by block."""
     block_us = window_us * WINDOWS_PER_BLOCK
@@ -333,29 +310,21 @@ def chain_by_blocks(times: DataFrame, window_us: int) -> DataFrame:
     )
 
 
-def window_starts(times: DataFrame, threshold: int, window_us: int, gather_rows: int = GATHER_ROWS) -> DataFrame:
+def window_starts(times: DataFrame, threshold: int, window_us: int) -> DataFrame:
     """Window starts from counted instants (written, as they are read several times).
 
-    The row count decides the way: few instants are scanned by one task per
-    category; many are tested in cells, narrowed to candidates, and the chain
-    goes through one task per category or block by block, again by count.
+    Instants are tested in cells, narrowed to candidates, and the chain is
+    followed block by block.
     """
-    if counts_at_most(times, gather_rows):
-        return times.groupBy("category").applyInPandas(_scan(threshold, window_us), START_TYPE)
     reachable = reachable_times(qualifying_times(times, threshold, window_us), window_us)
     candidates = materialize(within(reachable, corridor(reachable, window_us), window_us), "candidates")
-    if counts_at_most(candidates, gather_rows):
-        return candidates.groupBy("category").applyInPandas(_walk_all(window_us), START_TYPE)
     return chain_by_blocks(candidates, window_us)
 
 
 def spike_windows(
-    df: DataFrame,
-    threshold: int = S.SPIKE_THRESHOLD,
-    window_minutes: int = S.SPIKE_WINDOW_MINUTES,
-    gather_rows: int = GATHER_ROWS,
+    df: DataFrame, threshold: int = S.SPIKE_THRESHOLD, window_minutes: int = S.SPIKE_WINDOW_MINUTES
 ) -> DataFrame:
     """One row per detected window: ``category``, ``start_us``, ``window_start``."""
     times = materialize(incident_times(df), "times")
-    starts = window_starts(times, int(threshold), window_micros(window_minutes), gather_rows)
+    starts = window_starts(times, int(threshold), window_micros(window_minutes))
     return starts.withColumn("window_start", from_micros(F.col("start_us")))

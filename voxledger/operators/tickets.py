@@ -16,31 +16,27 @@ from voxledger.operators.filters import filter_incident_categories
 from voxledger.operators.metrics import baseline_rate
 from voxledger.operators.ordering import with_position
 from voxledger.operators.spikes import time_slot, window_micros
-from voxledger.session import BROADCAST_ROWS, counts_at_most, materialize
 
 KEY = ["category", "start_us"]
 SAMPLES = 3
 SHUFFLE_CELLS = 60
 
 
-def window_members(
-    df: DataFrame, windows: DataFrame, window_minutes: int, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def window_members(df: DataFrame, windows: DataFrame, window_minutes: int) -> DataFrame:
     """Incident rows with the ``start_us`` of the window they fall into.
 
-    The range condition becomes an equality on time slots. Counted windows are
-    broadcast while they are few; beyond that rows and windows meet in a
-    shuffle join on slots of a sixtieth of the window, which spreads a burst.
+    The range condition becomes an equality on slots of a sixtieth of the window,
+    which spreads a burst where rows and windows meet in a shuffle; Spark decides
+    by the windows' size whether they do.
     """
     window_us = window_micros(window_minutes)
-    small = counts_at_most(windows, broadcast_rows)
-    slot_us = window_us if small else max(1, window_us // SHUFFLE_CELLS)
+    slot_us = max(1, window_us // SHUFFLE_CELLS)
     first, last = (time_slot(us, slot_us) for us in (F.col("start_us"), F.col("start_us") + window_us))
     slots = windows.select(*KEY, F.explode(F.sequence(first, last)).alias("_slot"))
     rows = filter_incident_categories(df).withColumn("_us", micros(F.col("created_at")))
     rows = rows.withColumn("_slot", time_slot(F.col("_us"), slot_us))
     inside = (F.col("_us") >= F.col("start_us")) & (F.col("_us") <= F.col("start_us") + window_us)
-    joined = rows.join(F.broadcast(slots) if small else slots, ["category", "_slot"])
+    joined = rows.join(slots, ["category", "_slot"])
     return joined.filter(inside).drop("_us", "_slot")
 
 
@@ -54,32 +50,21 @@ def ticket_sources(members: DataFrame) -> DataFrame:
     )
 
 
-def ticket_samples(df: DataFrame, members: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def ticket_samples(members: DataFrame) -> DataFrame:
     """The first rows of each ticket by time; ``n`` counts from 1.
 
-    Which rows they are is decided on narrow columns, one task keeping at most
-    three per ticket before the shuffle. Only then are the texts read.
+    Each task keeps at most three rows per ticket, so no more texts than that are
+    shuffled, whatever the size of the burst.
     """
     by_time = Window.partitionBy(*KEY).orderBy("created_at", "id")
-    numbered = members.select(*KEY, "created_at", "id").withColumn("n", F.row_number().over(by_time))
-    chosen = materialize(numbered.filter(F.col("n") <= SAMPLES).select(*KEY, "n", "id"), "samples")
-    side = F.broadcast(chosen) if counts_at_most(chosen, broadcast_rows) else chosen
-    return df.select("id", "source", "clean_text").join(side, "id").select(*KEY, "n", "id", "source", "clean_text")
-
+    rows = members.select(*KEY, "created_at", "id", "source", "clean_text")
+    numbered = rows.withColumn("n", F.row_number().over(by_time)).filter(F.col("n") <= SAMPLES)
+    return numbered.select(*KEY, "n", "id", "source", "clean_text")
 
-def number_tickets(tickets: DataFrame, windows: DataFrame, single_task_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Sequential ids over categories ascending, then time, beside the stable key.
 
-    ``tickets`` has one row per window; counted windows decide whether one
-    task may number them.
-    """
-    if counts_at_most(windows, single_task_rows):
-        numbered = tickets.withColumn("number", F.row_number().over(Window.orderBy(*KEY)).cast("bigint"))
-    else:
-        placed = with_position(
-            tickets, "start_us", ["category"], [F.asc("category")], block_bits=40, group_bits=54, name="number"
-        )
-        numbered = placed.withColumn("number", F.col("number") + 1)
+def number_tickets(tickets: DataFrame) -> DataFrame:
+    """Sequential ids over categories ascending, then time, beside the stable key."""
+    numbered = with_position(tickets, "start_us", [F.asc("category")], "number").withColumn("number", F.col("number") + 1)
     return numbered.withColumn("ticket_id", D.ticket_id(F.col("number"))).withColumn(
         "ticket_key", D.ticket_key(F.col("category"), F.col("start_us"))
     )
@@ -102,7 +87,10 @@ def spike_tickets(
             half_even(F.sum("urgency_sum") / F.sum("count"), 1).alias("avg_urgency"),
             F.min("first_at").alias("window_start"),
             F.max("last_at").alias("window_end"),
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "count")))).alias("source_counts"),
+            # Rows without a source count towards the ticket but name no channel.
+            F.map_from_entries(
+                F.sort_array(F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "count"))))
+            ).alias("source_counts"),
         )
         .withColumn("severity", D.severity(F.col("avg_urgency")))
         .withColumn("title", D.ticket_title(F.col("severity"), F.col("category")))
@@ -112,10 +100,10 @@ def spike_tickets(
     )
 
 
-def with_samples(tickets: DataFrame, df: DataFrame, members: DataFrame) -> DataFrame:
+def with_samples(tickets: DataFrame, members: DataFrame) -> DataFrame:
     """Attach up to three sample texts per ticket, alone and with their source."""
     gathered = (
-        ticket_samples(df, members)
+        ticket_samples(members)
         .groupBy(*KEY)
         .agg(F.array_sort(F.collect_list(F.struct("n", "source", "clean_text"))).alias("s"))
         .select(
@@ -139,8 +127,8 @@ def with_action_flag(tickets: DataFrame, actions: DataFrame) -> DataFrame:
 def with_stored_title(tickets: DataFrame, titles: DataFrame) -> DataFrame:
     """Show the stored title of a ticket, else its generic one.
 
-    ``titles`` has one row per ``ticket_key``.
+    Where several titles are stored for a key, the first by text is shown.
     """
-    stored = titles.select("ticket_key", F.col("title").alias("_stored"))
+    stored = titles.groupBy("ticket_key").agg(F.min("title").alias("_stored"))
     joined = tickets.withColumnRenamed("title", "original_title").join(stored, "ticket_key", "left")
     return joined.withColumn("title", F.coalesce("_stored", "original_title")).drop("_stored")

@@ -22,8 +22,8 @@ def matching_feedback(
     hours: int | None = None,
     mode: str = "regex",
 ) -> DataFrame:
-    """Rows that pass the filters; the time anchor is the newest row of the full table."""
-    return search_text(filter_facets(filter_recent(df, hours), category, sentiment, source), search, mode)
+    """Rows that pass the filters; the time anchor is the newest row of the full table. Here 0 hours are no limit."""
+    return search_text(filter_facets(filter_recent(df, hours or None), category, sentiment, source), search, mode)
 
 
 def select_display(df: DataFrame) -> DataFrame:
@@ -33,12 +33,13 @@ def select_display(df: DataFrame) -> DataFrame:
 def backlog(df: DataFrame, page: int = 1, limit: int = 25, **filters) -> DataFrame:
     """One page of the backlog with the totals of the whole match on every row.
 
-    Filters run before scoring, volumes still come from the full table.
+    A page past the end is one row with the totals and no item. Filters run before
+    scoring, volumes still come from the full table.
     """
     matching = matching_feedback(df, **filters)
-    totals = page_totals(matching, limit).select(F.struct("total", "total_pages").alias("t")).scalar()
-    scored = score(matching, full=df)
-    return paginate(scored, page, limit).withColumn("_t", totals).select(
+    # A page holds at most 200 rows, so joining them to the one row of totals is small.
+    rows = paginate(score(matching, full=df), page, limit)
+    return page_totals(matching, limit).join(rows, F.lit(True), "left").select(
         "id",
         "priority_score",
         "category",
@@ -50,8 +51,8 @@ def backlog(df: DataFrame, page: int = 1, limit: int = 25, **filters) -> DataFra
         D.minute_text(F.col("created_at")).alias("created_at"),
         F.lit(page).alias("page"),
         F.lit(limit).alias("limit"),
-        F.col("_t.total").alias("total"),
-        F.col("_t.total_pages").alias("total_pages"),
+        "total",
+        "total_pages",
     )
 
 

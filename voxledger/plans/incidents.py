@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.functions import display as D
 from voxledger.operators import tickets as K
+from voxledger.operators.enrichment import Scorer, build_title_prompts
 from voxledger.operators.spikes import spike_windows
 from voxledger.session import materialize
 
@@ -23,8 +24,17 @@ def incident_tickets(
     """Numbered tickets with sources and samples. ``df`` carries ``id`` and ``clean_text``."""
     windows = found_windows(df, threshold, window_minutes)
     members = K.window_members(df, windows, window_minutes)
-    tickets = K.number_tickets(K.spike_tickets(df, members, window_minutes), windows)
-    return K.with_samples(tickets, df, members)
+    return K.with_samples(K.number_tickets(K.spike_tickets(df, members, window_minutes)), members)
+
+
+def generated_titles(tickets: DataFrame, scorer: Scorer) -> DataFrame:
+    """Titles for tickets that have samples, ``ticket_key`` and ``title``, to be stored.
+
+    An answer that is empty, too long or missing leaves the generic title.
+    """
+    answers = scorer(build_title_prompts(tickets)).select("ticket_key", "response")
+    joined = tickets.select("ticket_key", F.col("title").alias("_generic")).join(answers, "ticket_key")
+    return joined.select("ticket_key", D.accept_title(F.col("response"), F.col("_generic")).alias("title"))
 
 
 def anomalies(

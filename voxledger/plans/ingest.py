@@ -1,10 +1,10 @@
-"""From raw contract rows to the labelled, scored feedback table."""
+"""From landed posts to the labelled, scored feedback table."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
@@ -13,36 +13,102 @@ from voxledger.functions.timeparse import parse_iso
 from voxledger.operators import enrichment as E
 from voxledger.operators.priority import score
 from voxledger.session import materialize
-from voxledger.sources.feedback_table import load_append, load_overwrite
+from voxledger.sources import contract as C
+from voxledger.sources.feedback_table import load_append, load_overwrite, new_rows, to_feedback
+from voxledger.sources.posts import newer_than, newest_mark
+from voxledger.sources.watermark import read_mark, save_mark
+
+POSITIVE = (1 << 63) - 1
+
+
+def with_ids(raw: DataFrame) -> DataFrame:
+    """Contract rows with an ``id``: a hash of the row's values, the same on every delivery and retry."""
+    if "id" in raw.columns:
+        return raw
+    values = [F.coalesce(F.col(name), F.lit("")) for name in S.RAW_CONTRACT.names]
+    return raw.withColumn("id", F.xxhash64(*values).bitwiseAND(F.lit(POSITIVE)))
 
 
 def clean_rows(raw: DataFrame) -> DataFrame:
-    """Contract rows (with ``id``) with cleaned text and a UTC timestamp."""
+    """Contract rows with an id, cleaned text and a UTC timestamp."""
     created = parse_iso(F.col("created_at")).cast("timestamp_ntz")
-    return raw.withColumn("clean_text", clean_text(F.col("raw_text"))).withColumn("created_at", created)
+    return with_ids(raw).withColumn("clean_text", clean_text(F.col("raw_text"))).withColumn("created_at", created)
 
 
-def label_rows(
-    cleaned: DataFrame, scorer: Callable[[str], str], batch_size: int = S.BATCH_SIZE, parallelism: int | None = None
-) -> DataFrame:
+def label_rows(cleaned: DataFrame, scorer: E.Scorer, batch_size: int = S.BATCH_SIZE) -> DataFrame:
     """Batch, prompt, score and apply. Answers are written once, so no prompt is paid for twice."""
     numbered = E.with_item_number(E.micro_batches(cleaned, batch_size))
-    answers = E.score_batches(E.build_batch_prompts(numbered), scorer, parallelism)
+    answers = scorer(E.build_batch_prompts(numbered)).select("batch_id", "response")
     labelled = E.apply_batch_responses(numbered, materialize(answers, "answers"))
     return labelled.drop("batch_id", "pos", "item")
 
 
 def ingest_run(
-    raw: DataFrame,
-    scorer: Callable[[str], str],
-    table: str,
-    append: bool = False,
-    batch_size: int = S.BATCH_SIZE,
-    parallelism: int | None = None,
+    raw: DataFrame, scorer: E.Scorer, table: str, append: bool = False, batch_size: int = S.BATCH_SIZE
 ) -> bool:
     """Label and score one delivery and load it; False when there was nothing to load."""
     if raw.isEmpty():
         return False
-    labelled = materialize(label_rows(clean_rows(raw), scorer, batch_size, parallelism), "labelled")
+    labelled = materialize(label_rows(clean_rows(raw), scorer, batch_size), "labelled")
     (load_append if append else load_overwrite)(score(labelled), table)
     return True
+
+
+def upsert_run(raw: DataFrame, scorer: E.Scorer, table: str, batch_size: int = S.BATCH_SIZE) -> bool:
+    """Label, score and insert the rows whose ``external_id`` is not stored; no others reach the scorer."""
+    spark = raw.sparkSession
+    fresh = materialize(new_rows(clean_rows(raw), spark.table(table)), "fresh")
+    if fresh.isEmpty():
+        return False
+    labelled = materialize(label_rows(fresh, scorer, batch_size), "labelled")
+    # Another job may have stored some of them meanwhile.
+    load_append(new_rows(to_feedback(score(labelled)), spark.table(table)), table)
+    spark.catalog.refreshTable(table)
+    return True
+
+
+Tier = Callable[[float | None], DataFrame]
+
+
+def collect_posts(
+    tiers: Sequence[Tier], channels: str | Sequence[str], limit: int, since: float | None = None, authoritative: bool = False
+) -> DataFrame:
+    """Posts of the named channels newer than the mark, from the first tier that has any.
+
+    A tier reads posts newer than a mark as contract rows with ``posted_at`` and
+    ``channel``. Each channel gives at most :func:`channel_cap` posts, the newest.
+    An authoritative first tier is the answer even when it has none, and gives at
+    most :func:`total_cap` posts in all.
+    """
+    named = C.parse_channels(channels)
+
+    def read(tier: Tier) -> DataFrame:
+        return newer_than(tier(since), since).filter(F.col("channel").isin(*named))
+
+    if authoritative:
+        return read(tiers[0]).orderBy(F.desc("posted_at"), "external_id").limit(C.total_cap(limit))
+    cap = C.channel_cap(limit, len(named))
+    capped = [C.per_source_cap(read(tier), cap, "channel", "posted_at", "external_id") for tier in tiers]
+    return next((rows for rows in capped if not rows.isEmpty()), capped[-1])
+
+
+def fetch_run(
+    spark: SparkSession,
+    tiers: Sequence[Tier],
+    scorer: E.Scorer,
+    table: str,
+    mark_path: str,
+    channels: str | Sequence[str] = "",
+    limit: int = 25,
+    authoritative: bool = False,
+) -> bool:
+    """Collect what is newer than the saved mark, upsert it, and only then move the mark.
+
+    A job that dies in between is repeated from the old mark; the upsert then finds
+    its rows stored.
+    """
+    since = read_mark(spark, mark_path)
+    posts = materialize(collect_posts(tiers, channels, limit, since, authoritative), "posts")
+    upsert_run(C.to_contract(posts), scorer, table)
+    save_mark(newest_mark(posts, since), mark_path)
+    return not posts.isEmpty()

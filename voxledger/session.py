@@ -1,8 +1,9 @@
-"""Session settings, shared scratch space and size-checked broadcasts."""
+"""Session settings and shared scratch space."""
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -10,9 +11,6 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-# A broadcast side is counted first and never exceeds this many rows.
-BROADCAST_ROWS = 500_000
-
 
 def ship_by_value(module: str) -> None:
     """Send the functions of a module with the task, so executors need no installed package."""
@@ -38,10 +36,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the session names, else a local one."""
+    """Folder every executor can reach: the one the session names.
+
+    Where none is named and the driver is the only process, as in tests, a
+    temporary one is set for the session.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="voxledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -60,15 +62,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on a scan that has fewer splits than cores.
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
-    A large table has more splits and passes through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path, on whatever file system it lies."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(place) if status.isDirectory())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
 
 
-def counts_at_most(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame is small, by counting. Call it on materialized data."""
-    return df.count() <= max_rows
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer needed, wherever it lies."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)

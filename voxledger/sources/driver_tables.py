@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.text import clean_text
-from voxledger.session import materialize, spread
+from voxledger.session import materialize
 
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -21,11 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose texts are about to be worked on."""
-    return spread(table(spark, sf_dir, name))
-
-
 def as_feedback(events: DataFrame) -> DataFrame:
     """Events as labelled feedback rows."""
     k = F.get_json_object("props", "$.k").cast("int")
@@ -63,6 +58,6 @@ def cleaned_documents(documents: DataFrame) -> DataFrame:
 
 def feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback rows with text. As in the feedback table, cleaned text is stored, not recomputed."""
-    documents = materialize(cleaned_documents(texts(spark, sf_dir, "documents")), "cleaned")
+    documents = materialize(cleaned_documents(table(spark, sf_dir, "documents")), "cleaned")
     rows = feedback(spark, sf_dir).withColumn("doc_id", F.col("id") % documents.agg(F.count(F.lit(1))).scalar())
     return rows.join(documents, "doc_id").drop("doc_id")

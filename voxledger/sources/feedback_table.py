@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.session import scratch_path
+from voxledger.session import exists, folders, remove
 
 CSV = {
     "escape": '"',
@@ -18,9 +18,24 @@ CSV = {
 COLUMN_DDL = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in S.FEEDBACK)
 
 
+VERSION = "version-"
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Complete versions below a table's root, oldest first."""
+    named = [name for name in folders(spark, root) if name.startswith(VERSION)]
+    return [name for name in named if exists(spark, f"{root}/{name}/_SUCCESS")]
+
+
+def current_path(spark: SparkSession, root: str) -> str:
+    """Where the table's rows lie: its newest version, or the root while it was never overwritten."""
+    versions = _versions(spark, root)
+    return f"{root}/{versions[-1]}" if versions else root
+
+
 def scan_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """The whole table; filters and column choice downstream reach the files."""
-    return spark.read.schema(S.FEEDBACK).parquet(path)
+    """The whole table by its root; filters and column choice downstream reach the files."""
+    return spark.read.schema(S.FEEDBACK).parquet(current_path(spark, path))
 
 
 def scan_feedback_jdbc(spark: SparkSession, lower_id: int, upper_id: int, partitions: int, **options: str) -> DataFrame:
@@ -37,7 +52,7 @@ def create_feedback_table(spark: SparkSession, name: str, path: str | None = Non
 
 
 def to_feedback(df: DataFrame) -> DataFrame:
-    """Project any frame onto the table's columns; absent ones take their defaults."""
+    """Project any frame onto the table's columns; absent ones and nulls take their defaults."""
     defaults = {
         "raw_text": F.lit(""),
         "clean_text": F.lit(""),
@@ -48,7 +63,9 @@ def to_feedback(df: DataFrame) -> DataFrame:
     }
     return df.select(
         *[
-            (F.col(f.name) if f.name in df.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name)
+            F.coalesce(*[c for c in (F.col(f.name) if f.name in df.columns else None, defaults.get(f.name, F.lit(None))) if c is not None])
+            .cast(f.dataType)
+            .alias(f.name)
             for f in S.FEEDBACK
         ]
     )
@@ -60,12 +77,24 @@ def load_append(df: DataFrame, table: str) -> None:
 
 
 def load_overwrite(df: DataFrame, table: str) -> None:
-    """Replace all rows: write beside the old files, then point the table at the new ones."""
+    """Replace all rows by a new version below the table's root.
+
+    Readers by path see it once it is complete, readers by name once the table
+    points to it. The version before stays for readers that have begun; older
+    ones are deleted.
+    """
     spark = df.sparkSession
-    path = scratch_path(spark, "feedback")
-    to_feedback(df).sortWithinPartitions("created_at").write.parquet(path)
+    at = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
+    parent, _, last = at.rstrip("/").rpartition("/")
+    root = parent if last.startswith(VERSION) else at
+    before = _versions(spark, root)
+    number = int(before[-1].removeprefix(VERSION)) + 1 if before else 1
+    path = f"{root}/{VERSION}{number:09d}"
+    to_feedback(df).sortWithinPartitions("created_at").write.mode("overwrite").parquet(path)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
     spark.catalog.refreshTable(table)
+    for old in before[:-1]:
+        remove(spark, f"{root}/{old}")
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
@@ -73,11 +102,14 @@ def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataF
 
     Rows without an id always pass. Within the batch the first row by
     ``order`` wins; each task keeps one row per id before the shuffle, so an
-    id repeated a billion times is not a hot group.
+    id repeated a billion times is not a hot group. Stored ids are first narrowed to
+    those of the delivery, so a small delivery does not shuffle the table.
     """
     first = F.row_number().over(Window.partitionBy("external_id").orderBy(order))
     identified = incoming.filter("external_id IS NOT NULL").withColumn("_n", first).filter("_n = 1").drop("_n")
-    unseen = identified.join(stored.select("external_id").filter("external_id IS NOT NULL"), "external_id", "left_anti")
+    ids = stored.select("external_id").filter("external_id IS NOT NULL")
+    met = ids.join(identified.select("external_id"), "external_id", "left_semi")
+    unseen = identified.join(met, "external_id", "left_anti")
     return incoming.filter("external_id IS NULL").unionByName(unseen)
 
 

@@ -90,5 +90,6 @@ def normalize_submissions(posts: DataFrame, since: float | None = None) -> DataF
         F.when(has_body, F.concat(title, F.lit(" - "), X.strip(F.col("selftext")))).otherwise(title).alias("raw_text"),
         P.iso_utc(F.col("posted_at")).alias("created_at"),
         "posted_at",
+        *(["channel"] if "channel" in posts.columns else []),
     )
     return newer_than(rows, since)

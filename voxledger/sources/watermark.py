@@ -1,7 +1,7 @@
 """High-water mark of a batch ingest, kept beside the data.
 
-Marks are appended and the newest counts, so a job that dies while saving
-leaves the old mark in place. Save after the rows are committed: rows are then
+Marks are appended and the one saved last counts, so a job that dies while saving
+leaves the old mark in place, and a mark can be set back by saving an older one. Save after the rows are committed: rows are then
 read twice at worst, and the upsert drops the second copy.
 """
 
@@ -11,13 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK_TYPE = "since_utc double"
+MARK_TYPE = "since_utc double, saved_at timestamp"
 
 
 def read_mark(spark: SparkSession, path: str) -> float | None:
     """The saved mark, or None when there is none or it cannot be read."""
     try:
-        row = spark.read.schema(MARK_TYPE).json(path).agg(F.max("since_utc")).first()
+        row = spark.read.schema(MARK_TYPE).json(path).agg(F.max_by("since_utc", "saved_at")).first()
     except AnalysisException:
         return None
     return row[0] if row else None
@@ -25,4 +25,5 @@ def read_mark(spark: SparkSession, path: str) -> float | None:
 
 def save_mark(mark: DataFrame, path: str) -> None:
     """Append a one-row ``since_utc`` frame; null and 0 are not saved."""
-    mark.filter("since_utc IS NOT NULL AND since_utc <> 0").write.mode("append").json(path)
+    kept = mark.select("since_utc").filter("since_utc IS NOT NULL AND since_utc <> 0")
+    kept.withColumn("saved_at", F.current_timestamp()).write.mode("append").json(path)

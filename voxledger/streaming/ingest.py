@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from voxledger.operators.priority import score
-from voxledger.plans.ingest import clean_rows, label_rows
-from voxledger.session import materialize
-from voxledger.sources.feedback_table import upsert_new_only
+from voxledger.operators.enrichment import Scorer
+from voxledger.plans.ingest import upsert_run
 
 
-def stream_ingest(
-    raw: DataFrame, scorer: Callable[[str], str], table: str, checkpoint: str, parallelism: int | None = None
-) -> StreamingQuery:
-    """Clean, label and upsert every delivery of a contract stream (with ``id``).
+def stream_ingest(raw: DataFrame, scorer: Scorer, table: str, checkpoint: str) -> StreamingQuery:
+    """Clean, deduplicate, label and insert every delivery of a contract stream.
 
-    A delivery that is repeated after a crash finds its ``external_id``s stored.
+    A delivery that is repeated after a crash finds its ``external_id``s stored and
+    asks the scorer nothing.
     """
 
     def load(delivery: DataFrame, _: int) -> None:
-        if delivery.isEmpty():
-            return
-        labelled = materialize(label_rows(clean_rows(delivery), scorer, parallelism=parallelism), "labelled")
-        upsert_new_only(score(labelled), table)
+        upsert_run(delivery, scorer, table)
 
     writer = raw.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

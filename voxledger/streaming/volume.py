@@ -34,3 +34,8 @@ def read_hourly_volume(spark: SparkSession, out: str) -> DataFrame:
     """The latest count of every hour."""
     saved = spark.read.schema(COUNT_TYPE).parquet(out)
     return saved.groupBy("hour").agg(F.max_by("count", "delivery").alias("count"))
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows of a run that came after their hour was closed, which no count holds."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
