@@ -68,7 +68,7 @@ grown AS (SELECT * FROM leaves UNION ALL SELECT 4, 8, {SHARDS}),
 raw AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 sums AS (
   SELECT n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
-      list_transform(range(length(h) // 2), lambda k: ('0x' || h[(2 * k + 1):(2 * k + 2)])::BIGINT)),
+      list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
   FROM raw, crc),
 docs AS MATERIALIZED (
