@@ -45,10 +45,12 @@ HOMOGLYPHS = dict(zip("авеікмнорстухѕјԁɡαεικνορτυχ",
 # Digits and signs written for letters.
 DIGITS = str.maketrans("0134578@$!", "oieastbasi")
 _BESIDE = re.compile(r"(?<=[a-z])[0134578@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0134578@$!]+(?=[a-z])")
-# Labelled documents that hold no lexicon word: at least so many, and so large a share must share a word that is learned.
-LEARN_ROWS, LEARN_SHARE = 20, 0.1
-# Words that are learned at most, the most frequent first.
-LEARN_TERMS = 1_000
+# Words and stems are learned from at most so many toxic documents without a lexicon word and so many clean ones.
+LEARN_TOXIC, LEARN_CLEAN = 1_500, 3_000
+# What is learned stands in at least so many of the toxic ones, and so large a share, and its log odds exceed the last.
+LEARN_ROWS, LEARN_SHARE, LEARN_ODDS = 4, 0.02, 3.0
+# Letters of a stem, and how many terms are learned at most, the most frequent first.
+STEMS, LEARN_TERMS = (4, 5, 6), 1_000
 HITS_TYPE = "struct<hits: array<struct<term: int, n: int>>, length: bigint>"
 
 
@@ -78,22 +80,28 @@ def fold(text: str) -> str:
 
 @lru_cache(maxsize=8)
 def automaton(terms: tuple[str, ...], exceptions: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Terms, those that end in ``*`` as stems, and exception phrases under number -1."""
     out = ahocorasick.Automaton()
+    keys: dict[str, tuple[int, int, bool]] = {}
     for number, term in enumerate(terms):
-        out.add_word(key := fold(term), (number, len(key)))
+        keys.setdefault(key := fold(term.removesuffix("*")), (number, len(key), term.endswith("*")))
     for phrase in exceptions:
-        out.add_word(key := fold(phrase), (-1, len(key)))
+        keys[key := fold(phrase)] = (-1, len(key), False)
+    for key, value in keys.items():
+        out.add_word(key, value)
     out.make_automaton()
     return out
 
 
 def find_terms(text: str, found: ahocorasick.Automaton) -> dict[int, int]:
-    """How often each term stands in a text as a word, outside exception phrases."""
+    """How often each term stands in a text as a word or, for stems, begins one, outside exception phrases."""
     folded = fold(text)
     hits, spared = [], []
-    for end, (number, length) in found.iter(folded):
+    for end, (number, length, stem) in found.iter(folded):
         start = end + 1 - length
-        if (start and folded[start - 1].isalnum()) or (end + 1 < len(folded) and folded[end + 1].isalnum()):
+        if start and folded[start - 1].isalnum():
+            continue
+        if not stem and end + 1 < len(folded) and folded[end + 1].isalnum():
             continue
         (spared if number < 0 else hits).append((start, end, number))
     out: dict[int, int] = {}
@@ -159,21 +167,45 @@ def weigh(scanned: DataFrame, found: str, label: str, terms: Sequence[str]) -> t
     return tuple(out)
 
 
-def learn_terms(source: DataFrame, known: DataFrame, silent: DataFrame) -> tuple[str, ...]:
-    """Words of toxic documents in which the lexicon finds nothing, where enough of them share a word that clean ones lack."""
-    quiet = silent.count()
-    if quiet < LEARN_ROWS:
+def _terms_of(texts: DataFrame) -> DataFrame:
+    """Each document's words and stems, one document of those that share a sketch: copies of a text do."""
+    words = texts.select("label", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+    triples = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c"))
+    sketch = F.array_min(F.transform(triples, lambda t: F.xxhash64(t["a"], t["b"], t["c"]))).alias("sketch")
+
+    def terms(word: Column) -> Column:
+        return F.array(word, *(F.when(F.length(word) > n, F.concat(F.left(word, F.lit(n)), F.lit("*"))) for n in STEMS))
+
+    long = F.filter(F.array_distinct("w"), lambda word: F.length(word) >= min(STEMS))
+    listed = F.array_distinct(F.array_compact(F.flatten(F.transform(long, terms)))).alias("terms")
+    return words.select("label", sketch, listed).dropDuplicates(["label", "sketch"])
+
+
+def learn_terms(source: DataFrame, train: DataFrame) -> tuple[str, ...]:
+    """Words and stems of toxic documents in which the lexicon finds nothing, and that clean ones lack.
+
+    A documented bound of labelled rows is learned from, picked by a hash of the id;
+    copies of a text count once. Their ids are few enough to travel to the texts.
+    """
+
+    def pick(part: DataFrame, rows: int) -> DataFrame:
+        return part.select("id", "label").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+
+    silent = pick(train.filter((F.col("label") == 1) & (F.size("found.hits") == 0)), LEARN_TOXIC)
+    picked = materialize(silent.union(pick(train.filter("label = 0"), LEARN_CLEAN)), "picked")
+    docs = materialize(_terms_of(source.join(F.broadcast(picked), "id")), "picked-terms")
+    sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sizes.get(1, 0) < LEARN_ROWS:
         return ()
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    share = max(LEARN_ROWS, LEARN_SHARE * quiet)
-    counted = source.join(silent, "id", "left_semi").select(words).groupBy("word").count()
-    often = materialize(counted.filter((F.col("count") >= share) & (F.length("word") > 2)), "toxic-words")
-    clean = known.filter("label = 0").select("id")
-    total = clean.count()
-    seen = source.join(clean, "id", "left_semi").select(words).groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
-    odds = F.log(F.col("count") / F.lit(quiet)) - F.log((F.coalesce("clean", F.lit(0)) + 0.5) / F.lit(total + 1.0))
-    found = often.join(seen, "word", "left").filter(odds > 4).orderBy(F.desc("count"), "word")
-    return tuple(sorted(r["word"] for r in found.limit(LEARN_TERMS).collect()))
+    toxic, clean = (F.count(F.when(F.col("label") == label, 1)) for label in (1, 0))
+    rows = docs.select("label", F.explode("terms").alias("term")).groupBy("term").agg(toxic.alias("toxic"), clean.alias("clean"))
+    odds = F.ln(F.col("toxic") / F.lit(sizes[1])) - F.ln((F.col("clean") + 0.5) / F.lit(sizes.get(0, 0) + 1.0))
+    often = F.col("toxic") >= F.lit(max(LEARN_ROWS, LEARN_SHARE * sizes[1]))
+    kept = rows.filter(often & (odds > LEARN_ODDS)).orderBy(F.desc("toxic"), F.length("term"), "term").limit(LEARN_TERMS)
+    found = {r["term"]: r["clean"] for r in kept.collect()}
+    # A stem that no clean document has says all that longer ones and its words could.
+    stems = {t[:-1] for t, clean in found.items() if t.endswith("*") and not clean}
+    return tuple(t for t in found if not any(t[:n] in stems for n in STEMS if n < len(t.removesuffix("*"))))
 
 
 def fit_toxicity(scanned: DataFrame, found: str, label: str, terms: Sequence[str]) -> ToxicityModel:
@@ -215,8 +247,7 @@ def scan_and_fit(source: DataFrame, known: DataFrame, terms: Sequence[str]) -> t
 
     scanned = scan(terms)
     train = scanned.join(known, "id")
-    silent = train.filter((F.col("label") == 1) & (F.size("found.hits") == 0)).select("id").distinct()
-    more = tuple(w for w in learn_terms(source, known, silent) if w not in terms)
+    more = tuple(w for w in learn_terms(source, train) if w not in terms)
     if more:
         terms = (*terms, *more)
         scanned = scan(terms)
