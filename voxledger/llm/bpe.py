@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,7 @@ ship_by_value(__name__)
 
 # Bytes that are encoded directly; longer strings are halved.
 LEAF_BYTES = 32
+NONE = 1 << 62
 
 
 class Encoder:
@@ -37,13 +39,29 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
-        self.tokens = dict(zip(ranks.values(), ranks, strict=True))
+        self.tokens = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.pattern = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
+    def merge_short(self, raw: bytes) -> list[int]:
+        """As :meth:`merge`; scanning a few ranks is faster than a heap."""
+        get = self.ranks.get
+        cuts = list(range(len(raw) + 1))
+        pairs = [get(raw[i : i + 2], NONE) for i in range(len(raw) - 1)]
+        while pairs and (low := min(pairs)) != NONE:
+            i = pairs.index(low)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(raw[cuts[i] : cuts[i + 2]], NONE)
+            if i:
+                pairs[i - 1] = get(raw[cuts[i - 1] : cuts[i + 1]], NONE)
+        return [self.ranks[raw[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def merge(self, raw: bytes) -> list[int]:
         """Merge the adjacent pair of lowest rank, leftmost first, until none is left."""
+        if len(raw) <= LEAF_BYTES:
+            return self.merge_short(raw)
         ranks, n = self.ranks, len(raw)
         ends, back = list(range(1, n + 1)), list(range(-1, n - 1))
         live = [True] * n
@@ -105,7 +123,15 @@ class Encoder:
         return [self.ranks[raw]] if raw in self.ranks else self.encode_half(raw)
 
     def _ids(self, pieces: list[str]) -> bytes:
-        return np.array([i for piece in pieces for i in self.encode_piece(piece.encode())], dtype="<u4").tobytes()
+        return array("I", [i for piece in pieces for i in self.encode_piece(piece.encode())]).tobytes()
+
+    def _pieces(self, word: str) -> list[str]:
+        """Matches of the split pattern; letters alone, or before a stop or comma, need no search."""
+        if word.removeprefix(" ").isalpha():
+            return [word]
+        if word[-1] in ".," and word[:-1].removeprefix(" ").isalpha():
+            return [word[:-1], word[-1]]
+        return self.pattern.findall(word)
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text.
@@ -119,7 +145,7 @@ class Encoder:
             word = words[at]
             if is_odd(word):
                 return np.frombuffer(self._ids(self.pattern.findall(text)), dtype="<u4")
-            parts[at] = self._ids(self.pattern.findall(word))
+            parts[at] = self._ids(self._pieces(word))
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
             self.words[word] = parts[at]
@@ -139,8 +165,8 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def list_array(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+    flat = np.concatenate(parts).view(np.int32) if parts else np.zeros(0, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
 def encode_column(text: Column, path: str, pattern: str) -> Column:
@@ -149,7 +175,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         own = encoder(path, pattern)
-        return list_array([own.encode(t or "") for t in texts.to_pylist()])
+        return list_array([own.encode(t.as_py() or "") for t in texts])
 
     return encoded(text)
 
@@ -159,8 +185,9 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
 
     @arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        own = encoder(path, pattern)
-        return pa.array([own.decode(x or []) for x in lists.to_pylist()], pa.binary())
+        own, flat = encoder(path, pattern), lists.values.to_numpy(zero_copy_only=False)
+        ends = lists.offsets.to_pylist()
+        return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return decoded(ids)
 
