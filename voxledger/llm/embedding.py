@@ -32,6 +32,9 @@ SAMPLE_ROWS = 40_000
 LEAF_ROWS, LEAF_SAMPLE = 256, 16
 # Share of a node's sample on each side of a split that goes to both.
 SPILL = 0.06
+# Rows of a node's sample whose pairs are looked at, directions tried where they hold so many links, and the share of
+# these that a split may part; a node in which so large a share of all pairs is linked is not split otherwise.
+PROBE_ROWS, TRIES, LEAST_LINKS, MOST_PARTED, DENSE = 1_024, 8, 50, 0.01, 0.02
 # Rows of one task's block of a leaf, and of one tile of the product.
 BLOCK_ROWS, TILE_ROWS = 8_192, 1_024
 
@@ -56,26 +59,56 @@ def unit_rows(vectors: pa.Array) -> np.ndarray:
 def fit_tree(sample: np.ndarray, least: int, seed: int, cosine: float) -> Node | int:
     """A tree over unit vectors; leaves are numbered from 0.
 
-    A node is not split where it is small, or where half its sample lies so close to
-    its mean that any two of these are linked: a split would lose links there.
+    A node is not split where it is small, where half its sample lies so close to
+    its mean that any two of these are linked, or where a noticeable share of its
+    pairs is linked and every split tried would part some: links would be lost there.
     """
     rng, leaves = np.random.default_rng(seed), iter(range(1 << 62))
 
-    def grow(x: np.ndarray) -> Node | int:
+    def cut(x: np.ndarray, direction: np.ndarray, least_share: float) -> tuple[np.ndarray, float, float]:
         n = len(x)
-        if n < 2 * least:
+        along = np.sort(x @ direction)
+        first, last = int(least_share * n), int((1 - least_share) * n)
+        gap = int(np.argmax(np.diff(along[first : last + 1])))
+        at = first + gap + 1
+        middle = (along[at - 1] + along[at]) / 2
+        low, high = along[max(0, at - int(SPILL * n) - 1)], along[min(n - 1, at + int(SPILL * n))]
+        return direction, min(low, middle), max(high, middle)
+
+    def turn(x: np.ndarray) -> np.ndarray:
+        direction = rng.standard_normal(x.shape[1])
+        return direction / np.linalg.norm(direction)
+
+    def best(x: np.ndarray) -> tuple[np.ndarray, float, float] | None:
+        split = cut(x, turn(x), 0.3)
+        probe = x if len(x) <= PROBE_ROWS else x[np.linspace(0, len(x) - 1, PROBE_ROWS).astype(int)]
+        near = np.triu(probe @ probe.T >= cosine, 1)
+        a, b = np.nonzero(near)
+        if len(a) < LEAST_LINKS:
+            return split
+        # The row with the most links points to the middle of a dense group, whose edge may be a gap.
+        hub = probe[int(np.argmax(near.sum(0) + near.sum(1)))]
+        tried = [split, *(cut(x, hub, share) for share in (0.05, 0.3)), *(cut(x, turn(x), 0.3) for _ in range(TRIES))]
+
+        def parted(split: tuple[np.ndarray, float, float]) -> float:
+            along = probe @ split[0]
+            left, right = along <= split[2], along >= split[1]
+            return 1 - float(((left[a] & left[b]) | (right[a] & right[b])).mean())
+
+        losses = [parted(t) for t in tried]
+        at = int(np.argmin(losses))
+        dense = len(a) >= DENSE * len(probe) * (len(probe) - 1) / 2
+        return None if dense and losses[at] > MOST_PARTED else tried[at]
+
+    def grow(x: np.ndarray) -> Node | int:
+        if len(x) < 2 * least:
             return next(leaves)
         mean = x.mean(0)
         if np.median(x @ mean) >= math.sqrt((1 + cosine) / 2) * np.linalg.norm(mean):
             return next(leaves)
-        direction = rng.standard_normal(x.shape[1])
-        direction /= np.linalg.norm(direction)
-        along = np.sort(x @ direction)
-        middle = along[int(0.3 * n) : int(0.7 * n) + 1]
-        gap = int(np.argmax(np.diff(middle)))
-        cut, at = (middle[gap] + middle[gap + 1]) / 2, int(0.3 * n) + gap + 1
-        low, high = along[max(0, at - int(SPILL * n) - 1)], along[min(n - 1, at + int(SPILL * n))]
-        low, high = min(low, cut), max(high, cut)
+        if (split := best(x)) is None:
+            return next(leaves)
+        direction, low, high = split
         shown = x @ direction
         if (shown <= high).all() or (shown >= low).all():
             return next(leaves)
