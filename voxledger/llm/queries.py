@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.catalog.registry import Registry
-from voxledger.llm import bpe, chat, embedding, packing, pii, quality, sharding, simhash, toxicity, url_rules
+from voxledger.llm import (
+    audit,
+    bpe,
+    chat,
+    embedding,
+    fim,
+    marked_words,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    url_rules,
+)
 from voxledger.session import materialize
 
 registry = Registry()
@@ -236,3 +250,86 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", "text", path)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@registry.query("op11_sentencepiece")
+def sentencepiece_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of the text they decode to."""
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = marked_words.encode_documents(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    both = ids.withColumn("decoded", marked_words.decode_column(F.col("ids"), path))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+AUDIT_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM texts),
+failed AS (
+  SELECT part, doc_id, [
+    len(words) < 50,
+    100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(first_id < doc_id, false)] AS fails
+  FROM worded),
+rows_of AS (
+  SELECT part, fails, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+    doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM failed),
+classes AS (SELECT part, fails, count(*) AS held, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM rows_of GROUP BY ALL),
+orders AS (
+  SELECT [a, b, c, d, e] AS o FROM range(1, 6) t(a), range(1, 6) u(b), range(1, 6) v(c), range(1, 6) w(d), range(1, 6) x(e)
+  WHERE len(list_distinct([a, b, c, d, e])) = 5),
+steps AS (SELECT o, step::INT AS step, o[step] AS f, o[1 : step - 1] AS before FROM orders, range(1, 6) t(step)),
+counted AS (
+  SELECT part, o, step, f, bool_alive, fails[f] AS hit, len(list_filter(fails, lambda x: x)) = 1 AS alone, held, good, toxic
+  FROM (SELECT *, len(list_filter(before, lambda k: fails[k])) = 0 AS bool_alive FROM classes, steps)),
+summed AS (
+  SELECT part, o, step, f, coalesce(sum(held) FILTER (bool_alive AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(held) FILTER (bool_alive AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(held) FILTER (NOT bool_alive AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(held) FILTER (hit AND alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (bool_alive AND hit), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (bool_alive AND hit), 0)::BIGINT AS toxic_lost
+  FROM counted GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step, kept, removed, redundant,
+  unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM summed"""
+
+
+@registry.query("op12_filter_audit", AUDIT_SQL)
+def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, within each source."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return audit.audit_documents(docs, labels, "doc_id", "source", "text", "quality", "toxic")
+
+
+FIM_SQL = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50
+      THEN 'plain' WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM texts),
+cut AS (
+  SELECT *, array_to_string(units[1 : least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1 : greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1 :], '') AS suffix FROM drawn)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut"""
+
+
+@registry.query("op13_fill_in_middle", FIM_SQL)
+def fim_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's transformed and restored text."""
+    pieces = fim.output_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", fim.Rates(42, 50, 80))
+    return fim.digest_restored(fim.digest_output(pieces)).withColumnRenamed("doc", "doc_id")
