@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from helpers import feedback, minutes_in, plain_scan
 
 from voxledger.streaming.spikes import SpikeStream
@@ -12,30 +13,57 @@ def micros(ts):
     return (ts - EPOCH) // dt.timedelta(microseconds=1)
 
 
-def test_spike_stream_equals_the_scan_and_counts_late_rows(spark, tmp_path):
+@pytest.fixture()
+def landed(spark, tmp_path):
+    """A function that lands a delivery, works it off from the checkpoint and returns the stream."""
+    landing, schema = str(tmp_path / "landing"), feedback(spark, []).schema
+
+    def deliver(rows, **how):
+        feedback(spark, rows).coalesce(1).write.mode("append").parquet(landing)
+        # A new object each time: nothing but the checkpoint and the sink is carried over.
+        stream = SpikeStream(str(tmp_path / "windows"), str(tmp_path / "checkpoint"), **how)
+        stream.start(spark.readStream.schema(schema).parquet(landing)).awaitTermination()
+        return stream
+
+    return deliver
+
+
+def test_spike_stream_equals_the_scan_over_restarts(spark, landed):
     rng = random.Random(5)
     minutes = sorted(rng.randrange(0, 3000) for _ in range(700))
     deliveries = [[m for m in minutes if lo <= m < lo + 1000] for lo in (0, 1000, 2000)]
-    # Rows within the allowed delay may arrive one delivery later.
+    # Rows within the allowed delay may arrive one delivery later; those behind it are counted.
     deliveries[1] += [990, 991, 992, 993, 994]
-    stream = SpikeStream(str(tmp_path / "spikes"), threshold=4, window_minutes=20, delay_minutes=120)
-    for n, delivered in enumerate(deliveries):
-        stream.advance(feedback(spark, [minutes_in(m) for m in delivered]), n)
-    late = feedback(spark, [minutes_in(m) for m in (10, 10, 10, 10, 2999)])
-    stream.advance(late, 3)
-    stream.advance(late, 3)  # a repeated delivery changes nothing
-    closed = {r.start_us for r in stream.closed_windows(spark).collect()}
-    still_open = {r.start_us for r in stream.open_windows(spark, 3).collect()}
+    deliveries.append([10, 10, 10, 10, 2999])
+    for minutes_of in deliveries:
+        stream = landed([minutes_in(m) for m in minutes_of], threshold=4, window_minutes=20)
+    closed = [r.start_us for r in stream.closed_windows(spark).collect()]
+    still_open = [r.start_us for r in stream.open_windows(spark).collect()]
     times = [micros(minutes_in(m)["at"]) for m in minutes + [990, 991, 992, 993, 994, 2999]]
-    want = plain_scan(times, 4, 20 * 60_000_000)
-    assert sorted(closed | still_open) == want and not closed & still_open
-    assert max(closed) < min(still_open) and stream.late_rows(spark, 3) == 4
+    assert sorted(closed + still_open) == plain_scan(times, 4, 20 * 60_000_000)
+    assert closed and still_open and max(closed) < min(still_open)
+    assert [tuple(r) for r in stream.late_rows(spark).collect()] == [("Bug", 4)]
+
+
+def test_categories_bursts_and_block_borders(spark, landed):
+    """Exact borders of windows and blocks, many rows in one instant, and rows that raise no tickets."""
+    block = 24 * 10
+    marks = [0, 10, 20, block - 10, block, block + 10, 2 * block - 1, 2 * block, 3 * block - 5, 3 * block, 3 * block + 5]
+    rows = [minutes_in(m, category=c) for m in marks for c in ("Bug", "Complaint", "Praise")]
+    rows += [minutes_in(2 * block, category="Bug")] * 50 + [{"at": None}]
+    landed(rows[: len(rows) // 2], threshold=2, window_minutes=10, delay_minutes=10_000)
+    stream = landed(rows[len(rows) // 2 :] + [minutes_in(30_000, category="Spam"), minutes_in(30_000)], threshold=2, window_minutes=10, delay_minutes=10_000)
+    found = stream.closed_windows(spark).unionByName(stream.open_windows(spark)).collect()
+    for category in ("Bug", "Complaint"):
+        times = [micros(r["at"]) for r in rows + [minutes_in(30_000)] if r["at"] and r.get("category", "Bug") == category]
+        assert sorted(r.start_us for r in found if r.category == category) == plain_scan(times, 2, 600_000_000)
+    assert {r.category for r in found} == {"Bug", "Complaint"}
 
 
-def test_empty_deliveries(spark, tmp_path):
-    stream = SpikeStream(str(tmp_path / "spikes"))
-    stream.advance(feedback(spark, []), 0)
-    stream.advance(feedback(spark, [minutes_in(i) for i in range(6)]), 1)
-    stream.advance(feedback(spark, []), 2)
+def test_empty_deliveries(spark, landed):
+    landed([])
+    stream = landed([minutes_in(i) for i in range(6)])
     assert stream.closed_windows(spark).count() == 0
-    assert stream.open_windows(spark, 2).count() == 1
+    assert stream.open_windows(spark).count() == 1
+    assert landed([]).open_windows(spark).count() == 1
+    assert stream.late_rows(spark).count() == 0

@@ -194,7 +194,7 @@ def _enter(entries: np.ndarray, leaves: np.ndarray, reached: np.ndarray, window_
     return moved
 
 
-def _entry_count(times: np.ndarray, block_start: int, window_us: int) -> int:
+def chain_start_count(times: np.ndarray, block_start: int, window_us: int) -> int:
     """How many leading times a chain can enter the block at: those of its first window, and one more."""
     return min(len(times), int(np.searchsorted(times, block_start + window_us, side="left")) + 1)
 
@@ -223,7 +223,7 @@ def _block_map(window_us: int, block_us: int):
             if np.array_equal(further, last):
                 break
             last = further
-        count = _entry_count(times, int(block) * block_us, window_us)
+        count = chain_start_count(times, int(block) * block_us, window_us)
         return _as_map(category, block, times[:count], times[last[:count]])
 
     return run
@@ -234,7 +234,7 @@ def _compose(window_us: int, span_us: int):
         category, span = key
         blocks = list(_by_block(maps))
         entries = np.concatenate([entry for _, entry, _ in blocks])
-        entries = entries[: _entry_count(entries, int(span) * span_us, window_us)]
+        entries = entries[: chain_start_count(entries, int(span) * span_us, window_us)]
         reached = entries - 1
         for _, entry, leave in blocks:
             reached = _enter(entry, leave, reached, window_us)
@@ -267,7 +267,18 @@ def _fold_span(window_us: int):
     return run
 
 
-def _walk(times: np.ndarray, reached: int, window_us: int) -> np.ndarray:
+def following_chain(following: np.ndarray, entered: int) -> np.ndarray:
+    """Places that chains from the first ``entered`` ones stop at, each place leading to a later one."""
+    stops = np.zeros(len(following) + 1, dtype=bool)
+    front = np.arange(entered)
+    while len(front):
+        stops[front] = True
+        front = np.unique(following[front])
+        front = front[~stops[front] & (front < len(following))]
+    return np.flatnonzero(stops[:-1])
+
+
+def walk_chain(times: np.ndarray, reached: int, window_us: int) -> np.ndarray:
     """Starts behind ``reached`` among sorted qualifying times."""
     starts = []
     at = int(np.searchsorted(times, reached, side="right"))
@@ -279,7 +290,7 @@ def _walk(times: np.ndarray, reached: int, window_us: int) -> np.ndarray:
 
 def _replay(window_us: int):
     def run(key: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        starts = _walk(np.sort(rows["us"].to_numpy()), int(entry["reached"].iloc[0]), window_us)
+        starts = walk_chain(np.sort(rows["us"].to_numpy()), int(entry["reached"].iloc[0]), window_us)
         return pd.DataFrame({"category": key[0], "start_us": starts})
 
     return run
