@@ -27,4 +27,4 @@ def keyword_answers(prompts: DataFrame) -> DataFrame:
     """A scorer over the items of batch prompts."""
     texts = F.transform(F.split("items", "\n"), lambda line: F.lower(F.regexp_replace(line, r'^[0-9]+\. "', "")))
     labels = F.array_join(F.transform(texts, _label), ", ")
-    return prompts.select("batch_id", F.concat(F.lit("```json\n["), labels, F.lit("]\n```")).alias("response"))
+    return prompts.select("chunk", "batch_id", F.concat(F.lit("```json\n["), labels, F.lit("]\n```")).alias("response"))

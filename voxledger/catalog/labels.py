@@ -74,7 +74,7 @@ def _numbered(spark, sf_dir):
 
 def _batch_answers(numbered):
     """One answer per batch, in eight shapes; 5 to 7 fail as a whole."""
-    objects = numbered.filter("item IS NOT NULL").groupBy("batch_id").agg(
+    objects = numbered.filter("item IS NOT NULL").groupBy("chunk", "batch_id").agg(
         F.array_sort(F.collect_list(F.struct("item", F.expr(OBJECT).alias("obj")))).alias("o")
     )
     shape = F.col("batch_id") % 8
@@ -89,7 +89,7 @@ def _batch_answers(numbered):
         .when(shape == 7, F.element_at(listed, 1))
         .otherwise(body)
     )
-    return objects.select("batch_id", answer.alias("response"))
+    return objects.select("chunk", "batch_id", answer.alias("response"))
 
 
 # The fields of an object before they are validated, as text.
@@ -151,7 +151,7 @@ def _(spark, sf_dir):
     FROM numbered WHERE item IS NOT NULL GROUP BY batch_id""",
 )
 def _(spark, sf_dir):
-    return E.build_batch_prompts(E.micro_batches(_documents(spark, sf_dir))).drop("prompt")
+    return E.build_batch_prompts(E.micro_batches(_documents(spark, sf_dir))).drop("prompt", "chunk")
 
 
 @query(
@@ -176,7 +176,7 @@ def _(spark, sf_dir):
       CASE WHEN ok THEN {SENTIMENT} ELSE 'Neutral' END AS sentiment, CASE WHEN ok THEN {URGENCY} ELSE 1 END AS urgency_score FROM ok""",
 )
 def _(spark, sf_dir):
-    numbered = _numbered(spark, sf_dir)
+    numbered = E.keep_batches(_numbered(spark, sf_dir))
     labelled = E.apply_batch_responses(numbered, _batch_answers(numbered))
     return labelled.select("id", "batch_id", "pos", "category", "sentiment", "urgency_score")
 

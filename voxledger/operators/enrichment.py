@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from voxledger import schema as S
 from voxledger.functions import labels as L
 from voxledger.functions.text import is_blank, truncate
-from voxledger.operators.ordering import with_position
-from voxledger.session import ship_by_value
+from voxledger.operators.batching import consecutive_batches
+from voxledger.session import materialize_buckets, ship_by_value
 
 ship_by_value(__name__)
 
@@ -33,7 +33,11 @@ TITLE_PROMPT = (
 )
 TITLE_SAMPLES = 5
 
+# What batches are grouped by; rows of a chunk lie together.
+BATCH = ("chunk", "batch_id")
+
 # From prompts (a key and ``prompt``) to answers (the key and ``response``), as a frame.
+# A scorer may hand on ``chunk``.
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -45,34 +49,34 @@ def _fill(template: str, **parts: Column) -> Column:
 
 
 def micro_batches(df: DataFrame, size: int = S.BATCH_SIZE) -> DataFrame:
-    """Consecutive chunks of ``size`` rows in id order: ``batch_id`` and 0-based ``pos``."""
-    placed = with_position(df, "id")
-    return placed.select(
-        *df.columns,
-        F.floor(F.col("position") / F.lit(size)).cast("bigint").alias("batch_id"),
-        F.pmod("position", F.lit(size)).cast("int").alias("pos"),
-    )
+    """Consecutive chunks of ``size`` rows in id order: ``batch_id``, 0-based ``pos``, and the ``chunk`` a batch lies in."""
+    return consecutive_batches(df, "id", size)
 
 
 def with_item_number(batched: DataFrame) -> DataFrame:
     """1-based number of each non-blank row within its batch; null for blank rows."""
     filled = ~is_blank(F.col("clean_text"))
-    upto = Window.partitionBy("batch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*BATCH).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return batched.withColumn("item", F.when(filled, F.count_if(filled).over(upto).cast("int")))
 
 
+def keep_batches(numbered: DataFrame) -> DataFrame:
+    """The rows written once, in a bucket per chunk, so that prompts are built where the texts lie."""
+    return materialize_buckets(numbered, "chunk", "batches")
+
+
 def build_batch_prompts(batched: DataFrame, chars: int = S.BATCH_TEXT_CHARS) -> DataFrame:
     """One prompt per batch from its non-blank texts; batches of blanks have none."""
     texts = batched.filter(~is_blank(F.col("clean_text"))).select(
-        "batch_id", F.struct("pos", truncate(F.col("clean_text"), chars).alias("text")).alias("t")
+        *BATCH, F.struct("pos", truncate(F.col("clean_text"), chars).alias("text")).alias("t")
     )
     lines = F.transform(
         F.array_sort("texts"),
         lambda t, i: F.concat((i + 1).cast("string"), F.lit('. "'), t["text"], F.lit('"')),
     )
-    grouped = texts.groupBy("batch_id").agg(F.collect_list("t").alias("texts"))
+    grouped = texts.groupBy(*BATCH).agg(F.collect_list("t").alias("texts"))
     return grouped.select(
-        "batch_id",
+        *BATCH,
         F.size("texts").alias("item_count"),
         F.array_join(lines, "\n").alias("items"),
     ).withColumn("prompt", _fill(BATCH_PROMPT, count=F.col("item_count").cast("string"), items=F.col("items")))
@@ -120,13 +124,15 @@ def answering(
                     raise ValueError("one answer per prompt")
             except Exception:
                 answers = [alone(prompt) for prompt in asked]
-            yield pd.DataFrame({key: frame[key], "response": pd.Series(answers, dtype=object)})
+            yield frame.drop(columns="prompt").assign(response=pd.Series(answers, dtype=object, index=frame.index))
 
     def score(prompts: DataFrame) -> DataFrame:
-        wanted = prompts.select(key, "prompt")
+        keys = [c for c in ("chunk", key) if c in prompts.columns]
+        wanted = prompts.select(*keys, "prompt")
         if parallelism:
             wanted = wanted.repartition(parallelism)
-        return wanted.mapInPandas(run, f"{key} {prompts.schema[key].dataType.simpleString()}, response string")
+        shape = ", ".join(f"{c} {prompts.schema[c].dataType.simpleString()}" for c in keys)
+        return wanted.mapInPandas(run, f"{shape}, response string")
 
     return score
 
@@ -142,17 +148,25 @@ def apply_batch_responses(numbered: DataFrame, responses: DataFrame) -> DataFram
     Blank rows, rows beyond a short answer and all rows of a failed batch get
     the fallback. ``responses`` has at most one row per batch.
     """
-    parsed = responses.select("batch_id", L.labels_from_array(F.col("response")).alias("_labels"))
-    joined = numbered.join(parsed, "batch_id", "left")
+    keys = [c for c in BATCH if c in responses.columns]
+    parsed = responses.select(*keys, L.labels_from_array(F.col("response")).alias("_labels"))
+    joined = numbered.join(parsed, keys, "left")
     label = F.when(F.col("item").isNotNull(), F.get("_labels", F.col("item") - 1))
     return _spread(joined, label).drop("_labels")
 
 
 def classify_rows(df: DataFrame, responses: DataFrame) -> DataFrame:
-    """One answer per row (``id``, ``response``); blank rows and failures get the fallback."""
-    joined = df.join(responses.select("id", "response"), "id", "left")
-    label = F.when(~is_blank(F.col("clean_text")), L.labels_from_object(F.col("response")))
-    return _spread(joined, label).drop("response")
+    """Labels from answers by ``id``; blank rows and failures get the fallback.
+
+    All rows of an id share its answer, also rows without an id where there is an
+    answer without one; of several answers to one id the least by text counts, so no
+    row is multiplied.
+    """
+    one = responses.groupBy("id").agg(F.min("response").alias("response"))
+    label = L.labels_from_object(F.col("response")).alias("_found")
+    answers = one.select(F.col("id").alias("_id"), label)
+    joined = df.join(answers, F.col("id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return _spread(joined, F.when(~is_blank(F.col("clean_text")), F.col("_found"))).drop("_found")
 
 
 def route_empty_text(df: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ from voxledger.session import materialize
 ROW_BITS = 33
 
 
-def _tie(df: DataFrame) -> Column:
-    """A hash of the row, for rows without an id."""
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row, for rows that an id does not tell apart."""
     hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
     return F.xxhash64(*hashable)
 
@@ -28,7 +28,7 @@ def with_position(df: DataFrame, id_column: str, order: Sequence[Column] = (), n
     last among equals, ordered by a hash of their values, so any number of them
     spreads over ranges.
     """
-    keys = [*order, F.asc_nulls_last(id_column), F.when(F.col(id_column).isNull(), _tie(df)).asc()]
+    keys = [*order, F.asc_nulls_last(id_column), F.when(F.col(id_column).isNull(), row_hash(df)).asc()]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = materialize(placed.withColumn("_place", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("_place", ROW_BITS)

@@ -37,10 +37,11 @@ def clean_rows(raw: DataFrame) -> DataFrame:
 
 def label_rows(cleaned: DataFrame, scorer: E.Scorer, batch_size: int = S.BATCH_SIZE) -> DataFrame:
     """Batch, prompt, score and apply. Answers are written once, so no prompt is paid for twice."""
-    numbered = E.with_item_number(E.micro_batches(cleaned, batch_size))
-    answers = scorer(E.build_batch_prompts(numbered)).select("batch_id", "response")
+    numbered = E.keep_batches(E.with_item_number(E.micro_batches(cleaned, batch_size)))
+    answers = scorer(E.build_batch_prompts(numbered))
+    answers = answers.select(*(c for c in E.BATCH if c in answers.columns), "response")
     labelled = E.apply_batch_responses(numbered, materialize(answers, "answers"))
-    return labelled.drop("batch_id", "pos", "item")
+    return labelled.drop(*E.BATCH, "pos", "item")
 
 
 def ingest_run(

@@ -7,6 +7,7 @@ import re
 import sys
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the session names.
 
     Where none is named and the driver is the only process, as in tests, a
-    temporary one is set for the session.
+    temporary one serves the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="voxledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="voxledger-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -62,6 +67,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As :func:`materialize`, in buckets of ``key``: groupings and joins by it find the rows in place.
+
+    The catalog names the folder only until its reader is made.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    placed = df.repartition(buckets, key).sortWithinPartitions(key)
+    placed.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return kept
+
+
 def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
