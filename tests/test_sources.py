@@ -154,6 +154,21 @@ def test_load_and_upsert(spark, table, tmp_path):
     ]
 
 
+def test_upsert_picks_one_of_equal_rows_and_moves_no_text(spark, table):
+    rows = [(1, "a", "first"), (1, "a", "first"), (2, "a", "later"), (3, "b", "one"), (3, "b", "two"), (4, None, "x"), (4, None, "x")]
+    rows += [(5 + i, "hot", f"copy {i}") for i in range(200)]
+    incoming = spark.createDataFrame(rows, "id bigint, external_id string, raw_text string")
+    before = stored(spark, table).count()
+    T.upsert_new_only(incoming, table)
+    found = sorted((str(r.external_id), r.raw_text) for r in stored(spark, table).collect())
+    assert len(found) - before == 5
+    assert [t for e, t in found if e in ("a", "hot")] == ["first", "copy 0"] and sum(e == "None" for e, _ in found) == 2
+    plan = T.new_rows(T.to_feedback(incoming), stored(spark, table))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan
+    T.upsert_new_only(incoming.filter("external_id IS NOT NULL"), table)
+    assert stored(spark, table).count() == len(found)
+
+
 def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
     texts = ['say "hi"', "two\nlines", "comma, semi;", "back\\slash", "", " padded ", "ü \U0001f621"]
     rows = spark.createDataFrame([("s", t, "2026-01-01T00:00:00") for t in texts], "source string, raw_text string, created_at string")
@@ -215,6 +230,7 @@ def test_nulls_take_the_defaults(spark):
     rows = spark.createDataFrame([(1, None, None, None)], "id bigint, category string, raw_text string, urgency_score int")
     (row,) = T.to_feedback(rows).collect()
     assert (row.category, row.raw_text, row.urgency_score, row.sentiment) == ("Uncategorized", "", 1, "Neutral")
+    assert row.source == "" and row.created_at > dt.datetime(2026, 1, 1)
 
 
 def counting(asked):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.session import exists, folders, remove
+from voxledger.session import exists, folders, materialize, remove
 
 CSV = {
     "escape": '"',
@@ -52,8 +52,10 @@ def create_feedback_table(spark: SparkSession, name: str, path: str | None = Non
 
 
 def to_feedback(df: DataFrame) -> DataFrame:
-    """Project any frame onto the table's columns; absent ones and nulls take their defaults."""
+    """Project any frame onto the table's columns; absent ones and nulls take their defaults, a missing time is now."""
     defaults = {
+        "source": F.lit(""),
+        "created_at": F.localtimestamp(),
         "raw_text": F.lit(""),
         "clean_text": F.lit(""),
         "category": F.lit(S.FALLBACK_CATEGORY),
@@ -97,20 +99,37 @@ def load_overwrite(df: DataFrame, table: str) -> None:
         remove(spark, f"{root}/{old}")
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
-    """Incoming rows whose ``external_id`` is not stored yet, one per id.
+def unseen_ids(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
+    """Ids of a delivery that are not stored, written once: the first ``order`` of each and how many rows hold that.
 
-    Rows without an id always pass. Within the batch the first row by
-    ``order`` wins; each task keeps one row per id before the shuffle, so an
-    id repeated a billion times is not a hot group. Stored ids are first narrowed to
-    those of the delivery, so a small delivery does not shuffle the table.
+    Only ids and their order are read and moved. Each task counts equal ones before the
+    shuffle, so an id repeated a billion times is not a hot group. Stored ids are first
+    narrowed to those of the delivery, so a small delivery does not shuffle the table.
     """
-    first = F.row_number().over(Window.partitionBy("external_id").orderBy(order))
-    identified = incoming.filter("external_id IS NOT NULL").withColumn("_n", first).filter("_n = 1").drop("_n")
+    identified = incoming.filter("external_id IS NOT NULL").groupBy("external_id", F.col(order).alias("first"))
+    firsts = identified.agg(F.count(F.lit(1)).alias("n")).groupBy("external_id").agg(F.min(F.struct("first", "n")).alias("at"))
     ids = stored.select("external_id").filter("external_id IS NOT NULL")
-    met = ids.join(identified.select("external_id"), "external_id", "left_semi")
-    unseen = identified.join(met, "external_id", "left_anti")
-    return incoming.filter("external_id IS NULL").unionByName(unseen)
+    met = ids.join(firsts.select("external_id"), "external_id", "left_semi")
+    return materialize(firsts.join(met, "external_id", "left_anti").select("external_id", "at.*"), "unseen")
+
+
+def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
+    """Incoming rows whose ``external_id`` is not stored yet, one per id: the first by ``order``.
+
+    Rows without an id always pass and are not moved. The others meet the unseen ids
+    once, where these are few without a shuffle of the rows. Only where several rows
+    of an id come first together is one of them picked.
+    """
+    unseen = unseen_ids(incoming, stored, order)
+    same = F.col(order).eqNullSafe(F.col("first"))
+
+    def met(ids: DataFrame) -> DataFrame:
+        found = incoming.filter("external_id IS NOT NULL").join(ids.withColumnRenamed("external_id", "_met"), F.col("external_id") == F.col("_met"))
+        return found.filter(same).select(*incoming.columns)
+
+    alone, tied = unseen.filter("n = 1"), unseen.filter("n > 1")
+    out = incoming.filter("external_id IS NULL").unionByName(met(alone))
+    return out if tied.isEmpty() else out.unionByName(met(tied).dropDuplicates(["external_id"]))
 
 
 def upsert_new_only(incoming: DataFrame, table: str, order: str = "id") -> None:
