@@ -4,9 +4,9 @@ from collections import Counter
 
 import pytest
 
+from voxledger.functions.numeric import row_hash
 from voxledger.operators import batching
 from voxledger.operators import enrichment as E
-from voxledger.operators.ordering import row_hash
 
 
 def batches(df, size=15):

@@ -1,8 +1,11 @@
+import random
+
 from helpers import feedback
 from pyspark.sql import functions as F
 
 from voxledger.operators.enrichment import micro_batches
 from voxledger.operators.ordering import paginate, top_n, with_position, with_rank
+from voxledger.operators.priority import with_category_volume
 from voxledger.operators.priority import rank_feedback, score
 
 
@@ -79,3 +82,35 @@ def test_pages_and_ranks(spark):
     ranks = {row.id: row["rank"] for row in with_rank(scored).collect()}
     assert [ranks[i] for i in shallow[0]] == [0, 1, 2, 3]
     assert top_n(scored, 3).count() == 3
+
+
+def test_deep_pages_are_cut_out_by_value(spark, monkeypatch):
+    from voxledger.operators import ordering
+
+    rng = random.Random(11)
+    values = [(rng.choice([8.25, 1.0, 0.5, 1e-9, 7e8, None]), rng.choice([None, *range(-40, 40), 2**62, -(2**62)])) for _ in range(700)]
+    scored = spark.createDataFrame(values, "priority_score double, id bigint").repartition(5)
+    in_order = sorted(values, key=lambda v: (v[0] is None, -(v[0] or 0), v[1] is not None, v[1] or 0))
+    monkeypatch.setattr(ordering, "HEAP_ROWS", 0)
+    monkeypatch.setattr(ordering, "BINS", 4)
+    for page, limit in ((1, 25), (7, 25), (2, 200), (4, 200), (28, 25), (29, 25), (700, 1), (123, 3)):
+        want = in_order[(page - 1) * limit : page * limit]
+        assert [tuple(r) for r in paginate(scored, page, limit).collect()] == want
+
+
+def test_page_a_million_holds_no_heap(spark):
+    scored = spark.range(30_000_000).select("id", (F.col("id") % 97).cast("double").alias("priority_score"))
+    page = paginate(scored, 1_000_000, 25)
+    # Rows 24,999,975 and on by score, then id.
+    per_value = [30_000_000 // 97 + (v < 30_000_000 % 97) for v in range(97)]
+    value, skipped = 96, 24_999_975
+    while skipped >= per_value[value]:
+        skipped -= per_value[value]
+        value -= 1
+    assert [tuple(r) for r in page.collect()] == [((skipped + k) * 97 + value, float(value)) for k in range(25)]
+
+
+def test_hot_unknown_category_without_numbers(spark):
+    df = spark.createDataFrame([("Odd", f"t{i}", "3") for i in range(200)], "category string, clean_text string, note string")
+    volumes = with_category_volume(df)
+    assert {r.category_volume for r in volumes.collect()} == {200} and volumes.count() == 200

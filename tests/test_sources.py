@@ -8,7 +8,7 @@ from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.operators.priority import score
 from voxledger.plans import backlog as B
 from voxledger.plans.ingest import fetch_run, ingest_run, upsert_run, with_ids
-from voxledger.session import folders
+from voxledger.session import files, folders
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
@@ -140,7 +140,8 @@ def test_load_and_upsert(spark, table, tmp_path):
     for n in (2, 1):
         T.load_overwrite(stored(spark, table).limit(n), table)
         assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == n
-    assert folders(spark, root) == ["version-000000002", "version-000000003"]
+    assert [name[:17] for name in folders(spark, root) if name != "_commits"] == ["version-000000002", "version-000000003"]
+    assert folders(spark, f"{root}/_commits") == ["000000002", "000000003"] and not files(spark, root)
 
     def delivery(*ids):
         rows = [(100 + i, key, f"t{i}") for i, key in enumerate(ids)]
@@ -169,6 +170,67 @@ def test_upsert_picks_one_of_equal_rows_and_moves_no_text(spark, table):
     assert stored(spark, table).count() == len(found)
 
 
+class Killed(RuntimeError):
+    pass
+
+
+def killed(*_):
+    raise Killed
+
+
+def test_overwrite_that_dies_before_the_commit_changes_nothing(spark, table, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "table"), feedback(spark, [hours_ago(i) for i in range(4)])
+    T.load_overwrite(df, table)
+    monkeypatch.setattr(T, "commit", killed)
+    with pytest.raises(Killed):
+        T.load_overwrite(df.limit(1), table)
+    monkeypatch.undo()
+    assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == 4
+    T.load_overwrite(df.limit(2), table)
+    assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == 2
+
+
+def test_overwrite_that_dies_after_the_commit_is_found_by_name_and_path(spark, table, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "table"), feedback(spark, [hours_ago(i) for i in range(4)])
+    T.load_overwrite(df, table)
+    real, calls = T.point_to_current, []
+
+    def once(*args):
+        calls.append(args)
+        return real(*args) if len(calls) == 1 else killed()
+
+    monkeypatch.setattr(T, "point_to_current", once)
+    with pytest.raises(Killed):
+        T.load_overwrite(df.limit(1), table)
+    monkeypatch.undo()
+    assert T.scan_feedback(spark, root).count() == 1
+    T.load_append(df.limit(2), table)
+    assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == 3
+
+
+def test_of_two_overwrites_at_once_the_second_fails(spark, table, tmp_path, monkeypatch):
+    root, df = str(tmp_path / "table"), feedback(spark, [hours_ago(i) for i in range(4)])
+    real = T.commit
+
+    def overtaken(*args):
+        monkeypatch.setattr(T, "commit", real)
+        T.load_overwrite(df.limit(3), table)
+        real(*args)
+
+    monkeypatch.setattr(T, "commit", overtaken)
+    with pytest.raises(RuntimeError, match="another job"):
+        T.load_overwrite(df.limit(1), table)
+    assert T.scan_feedback(spark, root).count() == stored(spark, table).count() == 3
+
+
+def test_marks_are_ordered_by_number_and_compacted(spark, tmp_path):
+    path = str(tmp_path / "mark")
+    for value in (5.0, 9.0, 3.0, None, 4.0):
+        W.save_mark(spark.createDataFrame([(value,)], "since_utc double"), path)
+    assert W.read_mark(spark, path) == 4.0
+    assert folders(spark, path) == ["mark-000000000003", "mark-000000000004"]
+
+
 def test_csv_keeps_quotes_and_line_breaks(spark, tmp_path):
     texts = ['say "hi"', "two\nlines", "comma, semi;", "back\\slash", "", " padded ", "ü \U0001f621"]
     rows = spark.createDataFrame([("s", t, "2026-01-01T00:00:00") for t in texts], "source string, raw_text string, created_at string")

@@ -40,6 +40,13 @@ def _(spark, sf_dir):
     return page.select("id", "category", "priority_score")
 
 
+@query("paginate_deep", FB + f"SELECT id, category, priority_score FROM scored {ORDER} LIMIT 200 OFFSET 800")
+def _(spark, sf_dir):
+    """A page found by value, as those far down a large table are."""
+    page = ordering.paginate(priority.score(feedback(spark, sf_dir)), page=5, limit=200, heap_rows=0)
+    return page.select("id", "category", "priority_score")
+
+
 @query("select_display", FBT + f"SELECT {EXPORT} FROM scored")
 def _(spark, sf_dir):
     return B.select_display(priority.score(feedback_text(spark, sf_dir)))

@@ -35,3 +35,9 @@ def hours_before_newest(df: DataFrame, hours: int, ts: str = "created_at") -> Co
     """
     start = F.max(ts) - F.make_dt_interval(hours=F.lit(int(hours)))
     return df.select(start.alias("window_start")).scalar()
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the row, for rows that no key tells apart."""
+    hashable = [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
+    return F.xxhash64(*hashable)

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from voxledger.operators.ordering import row_hash, with_position
+from voxledger.functions.numeric import row_hash
+from voxledger.operators.ordering import with_position
 from voxledger.session import materialize, ship_by_value
 
 ship_by_value(__name__)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.functions.numeric import half_even
+from voxledger.functions.numeric import half_even, row_hash
 
 KNOWN_CATEGORIES = tuple(S.CATEGORY_WEIGHTS)
 # Parts that the rows of one category outside the vocabulary are dealt to.
@@ -27,11 +27,6 @@ def category_weight(category: Column) -> Column:
     return F.coalesce(F.try_element_at(weights, category), F.lit(S.OTHER_CATEGORY_WEIGHT))
 
 
-def _numbers(df: DataFrame) -> list[str]:
-    """Columns of fixed width, which tell rows of one category apart."""
-    return [f.name for f in df.schema if f.dataType.typeName() in ("long", "integer", "double", "timestamp", "timestamp_ntz")]
-
-
 def with_category_volume(df: DataFrame, full: DataFrame | None = None) -> DataFrame:
     """Attach the category's row count in ``full`` (by default ``df`` itself).
 
@@ -54,7 +49,7 @@ def with_category_volume(df: DataFrame, full: DataFrame | None = None) -> DataFr
     other = df.filter(unknown)
     volumes = category_volume(full.filter(unknown)).withColumnRenamed("volume", "category_volume")
     salted = volumes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = other.withColumn("_salt", F.pmod(F.xxhash64(*_numbers(df)), F.lit(SALTS)).cast("int"))
+    dealt = other.withColumn("_salt", F.pmod(row_hash(df), F.lit(SALTS)).cast("int"))
     return known.unionByName(dealt.join(salted, ["category", "_salt"]).select(known.columns))
 
 

@@ -89,8 +89,10 @@ def collect_posts(
     if authoritative:
         return read(tiers[0]).orderBy(F.desc("posted_at"), "external_id").limit(C.total_cap(limit))
     cap = C.channel_cap(limit, len(named))
-    capped = [C.per_source_cap(read(tier), cap, "channel", "posted_at", "external_id") for tier in tiers]
-    return next((rows for rows in capped if not rows.isEmpty()), capped[-1])
+    # A tier is probed for a single row, before any of its posts are ranked.
+    reads = [read(tier) for tier in tiers]
+    chosen = next((rows for rows in reads if not rows.isEmpty()), reads[-1])
+    return C.per_source_cap(chosen, cap, "channel", "posted_at", "external_id")
 
 
 def fetch_run(

@@ -104,3 +104,24 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that is no longer needed, wherever it lies."""
     system, place = _file_system(spark, path)
     system.delete(place, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    """Rename a file or folder in one step; False, and nothing done, where the new name is taken."""
+    system, place = _file_system(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    # A folder that is renamed to an existing one would be moved into it.
+    return not system.exists(target) and system.rename(place, target)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right below a path."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    return sorted(status.getPath().getName() for status in system.listStatus(place) if status.isFile())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.mkdirs(place)

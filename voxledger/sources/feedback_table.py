@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.session import exists, folders, materialize, remove
+from voxledger.session import files, folders, make_folder, materialize, remove, rename
 
 CSV = {
     "escape": '"',
@@ -19,18 +21,40 @@ COLUMN_DDL = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field
 
 
 VERSION = "version-"
+COMMITS = "_commits"
+
 
+def _commits(spark: SparkSession, root: str) -> list[str]:
+    """Numbers of the committed versions of a table, oldest first."""
+    return folders(spark, f"{root}/{COMMITS}")
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    """Complete versions below a table's root, oldest first."""
-    named = [name for name in folders(spark, root) if name.startswith(VERSION)]
-    return [name for name in named if exists(spark, f"{root}/{name}/_SUCCESS")]
+
+def _committed(spark: SparkSession, root: str, number: str) -> str:
+    """Folder of a committed version."""
+    return f"{root}/{spark.read.text(f'{root}/{COMMITS}/{number}').first()[0]}"
 
 
 def current_path(spark: SparkSession, root: str) -> str:
-    """Where the table's rows lie: its newest version, or the root while it was never overwritten."""
-    versions = _versions(spark, root)
-    return f"{root}/{versions[-1]}" if versions else root
+    """Where the table's rows lie: what the last commit names, or the root while it was never overwritten."""
+    commits = _commits(spark, root)
+    return _committed(spark, root, commits[-1]) if commits else root
+
+
+def _places(spark: SparkSession, table: str) -> tuple[str, str]:
+    """Root of a table and the folder its name points to."""
+    at = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"].rstrip("/")
+    parent, _, last = at.rpartition("/")
+    return (parent if last.startswith(VERSION) else at), at
+
+
+def point_to_current(spark: SparkSession, table: str) -> str:
+    """Let the name follow the last commit, also one whose job died before it could; returns the root."""
+    root, at = _places(spark, table)
+    path = current_path(spark, root)
+    if path != at:
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
+        spark.catalog.refreshTable(table)
+    return root
 
 
 def scan_feedback(spark: SparkSession, path: str) -> DataFrame:
@@ -74,29 +98,44 @@ def to_feedback(df: DataFrame) -> DataFrame:
 
 
 def load_append(df: DataFrame, table: str) -> None:
-    """Insert rows. Sorting inside each task keeps the time ranges of row groups narrow."""
+    """Insert rows into the committed version. Sorting inside each task keeps the time ranges of row groups narrow."""
+    point_to_current(df.sparkSession, table)
     to_feedback(df).sortWithinPartitions("created_at").write.insertInto(table)
 
 
 def load_overwrite(df: DataFrame, table: str) -> None:
     """Replace all rows by a new version below the table's root.
 
-    Readers by path see it once it is complete, readers by name once the table
-    points to it. The version before stays for readers that have begun; older
-    ones are deleted.
+    One rename of a numbered manifest commits it, for readers by path and by name
+    alike: appends and later overwrites first let the name follow the last commit. Of
+    two overwrites at once the second to commit fails and changes nothing. The version
+    before stays for readers that have begun; older ones are deleted, also the files
+    first written at the root.
     """
     spark = df.sparkSession
-    at = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first()["data_type"]
-    parent, _, last = at.rstrip("/").rpartition("/")
-    root = parent if last.startswith(VERSION) else at
-    before = _versions(spark, root)
-    number = int(before[-1].removeprefix(VERSION)) + 1 if before else 1
-    path = f"{root}/{VERSION}{number:09d}"
-    to_feedback(df).sortWithinPartitions("created_at").write.mode("overwrite").parquet(path)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
-    spark.catalog.refreshTable(table)
+    root = point_to_current(spark, table)
+    before = _commits(spark, root)
+    number = f"{int(before[-1]) + 1 if before else 1:09d}"
+    folder = f"{VERSION}{number}-{uuid.uuid4().hex[:8]}"
+    to_feedback(df).sortWithinPartitions("created_at").write.parquet(f"{root}/{folder}")
+    aside = f"{root}/_aside-{uuid.uuid4().hex}"
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.text(aside)
+    commit(spark, root, aside, number)
+    point_to_current(spark, table)
     for old in before[:-1]:
-        remove(spark, f"{root}/{old}")
+        remove(spark, _committed(spark, root, old))
+        remove(spark, f"{root}/{COMMITS}/{old}")
+    if before:
+        for name in files(spark, root):
+            remove(spark, f"{root}/{name}")
+
+
+def commit(spark: SparkSession, root: str, manifest: str, number: str) -> None:
+    """Make a manifest the table's next version."""
+    make_folder(spark, f"{root}/{COMMITS}")
+    if not rename(spark, manifest, f"{root}/{COMMITS}/{number}"):
+        remove(spark, manifest)
+        raise RuntimeError(f"version {number} of {root} was committed by another job")
 
 
 def unseen_ids(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
