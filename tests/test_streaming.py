@@ -4,7 +4,9 @@ import random
 import pytest
 from helpers import feedback, minutes_in, plain_scan
 
+from voxledger.session import folders
 from voxledger.streaming.spikes import SpikeStream
+from voxledger.streaming.volume import compact_hourly_volume, late_rows, read_hourly_volume, stream_hourly_volume
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -67,3 +69,21 @@ def test_empty_deliveries(spark, landed):
     assert stream.open_windows(spark).count() == 1
     assert landed([]).open_windows(spark).count() == 1
     assert stream.late_rows(spark).count() == 0
+
+
+def test_hourly_volume_counts_late_rows_over_restarts_and_compaction(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / name) for name in ("landing", "out", "checkpoint"))
+    schema = feedback(spark, []).schema
+    # Minutes after noon: 700 closes the hours before minute 580; 30 is then late, 600 is not.
+    deliveries = ([5, 10, 65, 700], [30, 31, 90, 600, 700], [1000, 35, 601])
+    for delivered in deliveries:
+        feedback(spark, [minutes_in(m) for m in delivered] + [{"at": None}]).coalesce(1).write.mode("append").parquet(landing)
+        rows = spark.readStream.schema(schema).parquet(landing)
+        stream_hourly_volume(rows, out, checkpoint).awaitTermination()
+        compact_hourly_volume(spark, out)
+    assert len(folders(spark, out)) == 1
+    noon = dt.datetime(2026, 1, 10, 12)
+    counts = {(r.hour - noon) // dt.timedelta(hours=1): r["count"] for r in read_hourly_volume(spark, out).collect()}
+    late = {(r.hour - noon) // dt.timedelta(hours=1): r.late for r in late_rows(spark, out).collect()}
+    assert counts == {0: 2, 1: 1, 10: 2, 11: 2, 16: 1} and late == {0: 3, 1: 1}
+    assert sum(counts.values()) + sum(late.values()) == sum(map(len, deliveries))

@@ -13,6 +13,10 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Stateful stream operators with timers need this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def ship_by_value(module: str) -> None:
     """Send the functions of a module with the task, so executors need no installed package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -28,7 +28,7 @@ from voxledger import schema as S
 from voxledger.functions.numeric import from_micros, micros
 from voxledger.operators.filters import filter_incident_categories
 from voxledger.operators.spikes import chain_start_count, following_chain, time_slot, walk_chain, window_micros, window_starts
-from voxledger.session import exists, materialize, ship_by_value
+from voxledger.session import STATE_STORE, exists, materialize, ship_by_value
 
 ship_by_value(__name__)
 
@@ -38,7 +38,6 @@ INSTANT_TYPE = "category string, us bigint, n bigint"
 LISTED_TYPE = "us array<bigint>, n array<bigint>, next_us array<bigint>, next_n array<bigint>"
 CLOSED_TYPE = "category string, block bigint, times array<bigint>, late bigint"
 WINDOW_TYPE = "category string, start_us bigint, late bigint"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def count_instants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
