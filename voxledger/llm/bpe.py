@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,13 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from voxledger.llm.tokens import CACHE_WORDS, is_odd, spaced_words
+from voxledger.llm.chunks import ChunkTable, steps
 from voxledger.session import ship_by_value
 
 ship_by_value(__name__)
 
 # Bytes that are encoded directly; longer strings are halved.
 LEAF_BYTES = 32
+# Ids that are decoded directly.
+LEAF_IDS = 512
+# Pairs of neighbours whose stability is remembered.
+KEPT_PAIRS = 400_000
 NONE = 1 << 62
 
 
@@ -41,7 +44,7 @@ class Encoder:
         self.ranks = ranks
         self.tokens = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, bytes] = {}
+        self.table = ChunkTable(self.segment)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merge_short(self, raw: bytes) -> list[int]:
@@ -93,7 +96,7 @@ class Encoder:
         """Whether two tokens next to each other encode to themselves."""
         if (known := self.pairs.get((left, right))) is None:
             known = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            if len(self.pairs) >= CACHE_WORDS:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             self.pairs[left, right] = known
         return known
@@ -122,38 +125,37 @@ class Encoder:
         """One match of the split pattern; a piece that is a token stays whole."""
         return [self.ranks[raw]] if raw in self.ranks else self.encode_half(raw)
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        return array("I", [i for piece in pieces for i in self.encode_piece(piece.encode())]).tobytes()
-
-    def _pieces(self, word: str) -> list[str]:
-        """Matches of the split pattern; letters alone, or before a stop or comma, need no search."""
-        if word.removeprefix(" ").isalpha():
-            return [word]
-        if word[-1] in ".," and word[:-1].removeprefix(" ").isalpha():
-            return [word[:-1], word[-1]]
-        return self.pattern.findall(word)
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks; a chunk that is one match of the pattern needs no search."""
+        out, ranks, find = [], self.ranks, self.pattern.findall
+        for chunk in chunks:
+            raw = chunk.encode()
+            if (known := ranks.get(raw)) is not None and chunk.removeprefix(" ").isalpha():
+                out.append((known,))
+            elif chunk.removeprefix(" ").isalpha():
+                out.append(self.encode_half(raw))
+            else:
+                out.append([i for piece in find(chunk) for i in self.encode_piece(piece.encode())])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Token ids of a whole text.
+        """Ids of one text."""
+        return self.encode_array(pa.array([text], pa.string()))[0]
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts without nulls, and where each text's ids end.
 
-        Where every space is followed by a visible character, a piece begins at each
-        space, so the text falls into words that are encoded by themselves.
+        The top of the tree joins chunks at places that no match of the pattern spans:
+        there no window has to be encoded again, and the join is the concatenation.
         """
-        words = spaced_words(text) if text else []
-        parts = [self.words.get(w) for w in words]
-        for at in [k for k, part in enumerate(parts) if part is None]:
-            word = words[at]
-            if is_odd(word):
-                return np.frombuffer(self._ids(self.pattern.findall(text)), dtype="<u4")
-            parts[at] = self._ids(self._pieces(word))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = parts[at]
-        return np.frombuffer(b"".join(parts), dtype="<u4")
-
-    def decode(self, ids: list[int]) -> bytes:
-        """Bytes of a token sequence: the concatenation over its halves, hence over its tokens."""
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.table.encode(texts)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of a token sequence: those of its halves, joined up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(maxsize=2)
@@ -163,19 +165,16 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}, pattern)
 
 
-def list_array(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate(parts).view(np.int32) if parts else np.zeros(0, dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-
 def encode_column(text: Column, path: str, pattern: str) -> Column:
     """Token ids of whole texts; a null text is an empty one. The file must be at ``path`` on every executor."""
 
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         own = encoder(path, pattern)
-        return list_array([own.encode(t.as_py() or "") for t in texts])
+        parts = [own.encode_array(part) for part in steps(texts.fill_null(""))]
+        ends = np.concatenate([np.zeros(0, np.int64), *(np.diff(e, prepend=0) for _, e in parts)]).cumsum()
+        flat = np.concatenate([np.zeros(0, np.uint32), *(ids for ids, _ in parts)]).view(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
 
     return encoded(text)
 
@@ -185,9 +184,9 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
 
     @arrow_udf("binary")
     def decoded(lists: pa.Array) -> pa.Array:
-        own, flat = encoder(path, pattern), lists.values.to_numpy(zero_copy_only=False)
-        ends = lists.offsets.to_pylist()
-        return pa.array([own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        own, lists = encoder(path, pattern), lists.fill_null([])
+        flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        return pa.array([own.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return decoded(ids)
 
