@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxledger.llm.chunks import steps
 from voxledger.llm.tokens import word_tokens
 from voxledger.session import ship_by_value
 
@@ -26,7 +27,6 @@ ship_by_value(__name__)
 
 # Local numbers of windows in a task; the task's number stands above them.
 LANE_BITS = 40
-TEXTS_AT_ONCE = 500
 
 
 class Piece(NamedTuple):
@@ -136,12 +136,14 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str, path: str, capac
         packer, end = Packer(capacity, TaskContext.get().partitionId()), np.array([end_id], dtype="<u4").tobytes()
         tokens, id_type = word_tokens(path), None
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), tokens.encode(texts), strict=True):
-                    packer.add(doc, ids + end)
+            id_type, names, at = batch.schema.field(0).type, batch.column(0).to_pylist(), 0
+            for texts in steps(batch.column(1).fill_null("")):
+                flat, ends = tokens.encode_array(texts)
+                data, start = flat.astype("<u4").tobytes(), 0
+                for doc, stop in zip(names[at : at + len(texts)], (4 * ends).tolist(), strict=True):
+                    packer.add(doc, data[start:stop] + end)
+                    start = stop
+                at += len(texts)
                 if packer.closed:
                     yield packer.taken(id_type)
         packer.finish()

@@ -1,44 +1,29 @@
-"""Token ids by a public tokenizer file, with a cache of words per worker.
-
-Byte-level tokenizers split a text before every space that stands in front of a
-visible character. Where all spaces are such, the words between them are
-tokenized by themselves, once each.
-"""
+"""Token ids by a public tokenizer file, each distinct chunk of the texts of a task once."""
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
+from voxledger.llm.chunks import ChunkTable
 from voxledger.session import ship_by_value
 
 ship_by_value(__name__)
 
-CACHE_WORDS = 400_000
-# Words tokenized in one call, joined by a sign that no joined word holds and that is a token of its own.
+# Chunks tokenized in one call, joined by a sign that no joined chunk holds and that is a token of its own.
 JOINED, MARK = 500, "\r"
-_ODD_WORD = re.compile(r" ?\Z| \s|.*[\x00\x1c-\x1f\x85]", re.S)
-
 
-def spaced_words(text: str) -> list[str]:
-    """The text cut before each space; one that holds the cutting sign stays whole, and is odd."""
-    if "\0" in text:
-        return [text]
-    words = text.replace(" ", "\0 ").split("\0")
-    return words if words[0] else words[1:]
 
-
-def is_odd(word: str) -> bool:
-    """Whether a word's text must be tokenized whole: the word is a bare space, begins with two
-    spaces of any kind, or holds control characters that libraries class differently."""
-    return _ODD_WORD.match(word) is not None
+def joinable(chunk: str) -> bool:
+    """Whether a mark before and behind a chunk stays a match of its own: no mark inside, and visible ends."""
+    return MARK not in chunk and not chunk[-1].isspace() and not chunk.removeprefix(" ")[0].isspace() and chunk.isprintable()
 
 
 class WordTokens:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts as unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,39 +32,37 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text inside documents.
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.mark = self._whole([MARK])[0]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Tokenize words that are not kept yet, many in one call."""
-        plain = [w for w in words if MARK not in w and not w[-1].isspace()]
-        groups = [plain[at : at + JOINED] for at in range(0, len(plain), JOINED)]
-        for group, ids in zip(groups, self._whole([MARK.join(g) for g in groups]), strict=True):
-            numbers = np.frombuffer(ids, "<u4")
-            ends = np.flatnonzero(numbers == np.frombuffer(self.mark, "<u4")[0]).tolist()
-            starts = [0, *(e + 1 for e in ends)]
-            self.words.update(zip(group, (ids[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(numbers)], strict=True)), strict=True))
-        rest = [w for w in words if MARK in w or w[-1].isspace()]
-        self.words.update(zip(rest, self._whole(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [spaced_words(t) for t in texts]
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = {w for words in split for w in words if w not in known}
-        odd = {w for w in new if is_odd(w)}
-        self._learn(list(new - odd))
-        apart = {k for k, words in enumerate(split) if odd and not odd.isdisjoint(words)}
-        out = [b"" if k in apart else b"".join([known[w] for w in words]) for k, words in enumerate(split)]
-        for k, ids in zip(sorted(apart), self._whole([texts[k] for k in sorted(apart)]), strict=True):
+        self.mark = self._whole([MARK])[0][0]
+        self.table = ChunkTable(self.segment)
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def segment(self, chunks: list[str]) -> list:
+        """Ids of chunks, many in one call."""
+        plain = np.fromiter(map(joinable, chunks), bool, len(chunks))
+        out: list = [None] * len(chunks)
+        places = np.flatnonzero(plain).tolist()
+        groups = [places[at : at + JOINED] for at in range(0, len(places), JOINED)]
+        for group, ids in zip(groups, self._whole([MARK.join([chunks[k] for k in g]) for g in groups]), strict=True):
+            edges = [-1, *np.flatnonzero(np.asarray(ids) == self.mark).tolist(), len(ids)]
+            for k, a, b in zip(group, edges[:-1], edges[1:], strict=True):
+                out[k] = ids[a + 1 : b]
+        rest = np.flatnonzero(~plain).tolist()
+        for k, ids in zip(rest, self._whole([chunks[k] for k in rest]), strict=True):
             out[k] = ids
         return out
 
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls, one behind the other, and where each text's ids end."""
+        return self.table.encode(texts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        flat, ends = self.encode_array(pa.array(texts, pa.string()))
+        data, edges = flat.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
 
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
