@@ -10,6 +10,7 @@ logistic curve fitted on the labelled documents.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -47,11 +48,16 @@ DIGITS = str.maketrans("0134578@$!", "oieastbasi")
 _BESIDE = re.compile(r"(?<=[a-z])[0134578@$!]+(?=[a-z])|(?<![a-z0-9@$!])[0134578@$!]+(?=[a-z])")
 # Words and stems are learned from at most so many toxic documents without a lexicon word and so many clean ones.
 LEARN_TOXIC, LEARN_CLEAN = 1_500, 3_000
-# What is learned stands in at least so many of the toxic ones, and so large a share, and its log odds exceed the last.
-LEARN_ROWS, LEARN_SHARE, LEARN_ODDS = 4, 0.02, 3.0
-# Letters of a stem, and how many terms are learned at most, the most frequent first.
-STEMS, LEARN_TERMS = (4, 5, 6), 1_000
-HITS_TYPE = "struct<hits: array<struct<term: int, n: int>>, length: bigint>"
+# What is learned stands in at least so many of the toxic ones, its log odds exceed the second, and its log likelihood ratio
+# against being as frequent in clean ones the third: chance gives that to one term in 160,000, however rare the term is.
+LEARN_ROWS, LEARN_ODDS, LEARN_EVIDENCE = 4, 3.0, 12.0
+# Letters of a stem.
+STEMS = (4, 5, 6)
+# Minima of word triples that all agree in copies of a text.
+SKETCH_SEEDS = 6
+HITS_TYPE = "struct<hits: array<struct<term: int, n: int>>, length: bigint, print: bigint>"
+# Signs without a width of their own: accents behind their letter, joiners, soft hyphens.
+UNSEEN = (0xAD, *range(0x300, 0x370), *range(0x200B, 0x2010), *range(0x2060, 0x2065), 0xFEFF)
 
 
 class ToxicityModel(NamedTuple):
@@ -62,13 +68,13 @@ class ToxicityModel(NamedTuple):
 
 @lru_cache
 def _plain() -> dict[int, str]:
-    """Accented Latin letters and full-width forms to plain letters, by Unicode's own decompositions."""
+    """Accented Latin letters and full-width forms to plain letters, by Unicode's own decompositions; unseen signs to nothing."""
     out = {}
     for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
         base = unicodedata.normalize("NFKD", chr(code))[:1]
         if base.isascii() and base != chr(code):
             out[code] = base.lower()
-    return out | {ord(k): v for k, v in HOMOGLYPHS.items()}
+    return out | {ord(k): v for k, v in HOMOGLYPHS.items()} | dict.fromkeys(UNSEEN)
 
 
 def fold(text: str) -> str:
@@ -84,9 +90,10 @@ def automaton(terms: tuple[str, ...], exceptions: tuple[str, ...]) -> ahocorasic
     out = ahocorasick.Automaton()
     keys: dict[str, tuple[int, int, bool]] = {}
     for number, term in enumerate(terms):
-        keys.setdefault(key := fold(term.removesuffix("*")), (number, len(key), term.endswith("*")))
-    for phrase in exceptions:
-        keys[key := fold(phrase)] = (-1, len(key), False)
+        key = fold(term.removesuffix("*"))
+        keys.setdefault(key, (number, len(key), term.endswith("*")))
+    for key in map(fold, exceptions):
+        keys[key] = (-1, len(key), False)
     for key, value in keys.items():
         out.add_word(key, value)
     out.make_automaton()
@@ -95,7 +102,11 @@ def automaton(terms: tuple[str, ...], exceptions: tuple[str, ...]) -> ahocorasic
 
 def find_terms(text: str, found: ahocorasick.Automaton) -> dict[int, int]:
     """How often each term stands in a text as a word or, for stems, begins one, outside exception phrases."""
-    folded = fold(text)
+    return find_folded(fold(text), found)
+
+
+def find_folded(folded: str, found: ahocorasick.Automaton) -> dict[int, int]:
+    """As :func:`find_terms`, in a text that is folded already."""
     hits, spared = [], []
     for end, (number, length, stem) in found.iter(folded):
         start = end + 1 - length
@@ -105,26 +116,35 @@ def find_terms(text: str, found: ahocorasick.Automaton) -> dict[int, int]:
             continue
         (spared if number < 0 else hits).append((start, end, number))
     out: dict[int, int] = {}
-    at = 0
+    spared.sort()
+    # How far the phrases reach that begin no later than the hit.
+    at, reach = 0, -1
     for start, end, number in sorted(hits):
-        while at < len(spared) and spared[at][1] < end:
+        while at < len(spared) and spared[at][0] <= start:
+            reach = max(reach, spared[at][1])
             at += 1
-        if not any(a <= start and end <= b for a, b, _ in spared[at : at + 4]):
+        if end > reach:
             out[number] = out.get(number, 0) + 1
     return out
 
 
+def text_print(folded: str) -> int:
+    """A hash of a folded text, by which copies are told."""
+    return int.from_bytes(hashlib.blake2b(folded.encode(), digest_size=8).digest(), "little", signed=True)
+
+
 def term_hits(text: Column, terms: Sequence[str], exceptions: Sequence[str] = EXCEPTIONS) -> Column:
-    """Counts of the terms found in a whole text and its length; a null text is an empty one."""
+    """Counts of the terms found in a whole text, its length and a hash of it folded; a null text is an empty one."""
     terms, exceptions = tuple(terms), tuple(exceptions)
 
     @arrow_udf(HITS_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
         found = automaton(terms, exceptions) if terms else None
-        rows = [(find_terms(t, found) if found and t else {}, len(t or "")) for t in texts.to_pylist()]
+        folds = ((fold(t or ""), len(t or "")) for t in texts.to_pylist())
+        rows = [(find_folded(folded, found) if found else {}, length, text_print(folded)) for folded, length in folds]
         return pa.array(
-            [{"hits": [{"term": k, "n": n} for k, n in sorted(hits.items())], "length": length} for hits, length in rows],
-            pa.struct([("hits", pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))), ("length", pa.int64())]),
+            [{"hits": [{"term": k, "n": n} for k, n in sorted(hits.items())], "length": length, "print": own} for hits, length, own in rows],
+            pa.struct([("hits", pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int32())]))), ("length", pa.int64()), ("print", pa.int64())]),
         )
 
     return scan(text)
@@ -168,40 +188,54 @@ def weigh(scanned: DataFrame, found: str, label: str, terms: Sequence[str]) -> t
 
 
 def _terms_of(texts: DataFrame) -> DataFrame:
-    """Each document's words and stems, one document of those that share a sketch: copies of a text do."""
-    words = texts.select("label", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
-    triples = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, 1 << 30).alias("b"), F.slice("w", 3, 1 << 30).alias("c"))
-    sketch = F.array_min(F.transform(triples, lambda t: F.xxhash64(t["a"], t["b"], t["c"]))).alias("sketch")
+    """Each document's words and stems, one document of those that agree in all minima of their word triples: near copies do."""
+    words = texts.select("label", *(F.split(F.lower("text"), rf"[^{kept}]+").alias(name) for name, kept in (("w", r"\p{L}"), ("all", r"\p{L}\p{N}"))))
+    triples = F.arrays_zip(F.col("all").alias("a"), F.slice("all", 2, 1 << 30).alias("b"), F.slice("all", 3, 1 << 30).alias("c"))
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(triples, lambda t: F.xxhash64(F.lit(seed), t["a"], t["b"], t["c"])))
 
     def terms(word: Column) -> Column:
         return F.array(word, *(F.when(F.length(word) > n, F.concat(F.left(word, F.lit(n)), F.lit("*"))) for n in STEMS))
 
     long = F.filter(F.array_distinct("w"), lambda word: F.length(word) >= min(STEMS))
     listed = F.array_distinct(F.array_compact(F.flatten(F.transform(long, terms)))).alias("terms")
+    sketch = F.array(*map(least, range(SKETCH_SEEDS))).alias("sketch")
     return words.select("label", sketch, listed).dropDuplicates(["label", "sketch"])
 
 
+def evidence(toxic: Column, clean: Column, toxic_rows: int, clean_rows: int) -> Column:
+    """Log likelihood ratio of a term's counts against one share in both kinds of documents."""
+    share, both = toxic_rows / max(toxic_rows + clean_rows, 1), toxic + clean
+    of_clean = F.when(clean > 0, clean * F.ln(clean / (both * F.lit(1 - share)))).otherwise(0.0)
+    return toxic * F.ln(toxic / (both * F.lit(share))) + of_clean
+
+
 def learn_terms(source: DataFrame, train: DataFrame) -> tuple[str, ...]:
     """Words and stems of toxic documents in which the lexicon finds nothing, and that clean ones lack.
 
-    A documented bound of labelled rows is learned from, picked by a hash of the id;
-    copies of a text count once. Their ids are few enough to travel to the texts.
+    A documented bound of labelled texts is learned from, picked by a hash of the id
+    after copies are told apart; near copies count once. Their ids are few enough to
+    travel to the texts. What is learned depends on the evidence alone, not on a share
+    of the documents or a number of terms, which the sample bounds.
     """
 
     def pick(part: DataFrame, rows: int) -> DataFrame:
-        return part.select("id", "label").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+        texts = part.groupBy("label", F.col("found.print").alias("print")).agg(F.min("id").alias("id"))
+        return texts.select("id", "label").orderBy(F.xxhash64("id"), "id").limit(rows)
 
     silent = pick(train.filter((F.col("label") == 1) & (F.size("found.hits") == 0)), LEARN_TOXIC)
     picked = materialize(silent.union(pick(train.filter("label = 0"), LEARN_CLEAN)), "picked")
     docs = materialize(_terms_of(source.join(F.broadcast(picked), "id")), "picked-terms")
     sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sizes.get(1, 0) < LEARN_ROWS:
+    bad, good = sizes.get(1, 0), sizes.get(0, 0)
+    if bad < LEARN_ROWS:
         return ()
     toxic, clean = (F.count(F.when(F.col("label") == label, 1)) for label in (1, 0))
     rows = docs.select("label", F.explode("terms").alias("term")).groupBy("term").agg(toxic.alias("toxic"), clean.alias("clean"))
-    odds = F.ln(F.col("toxic") / F.lit(sizes[1])) - F.ln((F.col("clean") + 0.5) / F.lit(sizes.get(0, 0) + 1.0))
-    often = F.col("toxic") >= F.lit(max(LEARN_ROWS, LEARN_SHARE * sizes[1]))
-    kept = rows.filter(often & (odds > LEARN_ODDS)).orderBy(F.desc("toxic"), F.length("term"), "term").limit(LEARN_TERMS)
+    odds = F.ln(F.col("toxic") / F.lit(bad)) - F.ln((F.col("clean") + 0.5) / F.lit(good + 1.0))
+    firm = (F.col("toxic") >= LEARN_ROWS) & (evidence(F.col("toxic"), F.col("clean"), bad, good) >= LEARN_EVIDENCE)
+    kept = rows.filter(firm & (odds > LEARN_ODDS)).orderBy(F.desc("toxic"), F.length("term"), "term")
     found = {r["term"]: r["clean"] for r in kept.collect()}
     # A stem that no clean document has says all that longer ones and its words could.
     stems = {t[:-1] for t, clean in found.items() if t.endswith("*") and not clean}
