@@ -236,10 +236,9 @@ def learn_terms(source: DataFrame, train: DataFrame) -> tuple[str, ...]:
     odds = F.ln(F.col("toxic") / F.lit(bad)) - F.ln((F.col("clean") + 0.5) / F.lit(good + 1.0))
     firm = (F.col("toxic") >= LEARN_ROWS) & (evidence(F.col("toxic"), F.col("clean"), bad, good) >= LEARN_EVIDENCE)
     kept = rows.filter(firm & (odds > LEARN_ODDS)).orderBy(F.desc("toxic"), F.length("term"), "term")
-    found = {r["term"]: r["clean"] for r in kept.collect()}
-    # A stem that no clean document has says all that longer ones and its words could.
-    stems = {t[:-1] for t, clean in found.items() if t.endswith("*") and not clean}
-    return tuple(t for t in found if not any(t[:n] in stems for n in STEMS if n < len(t.removesuffix("*"))))
+    found = {r["term"]: (r["toxic"], r["clean"]) for r in kept.collect()}
+    # A longer term that stands in the same documents as its stem says nothing more.
+    return tuple(t for t in found if not any(found.get(t[:n] + "*") == found[t] for n in STEMS if n < len(t.removesuffix("*"))))
 
 
 def fit_toxicity(scanned: DataFrame, found: str, label: str, terms: Sequence[str]) -> ToxicityModel:
