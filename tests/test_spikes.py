@@ -3,6 +3,7 @@ import random
 
 import pytest
 from helpers import NOON, feedback, hours_ago, minutes_in, plain_scan
+from pyspark.sql import functions as F
 
 from voxledger.operators import spikes, tickets
 from voxledger.operators.enrichment import answering
@@ -177,3 +178,28 @@ def test_cards_use_the_stable_key(spark):
     assert (other.title, other.jira_created, other.tracker_key) == ("Login loop", True, "TIQ-JIRA-002")
     assert first.source_counts[0].source == "Twitter" and first.sample_reviews[2].text == "t2"
     assert incidents.anomalies(incidents.incident_tickets(feedback(spark, []))).count() == 0
+
+
+def test_titles_and_actions_follow_a_window_that_late_rows_move(spark):
+    burst = [minutes_in(100 + i) for i in range(6)] + [minutes_in(400 + i) for i in range(6)]
+    before = incidents.incident_tickets(feedback(spark, burst))
+    titles = before.select("category", "start_us", F.concat(F.lit("Title "), F.col("number").cast("string")).alias("title"))
+    stored = spark.createDataFrame([tuple(r) for r in titles.collect()], titles.schema)
+    actions = stored.filter("title = 'Title 1'").drop("title")
+    # The first window now starts half an hour earlier; another burst of its own comes between the two.
+    late = [minutes_in(70)] + [minutes_in(200 + i) for i in range(6)]
+    after = incidents.incident_tickets(feedback(spark, burst + late))
+    cards = {c.window_start: c for c in incidents.anomalies(after, actions, stored.union(stored)).collect()}
+    found = [(cards[at].title, cards[at].jira_created) for at in sorted(cards)]
+    assert found == [("Title 1", True), (cards[sorted(cards)[1]].original_title, False), ("Title 2", False)]
+
+
+def test_records_belong_to_the_window_that_shares_most_time(spark):
+    minute = 60_000_000
+    now = spark.createDataFrame([("Bug", m * minute) for m in (-100, 0, 61, 500)] + [("Spam", 0)], "category string, start_us bigint")
+    records = [("Bug", 31, "b"), ("Bug", 40, "c"), ("Bug", 0, "a"), ("Bug", 0, "z"), ("Bug", 440, "none"), ("Bug", -160, "edge"), ("Spam", 59, "s"), (None, 0, "n"), ("Bug", None, "n")]
+    rows = spark.createDataFrame([(c, None if m is None else m * minute, t) for c, m, t in records], "category string, start_us bigint, title string")
+    found = {(r.category, r.start_us // minute): r.title for r in tickets.recorded(now, rows, 60, "title").collect()}
+    assert found == {("Bug", 0): "a", ("Bug", 61): "c", ("Spam", 0): "s"}
+    assert tickets.recorded(now, rows.limit(0), 60, "title").count() == 0
+    assert tickets.recorded(now, rows, 60).count() == 3

@@ -4,7 +4,10 @@ import random
 import pytest
 from helpers import feedback, minutes_in, plain_scan
 
-from voxledger.session import folders
+from voxledger.catalog.keyword_answers import keyword_answers
+from voxledger.session import folders, scratch_path
+from voxledger.sources.feedback_table import create_feedback_table
+from voxledger.streaming import ingest
 from voxledger.streaming.spikes import SpikeStream
 from voxledger.streaming.volume import compact_hourly_volume, late_rows, read_hourly_volume, stream_hourly_volume
 
@@ -87,3 +90,40 @@ def test_hourly_volume_counts_late_rows_over_restarts_and_compaction(spark, tmp_
     late = {(r.hour - noon) // dt.timedelta(hours=1): r.late for r in late_rows(spark, out).collect()}
     assert counts == {0: 2, 1: 1, 10: 2, 11: 2, 16: 1} and late == {0: 3, 1: 1}
     assert sum(counts.values()) + sum(late.values()) == sum(map(len, deliveries))
+
+
+def test_posts_are_known_over_restarts_and_lose_no_row(spark, tmp_path, monkeypatch):
+    landing, checkpoint = str(tmp_path / "landing"), str(tmp_path / "checkpoint")
+    entry = "<entry><id>tag/t3_{}</id><title>{}</title><updated>2024-01-0{}T00:00:00+00:00</updated></entry>"
+    feed = '<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>'
+    feed_type, post_type = "xml string", "id string, title string, selftext string, created_utc double, stickied boolean"
+    name = "feedback_" + scratch_path(spark, "t")[-12:]
+    create_feedback_table(spark, name, str(tmp_path / "table"))
+    handed = []
+
+    def counted(delivery, scorer, table):
+        handed.append(delivery.count())
+        return upsert(delivery, scorer, table)
+
+    upsert = ingest.upsert_run
+    monkeypatch.setattr(ingest, "upsert_run", counted)
+
+    def deliver(entries, posts):
+        xml = [(feed.format("".join(entries)),), ("<feed><entry>",), (None,)]
+        spark.createDataFrame(xml, feed_type).coalesce(1).write.mode("append").parquet(f"{landing}/feeds")
+        spark.createDataFrame(posts, post_type).coalesce(1).write.mode("append").parquet(f"{landing}/posts")
+        handed.clear()
+        feeds = spark.readStream.schema(feed_type).parquet(f"{landing}/feeds")
+        submissions = spark.readStream.schema(post_type).parquet(f"{landing}/posts")
+        ingest.stream_posts(feeds, submissions, keyword_answers, name, checkpoint).awaitTermination()
+        spark.catalog.refreshTable(name)
+        return sum(handed), sorted(str(r.external_id) for r in spark.table(name).collect())
+
+    first = [entry.format("a", "refund failed", 5), entry.format("b", "app crashed", 6)]
+    posts = [("p", "late delivery", "body", 1.0, False), ("q", "notice", "", 2.0, True), (None, "no id", "", 3.0, False), (None, "no id", "", 3.0, False)]
+    assert deliver(first, posts) == (5, ["None", "None", "reddit_a", "reddit_b", "reddit_p"])
+    # Older than all before it, but new; `a` once more as it was, `b` changed.
+    again = [first[0], entry.format("b", "app crashed again", 6), entry.format("old", "bad food", 1)]
+    assert deliver(again, posts[:1]) == (2, ["None", "None", "reddit_a", "reddit_b", "reddit_old", "reddit_p"])
+    assert {r.raw_text for r in spark.table(name).filter("external_id = 'reddit_b'").collect()} == {"app crashed"}
+    spark.sql(f"DROP TABLE {name}")

@@ -77,7 +77,7 @@ def _(spark, sf_dir):
 @query("ticket_action_flag", TICKETS + "SELECT ticket_id, ticket_key, number % 3 = 0 AS jira_created FROM titled")
 def _(spark, sf_dir):
     found = _tickets(spark, sf_dir)
-    recorded = found.filter(F.col("number") % 3 == 0).select("ticket_key")
+    recorded = found.filter(F.col("number") % 3 == 0).select("category", "start_us")
     flagged = tickets.with_action_flag(found, recorded.unionByName(recorded))
     return flagged.select("ticket_id", "ticket_key", "jira_created")
 
@@ -90,7 +90,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = _tickets(spark, sf_dir)
     stored = found.filter(F.col("number") % 2 == 0).select(
-        "ticket_key", F.concat(F.lit("Stored "), F.col("ticket_id")).alias("title")
+        "category", "start_us", F.concat(F.lit("Stored "), F.col("ticket_id")).alias("title")
     )
     return tickets.with_stored_title(found, stored).select("ticket_id", "title", "original_title")
 
@@ -120,9 +120,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     found = incidents.incident_tickets(feedback_text(spark, sf_dir))
-    actions = found.filter(F.col("number") % 3 == 0).select("ticket_key")
+    actions = found.filter(F.col("number") % 3 == 0).select("category", "start_us")
     titles = found.filter(F.col("number") % 2 == 0).select(
-        "ticket_key", F.concat(F.lit("Stored "), F.col("ticket_id")).alias("title")
+        "category", "start_us", F.concat(F.lit("Stored "), F.col("ticket_id")).alias("title")
     )
     cards = incidents.anomalies(found, actions, titles)
     pairs = F.transform("source_counts", lambda s: F.concat_ws(":", s["source"], s["count"].cast("string")))

@@ -123,7 +123,7 @@ def _escaped(text):
     return text
 
 
-def _feeds(spark, sf_dir):
+def landed_feeds(spark, sf_dir):
     """Pages as Atom documents of about 25 entries, and beside them entries without content or without a title."""
     page = F.col("page_id")
     at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=page.cast("int"))
@@ -162,7 +162,7 @@ FEED = f"""q AS (SELECT *, TRUE AS whole FROM pages UNION ALL SELECT *, FALSE FR
       strftime(posted_at, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at FROM p WHERE epoch_us(posted_at) > {START + 1200}::BIGINT * 1000000""",
 )
 def _(spark, sf_dir):
-    return C.to_contract(P.parse_atom_feed(_feeds(spark, sf_dir), since=START + 1200.0))
+    return C.to_contract(P.parse_atom_feed(landed_feeds(spark, sf_dir), since=START + 1200.0))
 
 
 @query(
@@ -197,7 +197,7 @@ def _(spark, sf_dir):
     return C.to_contract(P.read_seed_posts(spark, f"{path}/*", 25, START + 1200.0))
 
 
-def _submissions(spark, sf_dir):
+def landed_submissions(spark, sf_dir):
     doc = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("p"), doc.cast("string")).alias("id"),
@@ -222,7 +222,7 @@ SUBMISSIONS = f"""posts AS (SELECT 'p' || doc_id AS id, doc_id, source AS channe
     FROM posts WHERE epoch_us(posted_at) > {START + 1000}::BIGINT * 1000000""",
 )
 def _(spark, sf_dir):
-    posts = _submissions(spark, sf_dir)
+    posts = landed_submissions(spark, sf_dir)
     bare = F.when(F.col("created_utc") % 2 < 1, "")
     without = posts.withColumn("id", F.concat(F.lit("n"), F.col("id"))).withColumn("selftext", bare)
     return C.to_contract(P.normalize_submissions(posts.unionByName(without), since=START + 1000.0))
@@ -259,7 +259,7 @@ def _(spark, sf_dir):
        .replace("'c' || conv_id || '-' || turn", "'c' || conv_id || '-' || turn AS external_id")
        .replace("text, NULL", "text AS raw_text, NULL::VARCHAR AS created_at"))
 def _(spark, sf_dir):
-    nothing_new = P.normalize_submissions(_submissions(spark, sf_dir), since=4e9)
+    nothing_new = P.normalize_submissions(landed_submissions(spark, sf_dir), since=4e9)
     return C.first_nonempty_tier([nothing_new, _chats(spark, sf_dir), _reviews(spark, sf_dir)])
 
 
@@ -269,7 +269,7 @@ def _(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 25""",
 )
 def _(spark, sf_dir):
-    capped = C.per_source_cap(_submissions(spark, sf_dir), C.channel_cap(500, 20), "channel", "created_utc")
+    capped = C.per_source_cap(landed_submissions(spark, sf_dir), C.channel_cap(500, 20), "channel", "created_utc")
     return capped.select("id", "channel")
 
 
@@ -333,7 +333,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Posts from a landed feed to the scored table; the second run finds the mark and nothing new."""
-    posts, mark = _submissions(spark, sf_dir), scratch_path(spark, "mark")
+    posts, mark = landed_submissions(spark, sf_dir), scratch_path(spark, "mark")
     W.save_mark(spark.range(1).select(F.lit(START + 1000.0).alias("since_utc")), mark)
 
     def nothing(since):

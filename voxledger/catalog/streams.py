@@ -10,10 +10,11 @@ from voxledger.catalog.incidents import WINDOWS
 from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.catalog.labels import SEEN, keyword_case
 from voxledger.catalog.registry import query
+from voxledger.catalog.sources import FEED, SUBMISSIONS, landed_feeds, landed_submissions
 from voxledger.session import scratch_path
 from voxledger.sources.driver_tables import SCHEMAS, as_feedback, table
 from voxledger.sources.feedback_table import create_feedback_table
-from voxledger.streaming.ingest import stream_ingest
+from voxledger.streaming.ingest import stream_ingest, stream_posts
 from voxledger.streaming.spikes import SpikeStream
 from voxledger.streaming.volume import read_hourly_volume, stream_hourly_volume
 
@@ -84,3 +85,29 @@ def _(spark, sf_dir):
     stored = spark.table(name).select(*columns)
     spark.sql(f"DROP TABLE {name}")
     return stored
+
+
+@query(
+    "stream_posts",
+    f"""WITH {FEED}, {SUBMISSIONS}, src AS (
+      SELECT 'reddit_' || post AS external_id, CASE WHEN body <> '' THEN title || ' - ' || body ELSE title END AS raw_text, posted_at FROM p
+      UNION ALL SELECT 'reddit_' || id, CASE WHEN body <> '' THEN title || ' - ' || trim(body, E' \\t\\n\\r') ELSE title END, posted_at FROM posts),
+      c AS (SELECT *, {Q.clean('raw_text')} AS clean_text FROM src), s AS (SELECT *, {SEEN} FROM c)
+    SELECT external_id, raw_text, clean_text, posted_at AS created_at, {keyword_case(0)} AS category, {keyword_case(1)} AS sentiment,
+      {keyword_case(2)} AS urgency_score FROM s""",
+)
+def _(spark, sf_dir):
+    """Two deliveries; the second shows half the feeds and all submissions once more."""
+    landing = scratch_path(spark, "landing")
+    feeds, posts = landed_feeds(spark, sf_dir), landed_submissions(spark, sf_dir)
+    name, checkpoint = "feedback_" + landing[-12:], scratch_path(spark, "offsets")
+    create_feedback_table(spark, name, scratch_path(spark, "feedback"))
+    for part in (feeds.filter("feed % 2 = 0"), feeds):
+        part.write.mode("append").parquet(f"{landing}/feeds")
+        posts.write.mode("append").parquet(f"{landing}/posts")
+        landed = (spark.readStream.schema(df.schema).parquet(f"{landing}/{kind}") for kind, df in (("feeds", feeds), ("posts", posts)))
+        stream_posts(*landed, keyword_answers, name, checkpoint).awaitTermination()
+    spark.catalog.refreshTable(name)
+    stored = spark.table(name).select("external_id", "raw_text", "clean_text", "created_at", "category", "sentiment", "urgency_score")
+    spark.sql(f"DROP TABLE {name}")
+    return stored

@@ -117,18 +117,47 @@ def with_samples(tickets: DataFrame, members: DataFrame) -> DataFrame:
     return tickets.join(gathered, KEY, "left")
 
 
-def with_action_flag(tickets: DataFrame, actions: DataFrame) -> DataFrame:
-    """``jira_created`` is true when the ticket's stable key was recorded; repeats do not matter."""
-    done = actions.select("ticket_key").distinct().withColumn("_done", F.lit(True))
-    joined = tickets.join(done, "ticket_key", "left")
-    return joined.withColumn("jira_created", F.coalesce("_done", F.lit(False))).drop("_done")
+def recorded(tickets: DataFrame, records: DataFrame, window_minutes: int, *values: str) -> DataFrame:
+    """What was stored for windows, beside the tickets that these windows are now: ``KEY`` and the values.
 
+    ``records`` name a window by category and start, as it was when they were
+    stored; rows that arrived since may have moved it. A record belongs to the
+    ticket of its category whose window shares most time with it (of two, the
+    earlier), and to none where no window shares any. A ticket shows its nearest
+    record; of equally near ones the least by value. Repeats do not matter, records
+    without category or start belong to no ticket.
 
-def with_stored_title(tickets: DataFrame, titles: DataFrame) -> DataFrame:
-    """Show the stored title of a ticket, else its generic one.
+    Records that hold a ``ticket_key`` in place of a start belong to the ticket that
+    has this key now.
 
-    Where several titles are stored for a key, the first by text is shown.
+    Windows that share time start in the same slot of one window's length or in
+    adjacent ones, so both meet in an equality join on category and slot.
     """
-    stored = titles.groupBy("ticket_key").agg(F.min("title").alias("_stored"))
-    joined = tickets.withColumnRenamed("title", "original_title").join(stored, "ticket_key", "left")
+    if "start_us" not in records.columns:
+        records = records.select("ticket_key", *values).join(tickets.select("ticket_key", *KEY), "ticket_key")
+    window_us = window_micros(window_minutes)
+    named = records.select("category", F.col("start_us").alias("_at"), F.struct(F.lit(1), *values).alias("_values"))
+    known = named.groupBy("category", "_at").agg(F.min("_values").alias("_values"))
+    slot = time_slot(F.col("_at"), window_us)
+    known = known.select("*", F.explode(F.array(slot - 1, slot, slot + 1)).alias("_slot"))
+    now = tickets.select(*KEY, time_slot(F.col("start_us"), window_us).alias("_slot"))
+    near = known.join(now, ["category", "_slot"]).withColumn("_gap", F.abs(F.col("start_us") - F.col("_at")))
+    near = near.filter(F.col("_gap") < F.lit(window_us))
+    owner = F.min(F.struct("_gap", "start_us", "_values")).alias("_own")
+    owned = near.groupBy("category", "_at").agg(owner).select("category", "_own.*")
+    nearest = F.min(F.struct("_gap", "_values")).alias("_nearest")
+    return owned.groupBy(*KEY).agg(nearest).select(*KEY, *(F.col("_nearest._values")[v].alias(v) for v in values))
+
+
+def with_action_flag(tickets: DataFrame, actions: DataFrame, window_minutes: int = S.SPIKE_WINDOW_MINUTES) -> DataFrame:
+    """``jira_created`` is true when an action (``category``, ``start_us``) was recorded for the ticket's window."""
+    done = recorded(tickets, actions, window_minutes).withColumn("_done", F.lit(True))
+    joined = tickets.join(done, KEY, "left")
+    return joined.withColumn("jira_created", F.coalesce("_done", F.lit(False))).drop("_done")
+
+
+def with_stored_title(tickets: DataFrame, titles: DataFrame, window_minutes: int = S.SPIKE_WINDOW_MINUTES) -> DataFrame:
+    """Show the title (``category``, ``start_us``, ``title``) stored for the ticket's window, else its generic one."""
+    named = titles.filter("title IS NOT NULL").withColumnRenamed("title", "_stored")
+    joined = tickets.withColumnRenamed("title", "original_title").join(recorded(tickets, named, window_minutes, "_stored"), KEY, "left")
     return joined.withColumn("title", F.coalesce("_stored", "original_title")).drop("_stored")

@@ -28,25 +28,32 @@ def incident_tickets(
 
 
 def generated_titles(tickets: DataFrame, scorer: Scorer) -> DataFrame:
-    """Titles for tickets that have samples, ``ticket_key`` and ``title``, to be stored.
+    """Titles for tickets that have samples, ``ticket_key``, ``title`` and what places them, to be stored.
 
     An answer that is empty, too long or missing leaves the generic title.
     """
     answers = scorer(build_title_prompts(tickets)).select("ticket_key", "response")
-    joined = tickets.select("ticket_key", F.col("title").alias("_generic")).join(answers, "ticket_key")
-    return joined.select("ticket_key", D.accept_title(F.col("response"), F.col("_generic")).alias("title"))
+    joined = tickets.select("ticket_key", *K.KEY, F.col("title").alias("_generic")).join(answers, "ticket_key")
+    return joined.select("ticket_key", *K.KEY, D.accept_title(F.col("response"), F.col("_generic")).alias("title"))
 
 
 def anomalies(
-    tickets: DataFrame, actions: DataFrame | None = None, titles: DataFrame | None = None
+    tickets: DataFrame,
+    actions: DataFrame | None = None,
+    titles: DataFrame | None = None,
+    window_minutes: int = S.SPIKE_WINDOW_MINUTES,
 ) -> DataFrame:
-    """Ticket cards: stored title, recorded action, channel names."""
+    """Ticket cards: stored title, recorded action, channel names.
+
+    Titles and actions are stored by category and start of a window and follow it
+    where rows that arrive late move its start.
+    """
     spark = tickets.sparkSession
     if actions is None:
-        actions = spark.createDataFrame([], "ticket_key string")
+        actions = spark.createDataFrame([], "category string, start_us bigint")
     if titles is None:
-        titles = spark.createDataFrame([], "ticket_key string, title string")
-    cards = K.with_action_flag(K.with_stored_title(tickets, titles), actions)
+        titles = spark.createDataFrame([], "category string, start_us bigint, title string")
+    cards = K.with_action_flag(K.with_stored_title(tickets, titles, window_minutes), actions, window_minutes)
     sources = F.transform(
         F.map_entries("source_counts"),
         lambda e: F.struct(D.source_label(e["key"]).alias("source"), e["value"].alias("count")),
