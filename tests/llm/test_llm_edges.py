@@ -4,9 +4,10 @@ import base64
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from plain import base_spans, components, listed, quality, simhash
 
-from voxledger.llm import bpe, chat, embedding, packing, pii, sharding, toxicity, url_rules
+from voxledger.llm import bpe, chat, copies, embedding, packing, pii, sharding, toxicity, url_rules
 from voxledger.llm import quality as rules
 from voxledger.llm import simhash as prints
 
@@ -287,11 +288,59 @@ def test_embedding(spark):
     rows = [(i, v, "x") for i, v in enumerate(vectors)] + [(None, [1.0, 0.0, 0.0], "y"), (3, [0.0, 1.0, 0.0], "again")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, node string")
     got = sorted((r["vec_id"] is None, r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding.near_duplicates(df, "vec_id", "embedding").collect())
-    want = {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3)}
+    # The row without an id counts as a link of others and shares their component.
+    want = {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (1, 3), None: (3, 0)}
     assert len(got) == len(rows)
     for null, vec_id, links, component, kept in got:
         assert (links, component) == want.get(vec_id, (0, vec_id)) and kept == (not null and vec_id == component)
     assert embedding.near_duplicates(df.limit(0), "vec_id", "embedding").count() == 0
+    nameless = embedding.near_duplicates(df.withColumn("vec_id", F.lit(None).cast("bigint")), "vec_id", "embedding").collect()
+    assert sorted(r["n_links"] for r in nameless) == [0] * 7 + [1] * 2 + [3] * 4
+    assert all(r["component_id"] is None and not r["kept"] for r in nameless)
+
+
+def test_vectors_of_every_length_are_compared(spark, monkeypatch):
+    import numpy as np
+
+    # Few enough sampled that the rarest lengths have no trees of their own.
+    monkeypatch.setattr(embedding, "SAMPLE_ROWS", 300)
+    rng = np.random.default_rng(4)
+    vectors = []
+    for size, n in ((16, 500), (24, 300), (5, 3)):
+        base = rng.standard_normal((n, size))
+        vectors += [v for x in base for v in (x, x + 0.1 * rng.standard_normal(size))]
+    vectors += [np.array([1.0]), np.array([3.0]), np.array([-1.0])]
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding.near_duplicates(df, "vec_id", "embedding").collect()}
+    hits = []
+    for size in {len(v) for v in vectors}:
+        at = [i for i, v in rows if len(v) == size]
+        x = np.array([rows[i][1] for i in at])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        hits += [(at[a], at[b]) for a, b in np.argwhere(np.triu(x @ x.T >= 0.9, 1))]
+    links = [sum(i in pair for pair in hits) for i in range(len(rows))]
+    assert all(got[i]["n_links"] <= links[i] for i in got) and len(got) == len(rows)
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(links)
+    short = [i for i, v in rows if len(v) in (1, 5)]
+    want = components(range(len(rows)), hits)
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (links[i], want[i]) for i in short)
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (0, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted(rows_of(embedding.near_duplicates(df, "vec_id", "embedding")))
+    assert got == [(0, 1, 0, True), (1, 1, 0, False), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_near_copies_with_columns_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, {"a": 2}), (5, text, {"a": 1}), (5, "another text", {}), (None, text + " more", None), (None, "x y", None), (None, "x y", {"b": 1})]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tags map<string, int>")
+    got = sorted((r["doc_id"] or 0, r["text"], str(r["tags"])) for r in copies.keep_first(docs, "doc_id", "text").collect())
+    assert [(i, t) for i, t, _ in got] == [(0, "x y"), (5, "another text"), (5, text)] and got[2][2] == "{'a': 1}"
+    assert copies.keep_first(docs.limit(0), "doc_id", "text").count() == 0
 
 
 def test_dense_leaves_are_split(spark, monkeypatch):

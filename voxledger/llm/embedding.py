@@ -15,6 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -37,6 +38,8 @@ SPILL = 0.06
 PROBE_ROWS, TRIES, LEAST_LINKS, MOST_PARTED, DENSE = 1_024, 8, 50, 0.01, 0.02
 # Rows of one task's block of a leaf, and of one tile of the product.
 BLOCK_ROWS, TILE_ROWS = 8_192, 1_024
+# Tasks that a component's rows are dealt to where they meet its name.
+SALTS = 16
 
 
 class Node(NamedTuple):
@@ -143,16 +146,40 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~bad & F.exists(double, lambda x: x != 0), F.lit(False))
 
 
-def fit_forest(reps: DataFrame, vector: str, rows: int, cosine: float) -> list[Node | int]:
-    """The trees, from a hashed sample of about ``SAMPLE_ROWS`` vectors."""
+def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length and the places of its vectors."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes).tolist():
+        yield size, np.flatnonzero(sizes == size)
+
+
+def fit_forest(reps: DataFrame, vector: str, rows: int, cosine: float) -> dict[int, list[Node | int]]:
+    """Trees for each length, from a hashed sample of about ``SAMPLE_ROWS`` vectors of all lengths.
+
+    A length that is too rare to be in the sample has none: its vectors are one leaf.
+    """
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     part = F.pmod(F.xxhash64(vector, F.lit("sample")), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))
     sample = reps.select(vector).filter(part).toArrow()[vector].combine_chunks()
-    x = unit_rows(sample)
-    # In the order of the components, so that the trees do not depend on the order of arrival.
-    x = x[np.lexsort(x.T)] if len(x) else x
     least = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS * share)) // 2
-    return [fit_tree(x, least, seed, cosine) for seed in range(TREES)]
+    forests = {}
+    for size, at in by_length(sample):
+        x = unit_rows(sample.take(at))
+        # In the order of the components, so that the trees do not depend on the order of arrival.
+        x = x[np.lexsort(x.T)]
+        forests[size] = [fit_tree(x, least, seed, cosine) for seed in range(TREES)]
+    return forests
+
+
+def placed_in(vectors: pa.Array, forests: dict[int, list[Node | int]]) -> list[list[list[int]]]:
+    """The leaves of each vector in each tree of its length."""
+    out: list[list[list[int]]] = [[]] * len(vectors)
+    for size, at in by_length(vectors):
+        x = unit_rows(vectors.take(at))
+        trees = [leaves_of(x, tree) for tree in forests.get(size, [0])]
+        for place, own in zip(at.tolist(), zip(*trees, strict=True), strict=True):
+            out[place] = list(own)
+    return out
 
 
 def tile_hits(x: np.ndarray, a: slice, b: slice, cosine: float) -> np.ndarray:
@@ -223,7 +250,7 @@ def earlier_leaves(signatures: list[list[list[int]]], tree: int, leaf: int) -> n
 
 def _compare(cosine: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in sorted_runs(batches, ["leaf", "lo", "hi"]):
+        for run in sorted_runs(batches, ["size", "leaf", "lo", "hi"]):
             run = run.combine_chunks()
             tree, across = run["tree"][0].as_py(), run["lo"][0].as_py() != run["hi"][0].as_py()
             nodes, copies = run["node"].to_numpy(), run["copies"].to_numpy()
@@ -249,56 +276,53 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, cosine: float
     """One row per vector: the id, ``n_links``, ``component_id`` and ``kept``.
 
     Equal vectors are one class, counted before any shuffle of vectors, and link to
-    each other without being compared. Null and zero vectors, those with null or
-    non-finite components, and those of another length than most link with
-    nothing, nor do rows without an id, which can name no component; where a row
-    links with nothing, its component is its own id. Rows that repeat an id with
-    other vectors share a component. An empty table gives an empty one; other
-    columns are ignored.
+    each other without being compared. Vectors of each length are compared among
+    themselves, by a forest of their own. Null and zero vectors and those with null
+    or non-finite components link with nothing and are their own component. Rows
+    without an id count as links of others; they name no component, so a component
+    that has no id at all is null. Rows that repeat an id with other vectors are rows
+    of their own. An empty table gives an empty one; other columns are ignored.
 
     A leaf of more than ``BLOCK_ROWS`` is compared block by block in several tasks.
     A pair that meets in several leaves is counted in the first of them.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    good = source.filter(usable(F.col("vector")) & F.col("id").isNotNull())
-    lengths = good.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    alone = F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast("bigint").alias("component_id")
-    if lengths is None:
-        return source.select(*alone).withColumn("kept", F.col(id_col).isNotNull())
-    fits = F.coalesce(usable(F.col("vector")) & F.col("id").isNotNull() & (F.size("vector") == lengths["size"]), F.lit(False))
-    classes = source.filter(fits).groupBy("vector").agg(F.min("id").cast("bigint").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "vector-classes")
-    forest = fit_forest(classes, "vector", classes.count(), cosine)
+    fits = usable(F.col("vector"))
+    classes = source.filter(fits).groupBy("vector").agg(F.min("id").cast("bigint").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # Classes are told apart by a number of their own, which the written table fixes.
+    classes = materialize(classes.select("*", F.size("vector").alias("size"), F.monotonically_increasing_id().alias("node")), "vector-classes")
+    forests = fit_forest(classes, "vector", classes.count(), cosine)
 
     @arrow_udf("array<array<int>>")
     def leaves(vectors: pa.Array) -> pa.Array:
-        x = unit_rows(vectors)
-        by_tree = [leaves_of(x, tree) for tree in forest]
-        return pa.array([list(own) for own in zip(*by_tree, strict=True)], pa.list_(pa.list_(pa.int32())))
+        return pa.array(placed_in(vectors, forests), pa.list_(pa.list_(pa.int32())))
 
-    placed = classes.withColumn("leaves", leaves("vector"))
+    placed = classes.drop("least").withColumn("leaves", leaves("vector"))
     each = placed.select("*", F.posexplode("leaves").alias("tree", "own")).select("*", F.explode("own").alias("number"))
     each = each.withColumn("leaf", F.shiftleft(F.col("tree").cast("bigint"), 40) + F.col("number")).drop("own", "number")
-    met = block_pairs(materialize(each, "leaves"), ["leaf"], "vector", BLOCK_ROWS)
+    met = block_pairs(materialize(each, "leaves"), ["size", "leaf"], "node", BLOCK_ROWS)
     compared = (
-        met.select("leaf", "lo", "hi", "mine", "tree", "node", "copies", "vector", "leaves")
-        .repartition("leaf", "lo", "hi")
-        .sortWithinPartitions("leaf", "lo", "hi")
+        met.select("size", "leaf", "lo", "hi", "mine", "tree", "node", "copies", "vector", "leaves")
+        .repartition("size", "leaf", "lo", "hi")
+        .sortWithinPartitions("size", "leaf", "lo", "hi")
         .mapInArrow(_compare(cosine), "node bigint, root bigint, links bigint")
     )
     links = materialize(compared, "vector-links")
     joined = connected_components(links.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "node")
     counted = links.groupBy("node").agg(F.sum("links").alias("others"))
-    known = (
-        classes.select("vector", "node", "copies")
-        .join(counted, "node", "left")
-        .join(joined, "node", "left")
-        .select(
-            "vector",
-            (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
-        )
+    rooted = classes.select("node", "least", "copies").join(counted, "node", "left").join(joined, "node", "left")
+    rooted = materialize(rooted.withColumn("root", F.coalesce("component", "node")).drop("component"), "vector-roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # The name of a large component is asked for in several tasks.
+    salted = named.select("root", "name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    labels = rooted.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"], "left")
+    labels = labels.select(
+        "node",
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
+        F.coalesce("name", "least").alias("component_id"),
     )
+    known = classes.select("vector", "node").join(labels, "node").drop("node")
     linked = source.filter(fits).join(known, "vector").select(F.col("id").alias(id_col), "n_links", "component_id")
+    alone = F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast("bigint").alias("component_id")
     rest = source.filter(~fits).select(*alone)
     return linked.union(rest).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
