@@ -46,7 +46,7 @@ HEADLINE = (
 
 def main() -> None:
     from voxledger.catalog import load
-    from voxledger.session import build_session
+    from voxledger.session import build_session, scratch
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -66,8 +66,9 @@ def main() -> None:
         taken = []
         for _ in range(runs + 1):
             started = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - started)
+            with scratch(spark):
+                queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - started)
         seconds[name] = round(statistics.median(taken[1:]), 3)
         print(name, [round(t, 2) for t in taken], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)

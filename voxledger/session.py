@@ -7,6 +7,9 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark import cloudpickle
@@ -64,9 +67,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"voxledger-{label}-{uuid.uuid4().hex}")
 
 
+# Folders that the innermost open ``scratch`` has to remove; None where none is open.
+_OPEN: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving, also after a failure, every intermediate result written inside.
+
+    Frames made inside read them, so their rows must be collected or written before.
+    """
+    written: list[str] = []
+    token = _OPEN.set(written)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in written:
+            remove(spark, path)
+
+
+def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``build`` makes, written and read back; what was written on the way to it is removed."""
+    path = scratch_folder(spark, label)
+    with scratch(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """As :func:`scratch_path`, for an intermediate result, which an open ``scratch`` removes."""
+    path = scratch_path(spark, label)
+    if (written := _OPEN.get()) is not None:
+        written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back, so later uses do not recompute."""
-    path = scratch_path(df.sparkSession, label)
+    path = scratch_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -76,7 +116,7 @@ def materialize_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
 
     The catalog names the folder only until its reader is made.
     """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession, label)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}"
     placed = df.repartition(buckets, key).sortWithinPartitions(key)
