@@ -182,31 +182,68 @@ def placed_in(vectors: pa.Array, forests: dict[int, list[Node | int]]) -> list[l
     return out
 
 
-def tile_hits(x: np.ndarray, a: slice, b: slice, cosine: float) -> np.ndarray:
-    return x[a] @ x[b].T >= cosine
+class Earlier(NamedTuple):
+    """The leaves before the present one that each row lies in: row ``r`` has ``leaves[starts[r] : starts[r + 1]]``."""
+
+    starts: np.ndarray
+    leaves: np.ndarray
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``rows`` and the leaves there, one entry per row and leaf."""
+        counts = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - (ends - counts), counts)
+        return np.repeat(np.arange(len(rows)), counts), self.leaves[at]
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which rows of one tile lie in an earlier leaf together with which of another."""
+        (rows, own), (columns, other) = self.of(left), self.of(right)
+        both = np.intersect1d(own, other)
+
+        def marks(n: int, places: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+            out = np.zeros((n, len(both)), dtype=np.float32)
+            known = np.isin(leaves, both)
+            out[places[known], np.searchsorted(both, leaves[known])] = 1
+            return out
+
+        return marks(len(left), rows, own) @ marks(len(right), columns, other).T > 0
+
+
+def earlier_leaves(leaves: pa.ListArray, tree: int, leaf: int) -> Earlier:
+    """Of each row's leaves by tree, those in an earlier tree, or in this one with a smaller number."""
+    counts = pc.list_value_length(leaves).to_numpy(zero_copy_only=False)
+    lists = leaves.flatten()
+    held = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    trees = np.arange(len(lists)) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows, trees = np.repeat(np.repeat(np.arange(len(leaves)), counts), held), np.repeat(trees, held)
+    numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    before = (trees < tree) | ((trees == tree) & (numbers < leaf))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows[before], minlength=len(leaves)))])
+    return Earlier(starts, (trees[before].astype(np.int64) << 40) + numbers[before])
 
 
 def compare_leaf(
-    x: np.ndarray, nodes: np.ndarray, copies: np.ndarray, met: np.ndarray, mine: np.ndarray, across: bool, cosine: float
+    x: np.ndarray, nodes: np.ndarray, copies: np.ndarray, met: Earlier, mine: np.ndarray, across: bool, cosine: float
 ) -> tuple[np.ndarray, Union]:
     """New links of a leaf's rows: how many rows each links to, and which nodes hang together.
 
-    ``met`` marks the leaves that come before this one; a pair that shares one was counted there.
+    A pair that shares one of the leaves ``met`` before was counted there. Only tiles
+    are held as matrices, so the memory does not follow the size of the leaf.
     """
     links, found = np.zeros(len(x), dtype=np.int64), Union()
     for i in range(0, len(x), TILE_ROWS):
         a = slice(i, min(len(x), i + TILE_ROWS))
         for j in range(i, len(x), TILE_ROWS):
             b = slice(j, min(len(x), j + TILE_ROWS))
-            hit = tile_hits(x, a, b, cosine)
-            if not hit.any():
-                continue
-            if met.shape[1]:
-                hit &= (met[a] @ met[b].T) == 0
-            if across:
-                hit &= mine[a][:, None] != mine[b][None, :]
+            hit = x[a] @ x[b].T >= cosine
             if i == j:
                 np.fill_diagonal(hit, False)
+            if across:
+                hit &= mine[a][:, None] != mine[b][None, :]
+            rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+            if not len(rows):
+                continue
+            hit[np.ix_(rows, columns)] &= ~met.shared(rows + i, columns + j)
             links[a] += hit @ copies[b]
             if i != j:
                 links[b] += hit.T @ copies[a]
@@ -232,22 +269,6 @@ def _unite(hit: np.ndarray, left: np.ndarray, right: np.ndarray, found: Union) -
         found.join(node, name)
 
 
-def earlier_leaves(signatures: list[list[list[int]]], tree: int, leaf: int) -> np.ndarray:
-    """One column per leaf before this one, of this tree or an earlier, that any row lies in."""
-    seen: dict[tuple[int, int], int] = {}
-    cells = [
-        (row, seen.setdefault((t, other), len(seen)))
-        for row, own in enumerate(signatures)
-        for t in range(tree + 1)
-        for other in own[t]
-        if t < tree or other < leaf
-    ]
-    out = np.zeros((len(signatures), len(seen)), dtype=np.float32)
-    if cells:
-        out[tuple(np.array(cells).T)] = 1
-    return out
-
-
 def _compare(cosine: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["size", "leaf", "lo", "hi"]):
@@ -258,7 +279,7 @@ def _compare(cosine: float):
                 unit_rows(run["vector"].combine_chunks()),
                 nodes,
                 copies,
-                earlier_leaves(run["leaves"].to_pylist(), tree, run["leaf"][0].as_py() & ((1 << 40) - 1)),
+                earlier_leaves(run["leaves"].combine_chunks(), tree, run["leaf"][0].as_py() & ((1 << 40) - 1)),
                 run["mine"].to_numpy(),
                 across,
                 cosine,
