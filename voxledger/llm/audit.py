@@ -23,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from voxledger.session import materialize, scratch_path, ship_by_value
+from voxledger.session import materialize, scratch_folder, ship_by_value
 
 ship_by_value(__name__)
 
@@ -88,7 +88,7 @@ def later_copies(judged: DataFrame) -> DataFrame:
 
 def store_failing(judged: DataFrame) -> dict[str, DataFrame]:
     """One table of failing ids for each filter, in a folder of its own below one shared path."""
-    spark, path = judged.sparkSession, scratch_path(judged.sparkSession, "failing")
+    spark, path = judged.sparkSession, scratch_folder(judged.sparkSession, "failing")
     fails = F.array_compact(F.array(*(F.when(F.col("failed").bitwiseAND(1 << k) != 0, F.lit(f)) for k, f in enumerate(TEXT_FILTERS))))
     texts = judged.select(*KEY, F.explode(fails).alias("filter"))
     stored = texts.unionByName(later_copies(judged).withColumn("filter", F.lit(COPIES)))
