@@ -3,13 +3,16 @@
 Each tree splits the space again and again by a random direction, at the widest
 gap in the middle of the projections. Vectors close to a split go to both sides.
 The trees are fitted on a bounded sample and travel with the tasks; every vector
-is then sent to its leaves in all trees, compared within them, and only pairs
-whose cosine is checked are linked and united.
+is then sent to its leaves in all trees. Leaves that hold many rows are split
+further by trees of their own, fitted in the tasks on a sample of each, so that
+leaves do not grow with the table. Vectors are compared within leaves, and only
+pairs whose cosine is checked are linked and united.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,6 +39,10 @@ SPILL = 0.06
 # Rows of a node's sample whose pairs are looked at, directions tried where they hold so many links, and the share of
 # these that a split may part; a node in which so large a share of all pairs is linked is not split otherwise.
 PROBE_ROWS, TRIES, LEAST_LINKS, MOST_PARTED, DENSE = 1_024, 8, 50, 0.01, 0.02
+# Rows from which a leaf is split by a tree of its own, the rows that fit it, about, and the tasks its rows are dealt to.
+LARGE_ROWS, LARGE_SAMPLE, LARGE_SALTS = 4_096, 4_096, 16
+# A leaf's number has so many bits; the number of its tree lies above them.
+LEAF_BITS = 40
 # Rows of one task's block of a leaf, and of one tile of the product.
 BLOCK_ROWS, TILE_ROWS = 8_192, 1_024
 # Tasks that a component's rows are dealt to where they meet its name.
@@ -171,17 +178,93 @@ def fit_forest(reps: DataFrame, vector: str, rows: int, cosine: float) -> dict[i
     return forests
 
 
-def placed_in(vectors: pa.Array, forests: dict[int, list[Node | int]]) -> list[list[list[int]]]:
-    """The leaves of each vector in each tree of its length."""
-    out: list[list[list[int]]] = [[]] * len(vectors)
+def placed_in(vectors: pa.Array, forests: dict[int, list[Node | int]]) -> list[list[int]]:
+    """The leaves of each vector in all trees of its length."""
+    out: list[list[int]] = [[]] * len(vectors)
     for size, at in by_length(vectors):
         x = unit_rows(vectors.take(at))
         trees = [leaves_of(x, tree) for tree in forests.get(size, [0])]
         for place, own in zip(at.tolist(), zip(*trees, strict=True), strict=True):
-            out[place] = list(own)
+            out[place] = [(t << LEAF_BITS) + leaf for t, leaves in enumerate(own) for leaf in leaves]
     return out
 
 
+def packed(tree: Node | int) -> tuple | int:
+    """A tree as plain tuples, which can be stored."""
+    return (*tree[:3], packed(tree.left), packed(tree.right)) if isinstance(tree, Node) else tree
+
+
+def unpacked(tree: tuple | int) -> Node | int:
+    return Node(*tree[:3], unpacked(tree[3]), unpacked(tree[4])) if isinstance(tree, tuple) else tree
+
+
+def _fit_large(cosine: float):
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in sorted_runs(batches, ["size", "leaf"]):
+            size, leaf, n = (run[c][0].as_py() for c in ("size", "leaf", "held"))
+            x = unit_rows(run["vector"].combine_chunks())
+            x = x[np.lexsort(x.T)]
+            least = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS * len(x) / n)) // 2
+            tree = pickle.dumps(packed(fit_tree(x, least, leaf & 0x7FFFFFFF, cosine)))
+            yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "leaf": pa.array([leaf], pa.int64()), "fitted": [tree]})
+
+    return fit
+
+
+def _place_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        leaves, fitted = batch.column("leaf").to_numpy(), batch.column("fitted")
+        parts: list[list[int]] = [[]] * batch.num_rows
+        for leaf in np.unique(leaves).tolist():
+            for size, inside in by_length(batch.column("vector").take(pa.array(np.flatnonzero(leaves == leaf)))):
+                at = np.flatnonzero(leaves == leaf)[inside]
+                # Written by ``_fit_large`` in this job's own folder.
+                tree = unpacked(pickle.loads(fitted[int(at[0])].as_py()))
+                for place, own in zip(at.tolist(), leaves_of(unit_rows(batch.column("vector").take(pa.array(at))), tree), strict=True):
+                    parts[place] = own
+        kept = [batch.column(c) for c in ("node", "size", "leaf")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.list_(pa.int64()))], names=["node", "size", "leaf", "parts"])
+
+
+def split_large(classes: DataFrame, placed: DataFrame, cosine: float) -> DataFrame:
+    """``node`` and ``leaves``, with every leaf of more than ``LARGE_ROWS`` rows split by a tree of its own.
+
+    This is repeated while leaves are large and their trees split them; a tree that
+    does not (a dense group) leaves its leaf whole for good. Numbers of new leaves are
+    hashes: where two are equal the leaves are one, which loses no pair.
+    """
+    whole = None
+    while True:
+        each = placed.select("node", "size", F.explode("leaves").alias("leaf"))
+        large = each.groupBy("size", "leaf").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > LARGE_ROWS)
+        if whole is not None:
+            large = large.join(whole, ["size", "leaf"], "left_anti")
+        large = materialize(large, "large-leaves")
+        if large.isEmpty():
+            return placed
+        rows = materialize(each.join(large, ["size", "leaf"]), "large-rows")
+        picked = F.pmod(F.xxhash64("node", "leaf", F.lit("sample")), F.col("held")) < F.lit(LARGE_SAMPLE)
+        sample = rows.filter(picked).join(classes.select("node", "vector"), "node").select("size", "leaf", "held", "vector")
+        fitted = sample.repartition("size", "leaf").sortWithinPartitions("size", "leaf").mapInArrow(_fit_large(cosine), "size int, leaf bigint, fitted binary")
+        fitted = materialize(fitted, "large-trees")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(LARGE_SALTS - 1))).alias("salt")
+        dealt = rows.join(classes.select("node", "vector"), "node").withColumn("salt", F.pmod("node", F.lit(LARGE_SALTS)).cast("int"))
+        dealt = dealt.join(fitted.select("*", salts), ["size", "leaf", "salt"]).select("node", "size", "leaf", "vector", "fitted")
+        parts = materialize(dealt.mapInArrow(_place_large, "node bigint, size int, leaf bigint, parts array<bigint>"), "large-parts")
+        # A tree of one leaf has not split.
+        cut = parts.filter(F.exists("parts", lambda p: p > 0)).select("size", "leaf").distinct()
+        cut = materialize(cut, "cut-leaves")
+        done = large.select("size", "leaf").join(cut, ["size", "leaf"], "left_anti")
+        whole = materialize(done if whole is None else whole.union(done), "whole-leaves")
+        number = F.xxhash64("leaf", "part").bitwiseAND(F.lit((1 << LEAF_BITS) - 1))
+        tree = F.shiftleft(F.shiftright("leaf", LEAF_BITS), LEAF_BITS)
+        fresh = parts.join(cut, ["size", "leaf"], "left_semi").select("node", "leaf", F.explode("parts").alias("part"))
+        fresh = fresh.select("node", (tree + number).alias("leaf"))
+        kept = each.join(cut, ["size", "leaf"], "left_anti").select("node", "leaf")
+        leaves = kept.union(fresh).groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+        placed = materialize(placed.select("node", "size").join(leaves, "node"), "placed")
+
+
 class Earlier(NamedTuple):
     """The leaves before the present one that each row lies in: row ``r`` has ``leaves[starts[r] : starts[r + 1]]``."""
 
@@ -209,17 +292,13 @@ class Earlier(NamedTuple):
         return marks(len(left), rows, own) @ marks(len(right), columns, other).T > 0
 
 
-def earlier_leaves(leaves: pa.ListArray, tree: int, leaf: int) -> Earlier:
-    """Of each row's leaves by tree, those in an earlier tree, or in this one with a smaller number."""
+def earlier_leaves(leaves: pa.ListArray, leaf: int) -> Earlier:
+    """Of each row's leaves, those with a smaller number than the present one's."""
     counts = pc.list_value_length(leaves).to_numpy(zero_copy_only=False)
-    lists = leaves.flatten()
-    held = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    trees = np.arange(len(lists)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rows, trees = np.repeat(np.repeat(np.arange(len(leaves)), counts), held), np.repeat(trees, held)
-    numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    before = (trees < tree) | ((trees == tree) & (numbers < leaf))
+    rows, numbers = np.repeat(np.arange(len(leaves)), counts), leaves.flatten().to_numpy(zero_copy_only=False)
+    before = numbers < leaf
     starts = np.concatenate([[0], np.cumsum(np.bincount(rows[before], minlength=len(leaves)))])
-    return Earlier(starts, (trees[before].astype(np.int64) << 40) + numbers[before])
+    return Earlier(starts, numbers[before])
 
 
 def compare_leaf(
@@ -273,13 +352,13 @@ def _compare(cosine: float):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in sorted_runs(batches, ["size", "leaf", "lo", "hi"]):
             run = run.combine_chunks()
-            tree, across = run["tree"][0].as_py(), run["lo"][0].as_py() != run["hi"][0].as_py()
+            across = run["lo"][0].as_py() != run["hi"][0].as_py()
             nodes, copies = run["node"].to_numpy(), run["copies"].to_numpy()
             links, found = compare_leaf(
                 unit_rows(run["vector"].combine_chunks()),
                 nodes,
                 copies,
-                earlier_leaves(run["leaves"].combine_chunks(), tree, run["leaf"][0].as_py() & ((1 << 40) - 1)),
+                earlier_leaves(run["leaves"].combine_chunks(), run["leaf"][0].as_py()),
                 run["mine"].to_numpy(),
                 across,
                 cosine,
@@ -304,7 +383,7 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, cosine: float
     that has no id at all is null. Rows that repeat an id with other vectors are rows
     of their own. An empty table gives an empty one; other columns are ignored.
 
-    A leaf of more than ``BLOCK_ROWS`` is compared block by block in several tasks.
+    A leaf that stays larger than ``BLOCK_ROWS`` is compared block by block in several tasks.
     A pair that meets in several leaves is counted in the first of them.
     """
     source = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
@@ -314,16 +393,16 @@ def near_duplicates(rows: DataFrame, id_col: str, vector_col: str, cosine: float
     classes = materialize(classes.select("*", F.size("vector").alias("size"), F.monotonically_increasing_id().alias("node")), "vector-classes")
     forests = fit_forest(classes, "vector", classes.count(), cosine)
 
-    @arrow_udf("array<array<int>>")
+    @arrow_udf("array<bigint>")
     def leaves(vectors: pa.Array) -> pa.Array:
-        return pa.array(placed_in(vectors, forests), pa.list_(pa.list_(pa.int32())))
+        return pa.array(placed_in(vectors, forests), pa.list_(pa.int64()))
 
-    placed = classes.drop("least").withColumn("leaves", leaves("vector"))
-    each = placed.select("*", F.posexplode("leaves").alias("tree", "own")).select("*", F.explode("own").alias("number"))
-    each = each.withColumn("leaf", F.shiftleft(F.col("tree").cast("bigint"), 40) + F.col("number")).drop("own", "number")
+    placed = materialize(classes.select("node", "size", leaves("vector").alias("leaves")), "placed")
+    placed = split_large(classes, placed, cosine)
+    each = classes.select("node", "size", "copies", "vector").join(placed.drop("size"), "node").select("*", F.explode("leaves").alias("leaf"))
     met = block_pairs(materialize(each, "leaves"), ["size", "leaf"], "node", BLOCK_ROWS)
     compared = (
-        met.select("size", "leaf", "lo", "hi", "mine", "tree", "node", "copies", "vector", "leaves")
+        met.select("size", "leaf", "lo", "hi", "mine", "node", "copies", "vector", "leaves")
         .repartition("size", "leaf", "lo", "hi")
         .sortWithinPartitions("size", "leaf", "lo", "hi")
         .mapInArrow(_compare(cosine), "node bigint, root bigint, links bigint")
