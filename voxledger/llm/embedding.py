@@ -39,8 +39,8 @@ SPILL = 0.06
 # Rows of a node's sample whose pairs are looked at, directions tried where they hold so many links, and the share of
 # these that a split may part; a node in which so large a share of all pairs is linked is not split otherwise.
 PROBE_ROWS, TRIES, LEAST_LINKS, MOST_PARTED, DENSE = 1_024, 8, 50, 0.01, 0.02
-# Rows from which a leaf is split by a tree of its own, the rows that fit it, about, and the tasks its rows are dealt to.
-LARGE_ROWS, LARGE_SAMPLE, LARGE_SALTS = 4_096, 4_096, 16
+# Rows from which a leaf is split by a tree of its own, and the rows that fit it, about.
+LARGE_ROWS, LARGE_SAMPLE = 4_096, 4_096
 # A leaf's number has so many bits; the number of its tree lies above them.
 LEAF_BITS = 40
 # Rows of one task's block of a leaf, and of one tile of the product.
@@ -206,24 +206,22 @@ def _fit_large(cosine: float):
             x = x[np.lexsort(x.T)]
             least = max(LEAF_SAMPLE, math.ceil(LEAF_ROWS * len(x) / n)) // 2
             tree = pickle.dumps(packed(fit_tree(x, least, leaf & 0x7FFFFFFF, cosine)))
-            yield pa.RecordBatch.from_pydict({"size": pa.array([size], pa.int32()), "leaf": pa.array([leaf], pa.int64()), "fitted": [tree]})
+            yield pa.RecordBatch.from_pylist(
+                [{"size": size, "leaf": leaf, "held": n, "fitted": tree}],
+                pa.schema([("size", pa.int32()), ("leaf", pa.int64()), ("held", pa.int64()), ("fitted", pa.binary())]),
+            )
 
     return fit
 
 
-def _place_large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        leaves, fitted = batch.column("leaf").to_numpy(), batch.column("fitted")
-        parts: list[list[int]] = [[]] * batch.num_rows
-        for leaf in np.unique(leaves).tolist():
-            for size, inside in by_length(batch.column("vector").take(pa.array(np.flatnonzero(leaves == leaf)))):
-                at = np.flatnonzero(leaves == leaf)[inside]
-                # Written by ``_fit_large`` in this job's own folder.
-                tree = unpacked(pickle.loads(fitted[int(at[0])].as_py()))
-                for place, own in zip(at.tolist(), leaves_of(unit_rows(batch.column("vector").take(pa.array(at))), tree), strict=True):
-                    parts[place] = own
-        kept = [batch.column(c) for c in ("node", "size", "leaf")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(parts, pa.list_(pa.int64()))], names=["node", "size", "leaf", "parts"])
+def _place_large(rows: pa.Table, trees: pa.Table) -> pa.Table:
+    """Leaves of one leaf's rows in its tree; both tables have been dealt to groups of about ``LARGE_ROWS`` rows."""
+    parts = []
+    if rows.num_rows:
+        # Written by ``_fit_large`` in this job's own folder.
+        tree = unpacked(pickle.loads(trees["fitted"][0].as_py()))
+        parts = leaves_of(unit_rows(rows["vector"].combine_chunks()), tree)
+    return rows.select(["node", "size", "leaf"]).append_column("parts", pa.array(parts, pa.list_(pa.int64())))
 
 
 def split_large(classes: DataFrame, placed: DataFrame, cosine: float) -> DataFrame:
@@ -245,12 +243,14 @@ def split_large(classes: DataFrame, placed: DataFrame, cosine: float) -> DataFra
         rows = materialize(each.join(large, ["size", "leaf"]), "large-rows")
         picked = F.pmod(F.xxhash64("node", "leaf", F.lit("sample")), F.col("held")) < F.lit(LARGE_SAMPLE)
         sample = rows.filter(picked).join(classes.select("node", "vector"), "node").select("size", "leaf", "held", "vector")
-        fitted = sample.repartition("size", "leaf").sortWithinPartitions("size", "leaf").mapInArrow(_fit_large(cosine), "size int, leaf bigint, fitted binary")
-        fitted = materialize(fitted, "large-trees")
-        salts = F.explode(F.sequence(F.lit(0), F.lit(LARGE_SALTS - 1))).alias("salt")
-        dealt = rows.join(classes.select("node", "vector"), "node").withColumn("salt", F.pmod("node", F.lit(LARGE_SALTS)).cast("int"))
-        dealt = dealt.join(fitted.select("*", salts), ["size", "leaf", "salt"]).select("node", "size", "leaf", "vector", "fitted")
-        parts = materialize(dealt.mapInArrow(_place_large, "node bigint, size int, leaf bigint, parts array<bigint>"), "large-parts")
+        fitted = sample.repartition("size", "leaf").sortWithinPartitions("size", "leaf")
+        fitted = materialize(fitted.mapInArrow(_fit_large(cosine), "size int, leaf bigint, held bigint, fitted binary"), "large-trees")
+        # A tree meets its leaf's rows in groups of bounded size, once for each group.
+        groups, key = F.ceil(F.col("held") / F.lit(LARGE_ROWS)), ["size", "leaf", "dealt"]
+        trees = fitted.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
+        dealt = rows.join(classes.select("node", "vector"), "node").withColumn("dealt", F.pmod(F.xxhash64("node", F.lit("dealt")), groups))
+        parts = dealt.groupBy(*key).cogroup(trees.groupBy(*key)).applyInArrow(_place_large, "node bigint, size int, leaf bigint, parts array<bigint>")
+        parts = materialize(parts, "large-parts")
         # A tree of one leaf has not split.
         cut = parts.filter(F.exists("parts", lambda p: p > 0)).select("size", "leaf").distinct()
         cut = materialize(cut, "cut-leaves")
