@@ -36,7 +36,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest id."""
+    """One row of each group of near copies, found by SimHash and BK-trees and by MinHash bands: the one with the smallest id.
+
+    Links are texts whose five-word shingles are alike by four fifths, checked on whole sets.
+    """
     return copies.keep_first(docs, "doc_id", "text")
 
 

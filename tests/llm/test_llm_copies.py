@@ -49,3 +49,36 @@ def test_split_buckets_link_as_whole_ones(spark, corpus, monkeypatch):
     want = sorted(r["doc_id"] for r in copies.keep_first(docs, "doc_id", "text").collect())
     monkeypatch.setattr(copies, "BUCKET_ROWS", 2)
     assert sorted(r["doc_id"] for r in copies.keep_first(docs, "doc_id", "text").collect()) == want
+
+
+def near_docs(spark):
+    """A long text, two copies with another last word, and an unrelated one."""
+    rng = random.Random(5)
+    base, other = ([f"w{rng.randrange(3000)}" for _ in range(400)] for _ in range(2))
+    texts = [base, [*base[:-1], "changed"], [*base[:-1], "again"], other]
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+
+
+def test_trees_alone_link_the_nearest_copies(spark, monkeypatch):
+    docs, buckets = near_docs(spark), copies._buckets
+    monkeypatch.setattr(copies, "_buckets", lambda nodes, *_: buckets(nodes, *_).limit(0))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [0, 3]
+
+
+def test_trees_links_below_the_similarity_are_not_made(spark):
+    docs = near_docs(spark)
+    kept = copies.keep_first(docs, "doc_id", "text", similarity=0.9999).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3]
+
+
+def test_a_joined_group_does_not_meet_itself_again(spark):
+    """Each row of a large component goes to the blocks of the others only, so a bucket grows with its rows."""
+    rows = [(1, i, 0 if i < 3000 else i) for i in range(3010)]
+    buckets = spark.createDataFrame(rows, "bucket bigint, print bigint, component bigint")
+    dealt = copies.bucket_blocks(buckets, 100).collect()
+    assert len(dealt) <= 3000 + 10 * 31
+    sides = {}
+    for r in dealt:
+        sides.setdefault((r["lo"], r["hi"]), set()).add(r["print"])
+    met = {frozenset(p) for prints in sides.values() for p in itertools.combinations(sorted(prints), 2) if max(p) >= 3000}
+    assert len(met) == 3000 * 10 + 45

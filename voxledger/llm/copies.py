@@ -1,11 +1,15 @@
-"""Near copies by the Jaccard similarity of word shingles, checked exactly.
+"""Near copies by SimHash and the Jaccard similarity of word shingles, checked exactly.
 
 A text is the set of its five-word shingles; two texts are linked where the sets'
-Jaccard similarity reaches the threshold. SimHash cannot find these: at 0.8 two
-fingerprints of 64 bits differ in about ten bits, at times in fourteen, and no
-bands of useful width are whole at such a radius. Candidates come from MinHash bands
-instead, of which a pair at 0.8 shares none once in 300,000 pairs; whatever shares
-one is compared by its whole sets. Links below the threshold are never made.
+Jaccard similarity reaches the threshold. Each set has a SimHash fingerprint, and
+what the BK-trees of ``simhash`` link is compared by whole sets. Within their radius
+lie only the nearest copies: at 0.8 two fingerprints of 64 bits differ in about ten
+bits, at times in fourteen. So texts that share a MinHash band are compared too; a
+pair at 0.8 shares none once in 300,000 pairs. Links below the threshold are never made.
+
+First every row of a bucket meets the bucket's least row, which joins most of a large
+group at a cost in proportion to its rows. Then only what is not yet joined meets the
+rest of its bucket.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
 from voxledger.llm.components import connected_components
-from voxledger.llm.runs import Union, block_pairs, sorted_runs
+from voxledger.llm.runs import Union, sorted_runs
+from voxledger.llm.simhash import linked_prints, majority
 from voxledger.session import materialize, ship_by_value
 
 ship_by_value(__name__)
@@ -30,8 +35,6 @@ ship_by_value(__name__)
 SHINGLE, SIMILARITY = 5, 0.8
 # Least values in a band, and bands: a pair at 0.8 shares no band with probability (1 - 0.8^4)^24, 3 in a million.
 BAND_ROWS, BANDS = 4, 24
-# Bands compared first; what they link needs no further comparison.
-FIRST_BANDS = 6
 # Texts of one task's block of a bucket; a larger one is split into pairs of blocks.
 BUCKET_ROWS = 2_048
 SEED = 42
@@ -78,10 +81,13 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
 def set_print(shingles: np.ndarray) -> int:
     """A signed number for a whole set."""
-    value = xxh64_intdigest(shingles.tobytes(), SEED)
-    return value - (1 << 64) if value >> 63 else value
+    return _signed(xxh64_intdigest(shingles.tobytes(), SEED))
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -100,16 +106,18 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: Column, shingle: int) -> Column:
-    """``print`` of a text's set and the keys of its bands."""
+    """``print`` of a text's set, its SimHash ``fingerprint`` and the keys of its bands."""
 
-    @arrow_udf("struct<print: bigint, bands: array<bigint>>")
+    @arrow_udf("struct<print: bigint, fingerprint: bigint, bands: array<bigint>>")
     def sketches(texts: pa.Array) -> pa.Array:
-        named, keys = [], []
+        named, near, keys = [], [], []
         for text in texts:
             found = shingle_set(text.as_py(), shingle)
             named.append(set_print(found))
+            near.append(_signed(majority(found)))
             keys.append(bands(found))
-        return pa.StructArray.from_arrays([pa.array(named, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["print", "bands"])
+        columns = [pa.array(named, pa.int64()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=["print", "fingerprint", "bands"])
 
     return sketches(text)
 
@@ -182,15 +190,75 @@ def _links(similarity: float):
     return link
 
 
-def _buckets(nodes: DataFrame, first: int, last: int) -> DataFrame:
+def _buckets(nodes: DataFrame) -> DataFrame:
     """``bucket``, ``print`` and ``component`` of buckets that hold several components; those with the same rows count once."""
-    rows = nodes.select("print", "component", F.explode(F.slice("bands", first + 1, last - first)).alias("bucket"))
+    rows = nodes.select("print", "component", F.explode("bands").alias("bucket"))
     # Two hashes and the number of rows stand for what a bucket holds.
     held = F.bit_xor(F.xxhash64("print")).alias("held"), F.bit_xor(F.xxhash64(F.lit(SEED), "print")).alias("also"), F.count(F.lit(1)).alias("n")
     open_ = rows.groupBy("bucket").agg(*held, F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     return rows.join(open_.groupBy("held", "also", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
+def near_pairs(nodes: DataFrame) -> DataFrame:
+    """Prints ``a`` < ``b`` whose fingerprints the BK-trees link: stars, also of each fingerprint's own prints."""
+    classes = materialize(nodes.groupBy("fingerprint").agg(F.min("print").alias("first")), "fingerprints")
+    of = classes.select("fingerprint", "first")
+    linked = linked_prints(classes, "fingerprint").distinct()
+    linked = linked.join(of.toDF("a", "one"), "a").join(of.toDF("b", "other"), "b").select("one", "other")
+    equal = nodes.select("fingerprint", "print").join(of, "fingerprint").select("first", "print")
+    return _pairs(linked.union(equal))
+
+
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """Prints ``a`` < ``b``: each row of a bucket with the bucket's least."""
+    least = buckets.groupBy("bucket").agg(F.min("print").alias("first"))
+    return _pairs(buckets.join(least, "bucket").select("first", "print"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    one, other = (F.col(c) for c in rows.columns)
+    return rows.filter(one != other).select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose whole sets reach the threshold. A print with many pairs goes to several tasks."""
+
+    @arrow_udf("boolean")
+    def reach(left: pa.Array, right: pa.Array) -> pa.Array:
+        both = ((np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in pair) for pair in zip(left, right, strict=True))
+        return pa.array([alike(a, b, similarity) for a, b in both], pa.bool_())
+
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).cast("int").alias("blocks"))
+    dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    others = dealt.select("a", "b", "block").join(sets.select(F.col("print").alias("b"), F.col("shingles").alias("right")), "b")
+    firsts = sizes.join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("left")), "a")
+    firsts = firsts.select("a", "left", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return others.join(firsts, ["a", "block"]).filter(reach(F.col("left"), F.col("right"))).select("a", "b")
+
+
+def bucket_blocks(buckets: DataFrame, max_rows: int) -> DataFrame:
+    """Rows dealt to pairs of blocks, so that any two rows of a bucket meet once unless both are in its largest component.
+
+    A bucket of at most ``max_rows`` is one block and meets itself. In a larger one the
+    largest component has blocks of its own, which meet the others but not one another.
+    Adds ``mine``, ``lo`` and ``hi`` as :func:`voxledger.llm.runs.block_pairs` does.
+    """
+    parts = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = F.max(F.struct("n", "component")).alias("top")
+    sizes = parts.groupBy("bucket").agg(F.sum("n").alias("held"), top).filter(F.col("held") > F.col("top.n"))
+    whole = F.col("held") <= F.lit(max_rows)
+    mains = F.when(whole, 0).otherwise(F.ceil(F.col("top.n") / F.lit(max_rows))).cast("int")
+    others = F.when(whole, 1).otherwise(F.ceil((F.col("held") - F.col("top.n")) / F.lit(max_rows))).cast("int")
+    sizes = sizes.select("bucket", F.col("top.component").alias("main"), mains.alias("mains"), others.alias("others"))
+    hashed, main = F.xxhash64("print", F.lit("block")), (F.col("component") == F.col("main")) & (F.col("mains") > 0)
+    mine = F.when(main, F.pmod(hashed, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(hashed, F.col("others")))
+    split = buckets.join(sizes, "bucket").withColumn("mine", mine.cast("int"))
+    first = F.when(main, F.col("mains")).otherwise(0)
+    met = split.withColumn("other", F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)))
+    met = met.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    return met.drop("main", "mains", "others", "other")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``print`` and ``shingles`` of the wanted prints, from the texts of their least ids."""
     named = docs.join(wanted.filter("not nameless").select("id", "print"), "id").select("print", "text")
@@ -203,21 +271,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 def components(docs: DataFrame, prints: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """``print`` and ``component`` of every distinct set that links to another."""
-    nodes = prints.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id")).alias("of"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select("print", "of.nameless", "of.id", "bands"), "sets").withColumn("component", F.col("print"))
-    wanted = _buckets(nodes, 0, BANDS).select("print").distinct()
+    firsts = F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")
+    nodes = prints.groupBy("print").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id")).alias("of"), *firsts)
+    # Sets without shingles have no bands and are one print; they link to nothing else.
+    nodes = materialize(nodes.select("print", "of.nameless", "of.id", "fingerprint", "bands"), "sets").withColumn("component", F.col("print"))
+    buckets = materialize(_buckets(nodes), "buckets")
+    pairs = materialize(near_pairs(nodes.filter(F.size("bands") > 0)).union(star_pairs(buckets)).distinct(), "pairs")
+    wanted = buckets.select("print").union(pairs.select("a")).union(pairs.select("b")).distinct()
     sets = materialize(_sets(docs, nodes.select("print", "nameless", "id").join(wanted, "print"), shingle), "shingles")
-    edges, joined = None, None
-    for first, last in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS)):
-        if joined is not None:
-            known = joined.select(F.col("id").alias("print"), F.col("component").alias("known"))
-            nodes = nodes.join(known, "print", "left").withColumn("component", F.coalesce("known", "print")).drop("known")
-        met = block_pairs(materialize(_buckets(nodes, first, last), "buckets"), ["bucket"], "print", BUCKET_ROWS)
-        rows = met.join(sets, "print").select("bucket", "lo", "hi", "mine", "print", "component", "shingles")
-        linked = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_links(similarity), "a bigint, b bigint")
-        linked = materialize(linked, "copy-links")
-        edges = linked if edges is None else edges.union(linked)
-        joined = connected_components(edges)
+    edges = materialize(checked(pairs, sets, similarity), "pair-links")
+    known = connected_components(edges).select(F.col("id").alias("print"), F.col("component").alias("known"))
+    nodes = nodes.join(known, "print", "left").withColumn("component", F.coalesce("known", "print")).drop("known")
+    met = bucket_blocks(materialize(_buckets(nodes), "buckets"), BUCKET_ROWS)
+    rows = met.join(sets, "print").select("bucket", "lo", "hi", "mine", "print", "component", "shingles")
+    linked = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_links(similarity), "a bigint, b bigint")
+    joined = connected_components(edges.union(materialize(linked, "copy-links")))
     return joined.withColumnRenamed("id", "print")
 
 
@@ -230,7 +298,7 @@ def keep_first(docs: DataFrame, id_col: str, text_col: str, similarity: float =
     then by its columns as JSON stays. An empty table gives an empty one.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = materialize(source.select("id", sketch(F.col("text"), shingle).alias("s")).select("id", "s.print", "s.bands"), "prints")
+    prints = materialize(source.select("id", sketch(F.col("text"), shingle).alias("s")).select("id", "s.*"), "prints")
     joined = components(source, prints, similarity, shingle)
     rows = prints.groupBy("id", "print").agg(F.count(F.lit(1)).alias("rows")).join(joined, "print", "left")
     rows = materialize(rows.withColumn("component", F.coalesce("component", "print")), "labelled")

@@ -43,7 +43,11 @@ def simhash(text: str) -> int:
     """Fingerprint of a whole text, as an unsigned number; zero without words."""
     words = text.encode().lower().split()
     grams = zip(*(words[i:] for i in range(SHINGLE)), strict=False) if len(words) >= SHINGLE else [words] if words else []
-    hashes = np.fromiter((xxh64_intdigest(b" ".join(g), SEED) for g in grams), dtype=np.uint64)
+    return majority(np.fromiter((xxh64_intdigest(b" ".join(g), SEED) for g in grams), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
