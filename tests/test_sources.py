@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from helpers import feedback, hours_ago
@@ -62,6 +63,26 @@ def test_seed_posts(spark, tmp_path):
     assert [r.external_id for r in late] == ["a", "reddit_1790597100"]
 
 
+def test_seed_lists_share_a_file(spark, tmp_path):
+    lists = [[{"external_id": f"{k}-{i}", "raw_text": f"text\x1e\n{i}", "created_at": "2026-09-28T12:00:00+00:00"} for i in range(k + 1)] for k in range(4)]
+    (tmp_path / "seed.json").write_text("\x1e".join(json.dumps(posts, indent=2) for posts in lists))
+    rows = P.read_seed_posts(spark, str(tmp_path), limit=2).collect()
+    want = [(f"{k}-{i}", f"text\x1e\n{i}") for k in range(4) for i in range(min(2, k + 1))]
+    assert sorted((r.external_id, r.raw_text) for r in rows) == want
+
+
+def test_seed_query_writes_no_file_per_list(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+    from voxledger.catalog import sources
+
+    path = str(tmp_path / "seed")
+    monkeypatch.setattr(sources, "scratch_path", lambda *_: path)
+    docs = [(i, f"text {i}", "en", "s", 6) for i in range(2000)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    assert __spark_entry__.queries()["read_seed_posts"](spark, str(tmp_path)).count() == 2 * (50 * 25 - 21)
+    # 100 lists.
+    assert sum(name.endswith(".txt") for _, _, names in os.walk(path) for name in names) < 30
+
 def test_submissions(spark):
     posts = spark.createDataFrame(
         [

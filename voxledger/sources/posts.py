@@ -18,6 +18,8 @@ FEED_TYPE = (
     "entry array<struct<id: string, title: string, updated: string, "
     "content: struct<_VALUE: string, _type: string>>>"
 )
+# The record separator of JSON text sequences (RFC 7464), which JSON itself holds only escaped.
+SEED_END = "\x1e"
 SEED_TYPE = "array<struct<source: string, external_id: string, raw_text: string, created_at: string>>"
 
 
@@ -74,8 +76,8 @@ def parse_seed_posts(
 
 
 def read_seed_posts(spark: SparkSession, path: str, limit: int = 25, since: float | None = None) -> DataFrame:
-    """Post lists from files that each hold one JSON array."""
-    return parse_seed_posts(spark.read.text(path, wholetext=True), "value", limit, since)
+    """Post lists from files that each hold one JSON array, or several parted by ``SEED_END``."""
+    return parse_seed_posts(spark.read.text(path, lineSep=SEED_END), "value", limit, since)
 
 
 def normalize_submissions(posts: DataFrame, since: float | None = None) -> DataFrame:
