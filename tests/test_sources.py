@@ -1,9 +1,11 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from helpers import feedback, hours_ago
+from pyspark.sql import functions as F
 
 from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.operators.priority import score
@@ -83,6 +85,58 @@ def test_seed_query_writes_no_file_per_list(spark, tmp_path, monkeypatch):
     # 100 lists.
     assert sum(name.endswith(".txt") for _, _, names in os.walk(path) for name in names) < 30
 
+def test_loads_keep_equal_texts_together(spark, tmp_path):
+    """Texts as they come, and not in order of time: sorted apart they take five times the room."""
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(200)]
+    rows = [(i, texts[i // 5], texts[i // 5], dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 389 % 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id bigint, raw_text string, clean_text string, created_at timestamp_ntz").coalesce(1)
+
+    def size(path):
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+    T.create_feedback_table(spark, "loads_room", str(tmp_path / "t"))
+    try:
+        T.load_append(df, "loads_room")
+        assert size(T.current_path(spark, str(tmp_path / "t"))) < 15e6
+        T.load_overwrite(df, "loads_room")
+        assert size(T.current_path(spark, str(tmp_path / "t"))) < 15e6
+        assert spark.table("loads_room").count() == 1000
+    finally:
+        spark.sql("DROP TABLE loads_room")
+
+
+@pytest.mark.parametrize("repeats", [1, 2, 20])
+def test_new_rows_by_the_fewer_ids(spark, repeats):
+    """Rows chosen by the ids to take or to leave, against a plain version."""
+    rng = random.Random(repeats)
+    rows = [(f"e{rng.randrange(60) if k < repeats else 100 + k}" if k % 7 else None, rng.randrange(5), k) for k in range(60)]
+    stored = spark.createDataFrame([(f"e{k}",) for k in (*range(0, 60, 3), 101, 102, 102, 999)], "external_id string")
+    got = T.new_rows(spark.createDataFrame(rows, "external_id string, id bigint, k bigint"), stored).collect()
+    known = {r["external_id"] for r in stored.collect()}
+    least = {}
+    for e, i, _ in rows:
+        if e is not None and e not in known:
+            least[e] = min(i, least.get(e, i))
+    assert sorted(r["k"] for r in got if r["external_id"] is None) == [k for e, _, k in rows if e is None]
+    assert {r["external_id"]: r["id"] for r in got if r["external_id"] is not None} == least
+    assert len(got) == len(least) + sum(e is None for e, _, _ in rows)
+
+
+def test_new_rows_of_a_new_delivery_stay_in_place(spark):
+    delivery = spark.range(1000).select("id", F.concat(F.lit("e"), "id").alias("external_id"), F.lit("text").alias("raw_text"))
+    plan = T.new_rows(delivery, delivery.limit(0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Inner" not in plan and "LeftSemi" not in plan
+
+
+def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path):
+    ids = spark.range(900).select("id", F.expr("concat('e', id div 3)").alias("external_id"), (F.col("id") % 10).alias("doc"))
+    spark.range(10).select(F.col("id").alias("doc"), F.lit("text").alias("raw_text")).write.parquet(f"{tmp_path}/texts")
+    rows = ids.join(spark.read.parquet(f"{tmp_path}/texts"), "doc")
+    plan = T.new_rows(T.to_feedback(rows), spark.createDataFrame([], "external_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    depth = {kind: min(line.index(kind) for line in plan.split("\n") if kind in line) for kind in ("Join Inner", "Join LeftSemi")}
+    assert depth["Join LeftSemi"] > depth["Join Inner"]
+
 def test_submissions(spark):
     posts = spark.createDataFrame(
         [

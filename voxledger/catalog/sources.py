@@ -14,7 +14,7 @@ from voxledger.catalog.registry import query
 from voxledger.catalog.text import body_sql, post_content
 from voxledger.functions.timeparse import epoch_seconds
 from voxledger.plans.ingest import fetch_run
-from voxledger.session import scratch_path
+from voxledger.session import COMPRESSION, scratch_path
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
@@ -52,7 +52,7 @@ def _read_and_forget(spark: SparkSession, name: str, columns: str) -> DataFrame:
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "scan")
-    T.to_feedback(feedback_text(spark, sf_dir)).write.parquet(path)
+    T.to_feedback(feedback_text(spark, sf_dir)).write.parquet(path, compression=COMPRESSION)
     return T.scan_feedback(spark, path).drop("external_id")
 
 

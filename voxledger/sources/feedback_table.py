@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.session import files, folders, make_folder, materialize, remove, rename
+from voxledger.session import COMPRESSION, files, folders, make_folder, materialize, remove, rename
 
 CSV = {
     "escape": '"',
@@ -72,7 +73,7 @@ def scan_feedback_jdbc(spark: SparkSession, lower_id: int, upper_id: int, partit
 def create_feedback_table(spark: SparkSession, name: str, path: str | None = None) -> None:
     """Create the table unless it exists."""
     where = f" LOCATION '{path}'" if path else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMN_DDL}) USING parquet{where}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({COLUMN_DDL}) USING parquet OPTIONS (compression '{COMPRESSION}'){where}")
 
 
 def to_feedback(df: DataFrame) -> DataFrame:
@@ -98,9 +99,9 @@ def to_feedback(df: DataFrame) -> DataFrame:
 
 
 def load_append(df: DataFrame, table: str) -> None:
-    """Insert rows into the committed version. Sorting inside each task keeps the time ranges of row groups narrow."""
+    """Insert rows into the committed version as they come: sorting whole texts would write a large load to disk twice."""
     point_to_current(df.sparkSession, table)
-    to_feedback(df).sortWithinPartitions("created_at").write.insertInto(table)
+    to_feedback(df).write.insertInto(table)
 
 
 def load_overwrite(df: DataFrame, table: str) -> None:
@@ -117,7 +118,7 @@ def load_overwrite(df: DataFrame, table: str) -> None:
     before = _commits(spark, root)
     number = f"{int(before[-1]) + 1 if before else 1:09d}"
     folder = f"{VERSION}{number}-{uuid.uuid4().hex[:8]}"
-    to_feedback(df).sortWithinPartitions("created_at").write.parquet(f"{root}/{folder}")
+    to_feedback(df).write.parquet(f"{root}/{folder}", compression=COMPRESSION)
     aside = f"{root}/_aside-{uuid.uuid4().hex}"
     spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.text(aside)
     commit(spark, root, aside, number)
@@ -138,37 +139,50 @@ def commit(spark: SparkSession, root: str, manifest: str, number: str) -> None:
         raise RuntimeError(f"version {number} of {root} was committed by another job")
 
 
-def unseen_ids(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
-    """Ids of a delivery that are not stored, written once: the first ``order`` of each and how many rows hold that.
+def delivered_ids(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
+    """Each id of a delivery, written once: its first ``order``, how many rows hold that (``n``) and the id (``rows``), and whether it is ``stored``.
 
     Only ids and their order are read and moved. Each task counts equal ones before the
     shuffle, so an id repeated a billion times is not a hot group. Stored ids are first
     narrowed to those of the delivery, so a small delivery does not shuffle the table.
     """
     identified = incoming.filter("external_id IS NOT NULL").groupBy("external_id", F.col(order).alias("first"))
-    firsts = identified.agg(F.count(F.lit(1)).alias("n")).groupBy("external_id").agg(F.min(F.struct("first", "n")).alias("at"))
+    counted = identified.agg(F.count(F.lit(1)).alias("n")).groupBy("external_id")
+    firsts = counted.agg(F.min(F.struct("first", "n")).alias("at"), F.sum("n").alias("rows"))
     ids = stored.select("external_id").filter("external_id IS NOT NULL")
-    met = ids.join(firsts.select("external_id"), "external_id", "left_semi")
-    return materialize(firsts.join(met, "external_id", "left_anti").select("external_id", "at.*"), "unseen")
+    met = ids.join(firsts.select("external_id"), "external_id", "left_semi").distinct().withColumn("stored", F.lit(True))
+    known = firsts.join(met, "external_id", "left")
+    return materialize(known.select("external_id", "at.*", "rows", F.coalesce("stored", F.lit(False)).alias("stored")), "delivered")
 
 
 def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataFrame:
     """Incoming rows whose ``external_id`` is not stored yet, one per id: the first by ``order``.
 
-    Rows without an id always pass and are not moved. The others meet the unseen ids
-    once, where these are few without a shuffle of the rows. Only where several rows
-    of an id come first together is one of them picked.
+    Rows without an id always pass and are not moved. The others are told by the ids to
+    take or by those to leave, whichever are fewer; where these are few the rows are not
+    shuffled. The joins keep or drop whole rows, so Spark may do them before texts are
+    attached. Only where several rows of an id come first together is one of them picked.
     """
-    unseen = unseen_ids(incoming, stored, order)
-    same = F.col(order).eqNullSafe(F.col("first"))
-
-    def met(ids: DataFrame) -> DataFrame:
-        found = incoming.filter("external_id IS NOT NULL").join(ids.withColumnRenamed("external_id", "_met"), F.col("external_id") == F.col("_met"))
-        return found.filter(same).select(*incoming.columns)
-
-    alone, tied = unseen.filter("n = 1"), unseen.filter("n > 1")
-    out = incoming.filter("external_id IS NULL").unionByName(met(alone))
-    return out if tied.isEmpty() else out.unionByName(met(tied).dropDuplicates(["external_id"]))
+    delivered = delivered_ids(incoming, stored, order)
+    alone, repeated, tied = "not stored AND rows = 1", "not stored AND rows > 1 AND n = 1", "not stored AND n > 1"
+    counts = delivered.agg(*(F.count_if(F.expr(kind)).alias(name) for name, kind in (("alone", alone), ("repeated", repeated), ("tied", tied))), F.count(F.lit(1)).alias("all"))
+    found = counts.first()
+    identified = incoming.filter("external_id IS NOT NULL")
+
+    def met(kind: str) -> DataFrame:
+        ids = delivered.filter(kind).select(F.col("external_id").alias("_met"), "first")
+        same = (F.col("external_id") == F.col("_met")) & F.col(order).eqNullSafe(F.col("first"))
+        return identified.join(ids, same, "left_semi")
+
+    parts = [incoming.filter("external_id IS NULL")]
+    if found["all"] - found["alone"] < found["alone"]:
+        parts.append(identified.join(delivered.filter(f"not ({alone})").select("external_id"), "external_id", "left_anti").select(*incoming.columns))
+        parts += [met(repeated)] if found["repeated"] else []
+    elif found["alone"] + found["repeated"]:
+        parts.append(met("not stored AND n = 1"))
+    if found["tied"]:
+        parts.append(met(tied).dropDuplicates(["external_id"]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def upsert_new_only(incoming: DataFrame, table: str, order: str = "id") -> None:
