@@ -129,13 +129,21 @@ def test_new_rows_of_a_new_delivery_stay_in_place(spark):
     assert "LeftAnti" in plan and "Inner" not in plan and "LeftSemi" not in plan
 
 
-def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path):
-    ids = spark.range(900).select("id", F.expr("concat('e', id div 3)").alias("external_id"), (F.col("id") % 10).alias("doc"))
+def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path, monkeypatch):
     spark.range(10).select(F.col("id").alias("doc"), F.lit("text").alias("raw_text")).write.parquet(f"{tmp_path}/texts")
-    rows = ids.join(spark.read.parquet(f"{tmp_path}/texts"), "doc")
-    plan = T.new_rows(T.to_feedback(rows), spark.createDataFrame([], "external_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    third = F.floor(F.col("id") / 3).cast("string")
+    ids = spark.range(900).select("id", (F.col("id") % 10).alias("doc"), F.lit("Bug").alias("category"))
+    ids = ids.withColumn("external_id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("e"), third)))
+    rows = ids.join(spark.read.parquet(f"{tmp_path}/texts"), "doc").drop("doc").filter("category = 'Bug'")
+    spark.createDataFrame([], "external_id string").createOrReplaceTempView("nothing_stored")
+    chosen = []
+    monkeypatch.setattr(T, "load_append", lambda df, table: chosen.append(df))
+    T.upsert_new_only(rows, "nothing_stored")
+    plan = chosen[0]._jdf.queryExecution().optimizedPlan().toString()
     depth = {kind: min(line.index(kind) for line in plan.split("\n") if kind in line) for kind in ("Join Inner", "Join LeftSemi")}
-    assert depth["Join LeftSemi"] > depth["Join Inner"]
+    assert depth["Join LeftSemi"] > depth["Join Inner"], plan
+    assert chosen[0].count() == 300 + 82
+
 
 def test_submissions(spark):
     posts = spark.createDataFrame(

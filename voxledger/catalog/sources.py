@@ -93,9 +93,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     third = F.floor(F.col("id") / 3).cast("string")
-    rows = feedback_text(spark, sf_dir).withColumn(
-        "external_id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("e"), third))
-    )
+    # Ids are made before texts are joined, so that the upsert can choose rows without them.
+    ids = feedback(spark, sf_dir).withColumn("external_id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("e"), third)))
+    rows = feedback_text(spark, sf_dir, ids)
     name = _new_table(spark)
     T.upsert_new_only(rows.filter("category IN ('Bug', 'Complaint')"), name)
     T.upsert_new_only(rows, name)

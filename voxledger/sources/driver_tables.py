@@ -56,8 +56,9 @@ def cleaned_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("text").alias("raw_text"), clean_text(F.col("text")).alias("clean_text"))
 
 
-def feedback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback rows with text. As in the feedback table, cleaned text is stored, not recomputed."""
+def feedback_text(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Feedback rows, or the given ones made of them, with text. As in the feedback table, cleaned text is stored, not recomputed."""
     documents = materialize(cleaned_documents(table(spark, sf_dir, "documents")), "cleaned")
-    rows = feedback(spark, sf_dir).withColumn("doc_id", F.col("id") % documents.agg(F.count(F.lit(1))).scalar())
+    rows = feedback(spark, sf_dir) if rows is None else rows
+    rows = rows.withColumn("doc_id", F.col("id") % documents.agg(F.count(F.lit(1))).scalar())
     return rows.join(documents, "doc_id").drop("doc_id")

@@ -186,8 +186,14 @@ def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataF
 
 
 def upsert_new_only(incoming: DataFrame, table: str, order: str = "id") -> None:
-    """Insert what is new and leave stored rows untouched."""
-    load_append(new_rows(to_feedback(incoming), incoming.sparkSession.table(table), order), table)
+    """Insert what is new and leave stored rows untouched.
+
+    Rows that hold the keys in the table's types are chosen as they come, so that Spark
+    may choose below the caller's joins; absent columns are filled in for what is new.
+    """
+    types = {f.name: f.dataType for f in incoming.schema}
+    keyed = all(types.get(f.name) == f.dataType for f in S.FEEDBACK if f.name in ("external_id", order))
+    load_append(new_rows(incoming if keyed else to_feedback(incoming), incoming.sparkSession.table(table), order), table)
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
