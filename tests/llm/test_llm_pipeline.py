@@ -4,8 +4,10 @@ import itertools
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from plain import SPACE, base_spans, components, quality
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +106,20 @@ def test_odd_documents(spark, odd_docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES if name != "pii"])
+def test_stages_bound_what_goes_to_a_worker_at_once(spark, sf_dir, stage):
+    """Long rows go to Python workers in batches of a few MB, and not in one of 10,000 rows or 64 MB."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dict(corpus_pipeline.STAGES)[stage](spark, docs, sf_dir)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    long = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    found = [r["n"] for r in long.mapInArrow(sizes, "n bigint").collect()]
+    assert sum(found) >= 200 * 100_000
+    assert max(found) <= 5_000_000

@@ -94,7 +94,9 @@ class ChunkTable:
         rows = self._rows(coded.dictionary)[coded.indices.to_numpy()]
         lengths = self.edges[rows + 1] - self.edges[rows]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(self.edges[rows] - ends[:-1], lengths) + np.arange(ends[-1])]
+        places = np.repeat(self.edges[rows] - ends[:-1], lengths)
+        places += np.arange(ends[-1])
+        flat = self.ids[places]
         if self.chunks.nbytes + self.ids.nbytes > TABLE_BYTES:
             self.forget()
         return flat, ends[np.searchsorted(edges, at[1:] - at[0])]

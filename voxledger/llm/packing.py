@@ -149,6 +149,8 @@ def pack_documents(docs: DataFrame, id_col: str, text_col: str, path: str, capac
         packer.finish()
         if packer.closed:
             yield packer.taken(id_type)
+        # The worker goes on to other tasks; what this one held is given back.
+        pa.default_memory_pool().release_unused()
 
     out = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(
         pack, f"doc {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"

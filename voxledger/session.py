@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Codec of what the library writes: texts take about half the room they take by default.
 COMPRESSION = "zstd"
 
+# Bytes of a batch for a Python worker. Beside a task's own rows, Spark and the worker each hold a few batches at once.
+BATCH_BYTES = 4 << 20
+
 # Stateful stream operators with timers need this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,10 +42,11 @@ def build_session(app: str = "voxledger", master: str | None = None, **conf: str
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings that decide results, applied to a session we were handed."""
+    """Runtime settings that decide results or bound memory, applied to a session we were handed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # JSON answers with a repeated key keep the last value.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
