@@ -4,10 +4,12 @@ import itertools
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from plain import components
 
 from voxledger.llm import copies
+from voxledger.llm.runs import Union
 
 
 def shingles(text):
@@ -82,3 +84,27 @@ def test_a_joined_group_does_not_meet_itself_again(spark):
         sides.setdefault((r["lo"], r["hi"]), set()).add(r["print"])
     met = {frozenset(p) for prints in sides.values() for p in itertools.combinations(sorted(prints), 2) if max(p) >= 3000}
     assert len(met) == 3000 * 10 + 45
+
+
+@pytest.mark.parametrize("hi", [0, 1])
+def test_groups_that_merge_while_a_row_meets_them(hi):
+    """A row may join an earlier group with the group it belonged to before; the links are those of all pairs."""
+    first, last = np.arange(10, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)
+    small = [copies.Row(5, first), copies.Row(10, last), copies.Row(11, first)]
+    known = Union()
+    known.join(11, 10)
+    copies.link_bucket(small, [0, 0, hi], 0, hi, 0.8, known)
+    assert {known.find(n) for n in (5, 10, 11)} == {5}
+    rng = random.Random(7)
+    for _ in range(300):
+        names = rng.sample(range(-1000, 1000), 14)
+        rows = [copies.Row(n, np.arange(k := 10 * rng.randrange(5), k + 10, dtype=np.uint64)) for n in names]
+        mine = [rng.randrange(hi + 1) for _ in names]
+        joined = [tuple(rng.sample(names, 2)) for _ in range(5)]
+        found = Union()
+        for a, b in joined:
+            found.join(a, b)
+        copies.link_bucket(rows, mine, 0, hi, 0.8, found)
+        pairs = itertools.combinations(zip(rows, mine, strict=True), 2)
+        links = [(a.name, b.name) for (a, i), (b, j) in pairs if (not hi or i != j) and (a.shingles == b.shingles).all()]
+        assert {n: found.find(n) for n in names} == components(names, [*joined, *links])

@@ -156,7 +156,8 @@ def link_bucket(rows: list[Row], mine: list[int], lo: int, hi: int, similarity:
     def meet(row: Row) -> int:
         for root in list(groups):
             top = found.find(row.name)
-            if root != top and any(alike(row.shingles, other.shingles, similarity) for other in groups[root]):
+            # A group the row was in may have gone into another one that it met before.
+            if root in groups and root != top and any(alike(row.shingles, other.shingles, similarity) for other in groups[root]):
                 found.join(row.name, root)
                 new = found.find(root)
                 joined = [*groups.pop(root), *(groups.pop(top, []))]
