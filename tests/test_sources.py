@@ -2,21 +2,25 @@ import datetime as dt
 import json
 import os
 import random
+import time
 
 import pytest
 from helpers import feedback, hours_ago
 from pyspark.sql import functions as F
 
+from voxledger import session
+from voxledger.catalog import load
 from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.operators.priority import score
 from voxledger.plans import backlog as B
 from voxledger.plans.ingest import fetch_run, ingest_run, upsert_run, with_ids
-from voxledger.session import files, folders
+from voxledger.session import files, folders, scratch, settings
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
 from voxledger.sources import watermark as W
 
+from voxledger.sources.driver_tables import feedback_text
 FEED = """<feed xmlns="http://www.w3.org/2005/Atom">
   <entry><id>thread/t3_k9x</id><updated>2031-03-02T08:30:00+00:00</updated><title>  Map view goes grey</title>
     <content type="html">&lt;!-- SC_OFF --&gt;Tiles &amp;lt;gone&amp;gt; after &lt;i&gt;zooming&lt;/i&gt;, twice&lt;!-- SC_ON --&gt; [comments]</content></entry>
@@ -107,6 +111,63 @@ def test_loads_keep_equal_texts_together(spark, tmp_path):
 
 
 @pytest.mark.parametrize("repeats", [1, 2, 20])
+def documents_and_events(spark, root):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs.withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.lit(1).cast("bigint")}).write.parquet(f"{root}/documents.parquet")
+    kind = F.element_at(F.array(F.lit("error"), F.lit("click"), F.lit("view")), (F.col("id") % 3 + 1).cast("int"))
+    events = spark.range(300).select(
+        F.col("id").alias("event_id"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"),
+        kind.alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    events.write.parquet(f"{root}/events.parquet")
+
+
+def test_texts_are_shuffled_once_however_often_they_are_loaded(spark, tmp_path):
+    documents_and_events(spark, tmp_path)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), scratch(spark):
+        rows = feedback_text(spark, str(tmp_path))
+        for used in (rows, rows.filter("category = 'Bug'")):
+            plan = used._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1, plan
+        assert rows.count() == 300 and {r.raw_text for r in rows.collect()} == {f"text {i}" for i in range(60)}
+
+
+@pytest.fixture
+def own_shared(tmp_path, monkeypatch):
+    folder = str(tmp_path / "shared")
+    os.makedirs(folder)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: folder)
+    return folder
+
+
+@pytest.mark.parametrize("name", ["scan_feedback", "create_feedback_table", "load_overwrite", "load_append", "upsert_new_only"])
+def test_loads_leave_their_table_alone(spark, tmp_path, own_shared, name):
+    """Neither what was written on the way to the table stays, nor shuffle files."""
+    documents_and_events(spark, tmp_path)
+    shuffles = shuffle_files(spark)
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = load().queries[name](spark, str(tmp_path))
+    left = os.listdir(own_shared)
+    assert len(left) == 1 and left[0].startswith(("voxledger-feedback-", "voxledger-scan-")), left
+    if name != "upsert_new_only":  # it also counts, which is no write
+        wait_until(lambda: shuffle_files(spark) <= shuffles)
+    assert found.count() > 0
+
+
+def shuffle_files(spark):
+    """Those of the session's own block managers."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+
+def wait_until(true):
+    for _ in range(50):
+        if true():
+            return
+        time.sleep(0.1)
+    raise AssertionError("it never came true")
+
+
 def test_new_rows_by_the_fewer_ids(spark, repeats):
     """Rows chosen by the ids to take or to leave, against a plain version."""
     rng = random.Random(repeats)

@@ -14,7 +14,7 @@ from voxledger.catalog.registry import query
 from voxledger.catalog.text import body_sql, post_content
 from voxledger.functions.timeparse import epoch_seconds
 from voxledger.plans.ingest import fetch_run
-from voxledger.session import COMPRESSION, scratch_path
+from voxledger.session import COMPRESSION, drop_shuffles, scratch, scratch_path
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
@@ -52,31 +52,37 @@ def _read_and_forget(spark: SparkSession, name: str, columns: str) -> DataFrame:
 )
 def _(spark, sf_dir):
     path = scratch_path(spark, "scan")
-    T.to_feedback(feedback_text(spark, sf_dir)).write.parquet(path, compression=COMPRESSION)
+    with scratch(spark), drop_shuffles(spark):
+        T.to_feedback(feedback_text(spark, sf_dir)).write.parquet(path, compression=COMPRESSION)
     return T.scan_feedback(spark, path).drop("external_id")
 
 
 @query("create_feedback_table", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows")
 def _(spark, sf_dir):
     name = _new_table(spark)
-    T.load_append(feedback_text(spark, sf_dir), name)
+    with scratch(spark):
+        T.load_append(feedback_text(spark, sf_dir), name)
     T.create_feedback_table(spark, name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
 
 
 @query("load_overwrite", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows")
 def _(spark, sf_dir):
-    rows, name = feedback_text(spark, sf_dir), _new_table(spark)
-    T.load_append(rows.withColumn("category", F.lit("Spam")), name)
-    T.load_overwrite(rows, name)
+    name = _new_table(spark)
+    with scratch(spark):
+        rows = feedback_text(spark, sf_dir)
+        T.load_append(rows.withColumn("category", F.lit("Spam")), name)
+        T.load_overwrite(rows, name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
 
 
 @query("load_append", FB + f"SELECT {LABEL_COLUMNS} FROM fb_rows UNION ALL SELECT {LABEL_COLUMNS} FROM fb_rows WHERE category = 'Bug'")
 def _(spark, sf_dir):
-    rows, name = feedback_text(spark, sf_dir), _new_table(spark)
-    T.load_append(rows, name)
-    T.load_append(rows.filter("category = 'Bug'"), name)
+    name = _new_table(spark)
+    with scratch(spark):
+        rows = feedback_text(spark, sf_dir)
+        T.load_append(rows, name)
+        T.load_append(rows.filter("category = 'Bug'"), name)
     return _read_and_forget(spark, name, LABEL_COLUMNS)
 
 
@@ -95,10 +101,11 @@ def _(spark, sf_dir):
     third = F.floor(F.col("id") / 3).cast("string")
     # Ids are made before texts are joined, so that the upsert can choose rows without them.
     ids = feedback(spark, sf_dir).withColumn("external_id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("e"), third)))
-    rows = feedback_text(spark, sf_dir, ids)
     name = _new_table(spark)
-    T.upsert_new_only(rows.filter("category IN ('Bug', 'Complaint')"), name)
-    T.upsert_new_only(rows, name)
+    with scratch(spark):
+        rows = feedback_text(spark, sf_dir, ids)
+        T.upsert_new_only(rows.filter("category IN ('Bug', 'Complaint')"), name)
+        T.upsert_new_only(rows, name)
     return _read_and_forget(spark, name, "external_id, " + LABEL_COLUMNS)
 
 

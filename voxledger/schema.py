@@ -28,6 +28,9 @@ INCIDENT_CATEGORIES = ("Bug", "Complaint")
 SPIKE_THRESHOLD = 5
 SPIKE_WINDOW_MINUTES = 60
 
+# A text and its cleaned form, alike in most rows.
+TEXTS = ("raw_text", "clean_text")
+
 # Model batching and channel defaults.
 BATCH_SIZE = 15
 BATCH_TEXT_CHARS = 1000

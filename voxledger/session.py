@@ -7,13 +7,14 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import AbstractContextManager, contextmanager
 from contextvars import ContextVar
 from functools import lru_cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # Codec of what the library writes: texts take about half the room they take by default.
@@ -47,9 +48,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     # JSON answers with a repeated key keep the last value.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.compression.codec", COMPRESSION)
     return spark
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings of the session for what is run inside; dots are written as two underscores."""
+    wanted = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def drop_shuffles(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of what is written inside go with the end of each write, instead of when the driver collects its garbage."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the session names.
 
@@ -94,13 +115,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def settle(spark: SparkSession, build: Callable[[], DataFrame], label: str) -> DataFrame:
-    """The frame that ``build`` makes, written and read back; what was written on the way to it is removed."""
+def settle(spark: SparkSession, build: Callable[[], DataFrame | None], label: str, alike: Sequence[str] = ()) -> DataFrame | None:
+    """The frame that ``build`` makes, if it makes one, written and read back; what was written on the way to it is removed."""
     path = scratch_folder(spark, label)
     with scratch(spark):
         df = build()
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        return None if df is None else _stored(df, path, alike)
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
@@ -111,14 +131,36 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back, so later uses do not recompute."""
-    path = scratch_folder(df.sparkSession, label)
-    df.write.parquet(path, compression=COMPRESSION)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _together(df: DataFrame, alike: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Columns whose values are alike in a row as one array, and the way back.
+
+    Files hold the elements in turn, so that to the codec the second is nearly a copy of the first.
+    """
+    alike, columns = [c for c in alike if c in df.columns], df.columns
+    if len({df.schema[c].dataType for c in alike}) != 1 or len(alike) == 1:
+        return df, lambda stored: stored
+    packed = df.select(*(c for c in columns if c not in alike), F.array(*alike).alias("_alike"))
+    parts = [F.get("_alike", F.lit(alike.index(c))).alias(c) if c in alike else F.col(c) for c in columns]
+    return packed, lambda stored: stored.select(*parts)
+
+
+def _stored(df: DataFrame, path: str, alike: Sequence[str]) -> DataFrame:
+    packed, unpacked = _together(df, alike)
+    with drop_shuffles(df.sparkSession):
+        packed.write.parquet(path, compression=COMPRESSION)
+    return unpacked(df.sparkSession.read.schema(packed.schema).parquet(path))
+
+
+def materialize(df: DataFrame, label: str, alike: Sequence[str] = ()) -> DataFrame:
+    """Write once to the shared folder and read back, so later uses do not recompute.
+
+    ``alike`` names columns of one type, such as a text and its cleaned form, that are
+    stored side by side where the frame has them; whoever reads one of them reads all.
+    """
+    return _stored(df, scratch_folder(df.sparkSession, label), alike)
 
 
-def materialize_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
+def materialize_buckets(df: DataFrame, key: str, label: str, alike: Sequence[str] = ()) -> DataFrame:
     """As :func:`materialize`, in buckets of ``key``: groupings and joins by it find the rows in place.
 
     The catalog names the folder only until its reader is made.
@@ -126,9 +168,11 @@ def materialize_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
     spark, path = df.sparkSession, scratch_folder(df.sparkSession, label)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}"
-    placed = df.repartition(buckets, key).sortWithinPartitions(key)
-    placed.write.bucketBy(buckets, key).options(path=path, compression=COMPRESSION).saveAsTable(name, format="parquet")
-    kept = spark.table(name)
+    packed, unpacked = _together(df, alike)
+    placed = packed.repartition(buckets, key).sortWithinPartitions(key)
+    with drop_shuffles(spark):
+        placed.write.bucketBy(buckets, key).options(path=path, compression=COMPRESSION).saveAsTable(name, format="parquet")
+    kept = unpacked(spark.table(name))
     spark.sql(f"DROP TABLE {name}")
     return kept
 

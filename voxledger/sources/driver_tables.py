@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxledger import schema as S
 from voxledger.functions.text import clean_text
-from voxledger.session import materialize
+from voxledger.session import materialize_buckets
 
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -57,8 +58,11 @@ def cleaned_documents(documents: DataFrame) -> DataFrame:
 
 
 def feedback_text(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    """Feedback rows, or the given ones made of them, with text. As in the feedback table, cleaned text is stored, not recomputed."""
-    documents = materialize(cleaned_documents(table(spark, sf_dir, "documents")), "cleaned")
+    """Feedback rows, or the given ones made of them, with text. As in the feedback table, cleaned text is stored, not recomputed.
+
+    Texts are stored by their key, so however often the result is used they are shuffled once.
+    """
+    documents = materialize_buckets(cleaned_documents(table(spark, sf_dir, "documents")), "doc_id", "cleaned", S.TEXTS)
     rows = feedback(spark, sf_dir) if rows is None else rows
     rows = rows.withColumn("doc_id", F.col("id") % documents.agg(F.count(F.lit(1))).scalar())
     return rows.join(documents, "doc_id").drop("doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger import schema as S
-from voxledger.session import COMPRESSION, files, folders, make_folder, materialize, remove, rename
+from voxledger.session import COMPRESSION, drop_shuffles, files, folders, make_folder, materialize, remove, rename
 
 CSV = {
     "escape": '"',
@@ -101,7 +101,8 @@ def to_feedback(df: DataFrame) -> DataFrame:
 def load_append(df: DataFrame, table: str) -> None:
     """Insert rows into the committed version as they come: sorting whole texts would write a large load to disk twice."""
     point_to_current(df.sparkSession, table)
-    to_feedback(df).write.insertInto(table)
+    with drop_shuffles(df.sparkSession):
+        to_feedback(df).write.insertInto(table)
 
 
 def load_overwrite(df: DataFrame, table: str) -> None:
@@ -118,7 +119,8 @@ def load_overwrite(df: DataFrame, table: str) -> None:
     before = _commits(spark, root)
     number = f"{int(before[-1]) + 1 if before else 1:09d}"
     folder = f"{VERSION}{number}-{uuid.uuid4().hex[:8]}"
-    to_feedback(df).write.parquet(f"{root}/{folder}", compression=COMPRESSION)
+    with drop_shuffles(spark):
+        to_feedback(df).write.parquet(f"{root}/{folder}", compression=COMPRESSION)
     aside = f"{root}/_aside-{uuid.uuid4().hex}"
     spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.text(aside)
     commit(spark, root, aside, number)
