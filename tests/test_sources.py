@@ -191,6 +191,17 @@ def test_new_rows_of_a_new_delivery_stay_in_place(spark):
 
 
 def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path, monkeypatch):
+def test_few_ids_are_sent_to_the_rows(spark, tmp_path):
+    """Where nearly all rows are new, they are not shuffled by id, whatever Spark makes of the size of the ids."""
+    rows = spark.range(1000).select("id", F.concat(F.lit("e"), F.greatest("id", F.lit(3))).alias("external_id"), F.lit("text").alias("raw_text"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        taken = T.new_rows(spark.read.parquet(f"{tmp_path}/rows"), spark.createDataFrame([("e7",)], "external_id string"))
+        plan = taken._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan, plan
+        assert sorted(r["id"] for r in taken.collect()) == [0, *(i for i in range(4, 1000) if i != 7)]
+
+
     spark.range(10).select(F.col("id").alias("doc"), F.lit("text").alias("raw_text")).write.parquet(f"{tmp_path}/texts")
     third = F.floor(F.col("id") / 3).cast("string")
     ids = spark.range(900).select("id", (F.col("id") % 10).alias("doc"), F.lit("Bug").alias("category"))

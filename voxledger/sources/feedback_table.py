@@ -21,6 +21,9 @@ CSV = {
 COLUMN_DDL = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in S.FEEDBACK)
 
 
+# So many ids are sent to where rows lie, instead of rows being shuffled by id.
+FEW_IDS = 50_000
+
 VERSION = "version-"
 COMMITS = "_commits"
 
@@ -161,9 +164,10 @@ def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataF
     """Incoming rows whose ``external_id`` is not stored yet, one per id: the first by ``order``.
 
     Rows without an id always pass and are not moved. The others are told by the ids to
-    take or by those to leave, whichever are fewer; where these are few the rows are not
-    shuffled. The joins keep or drop whole rows, so Spark may do them before texts are
-    attached. Only where several rows of an id come first together is one of them picked.
+    take or by those to leave, whichever are fewer; where these are few they are sent to the
+    rows, which are not shuffled. The joins keep or drop whole rows, so Spark may do them
+    before texts are attached. Only where several rows of an id come first together is one
+    of them picked.
     """
     delivered = delivered_ids(incoming, stored, order)
     alone, repeated, tied = "not stored AND rows = 1", "not stored AND rows > 1 AND n = 1", "not stored AND n > 1"
@@ -171,19 +175,24 @@ def new_rows(incoming: DataFrame, stored: DataFrame, order: str = "id") -> DataF
     found = counts.first()
     identified = incoming.filter("external_id IS NOT NULL")
 
-    def met(kind: str) -> DataFrame:
+    def sent(ids: DataFrame, count: int) -> DataFrame:
+        return F.broadcast(ids) if count <= FEW_IDS else ids
+
+    def met(kind: str, count: int) -> DataFrame:
         ids = delivered.filter(kind).select(F.col("external_id").alias("_met"), "first")
         same = (F.col("external_id") == F.col("_met")) & F.col(order).eqNullSafe(F.col("first"))
-        return identified.join(ids, same, "left_semi")
+        return identified.join(sent(ids, count), same, "left_semi")
 
     parts = [incoming.filter("external_id IS NULL")]
-    if found["all"] - found["alone"] < found["alone"]:
-        parts.append(identified.join(delivered.filter(f"not ({alone})").select("external_id"), "external_id", "left_anti").select(*incoming.columns))
-        parts += [met(repeated)] if found["repeated"] else []
+    others = found["all"] - found["alone"]
+    if others < found["alone"]:
+        left = sent(delivered.filter(f"not ({alone})").select("external_id"), others)
+        parts.append(identified.join(left, "external_id", "left_anti").select(*incoming.columns))
+        parts += [met(repeated, found["repeated"])] if found["repeated"] else []
     elif found["alone"] + found["repeated"]:
-        parts.append(met("not stored AND n = 1"))
+        parts.append(met("not stored AND n = 1", found["alone"] + found["repeated"]))
     if found["tied"]:
-        parts.append(met(tied).dropDuplicates(["external_id"]))
+        parts.append(met(tied, found["tied"]).dropDuplicates(["external_id"]))
     return reduce(DataFrame.unionByName, parts)
 
 
