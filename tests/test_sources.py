@@ -13,14 +13,15 @@ from voxledger.catalog import load
 from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.operators.priority import score
 from voxledger.plans import backlog as B
+from voxledger.plans import ingest
 from voxledger.plans.ingest import fetch_run, ingest_run, upsert_run, with_ids
 from voxledger.session import files, folders, scratch, settings
 from voxledger.sources import contract as C
 from voxledger.sources import feedback_table as T
 from voxledger.sources import posts as P
 from voxledger.sources import watermark as W
-
 from voxledger.sources.driver_tables import feedback_text
+
 FEED = """<feed xmlns="http://www.w3.org/2005/Atom">
   <entry><id>thread/t3_k9x</id><updated>2031-03-02T08:30:00+00:00</updated><title>  Map view goes grey</title>
     <content type="html">&lt;!-- SC_OFF --&gt;Tiles &amp;lt;gone&amp;gt; after &lt;i&gt;zooming&lt;/i&gt;, twice&lt;!-- SC_ON --&gt; [comments]</content></entry>
@@ -110,7 +111,6 @@ def test_loads_keep_equal_texts_together(spark, tmp_path):
         spark.sql("DROP TABLE loads_room")
 
 
-@pytest.mark.parametrize("repeats", [1, 2, 20])
 def documents_and_events(spark, root):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     docs.withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.lit(1).cast("bigint")}).write.parquet(f"{root}/documents.parquet")
@@ -168,6 +168,7 @@ def wait_until(true):
     raise AssertionError("it never came true")
 
 
+@pytest.mark.parametrize("repeats", [1, 2, 20])
 def test_new_rows_by_the_fewer_ids(spark, repeats):
     """Rows chosen by the ids to take or to leave, against a plain version."""
     rng = random.Random(repeats)
@@ -190,7 +191,6 @@ def test_new_rows_of_a_new_delivery_stay_in_place(spark):
     assert "LeftAnti" in plan and "Inner" not in plan and "LeftSemi" not in plan
 
 
-def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path, monkeypatch):
 def test_few_ids_are_sent_to_the_rows(spark, tmp_path):
     """Where nearly all rows are new, they are not shuffled by id, whatever Spark makes of the size of the ids."""
     rows = spark.range(1000).select("id", F.concat(F.lit("e"), F.greatest("id", F.lit(3))).alias("external_id"), F.lit("text").alias("raw_text"))
@@ -202,6 +202,7 @@ def test_few_ids_are_sent_to_the_rows(spark, tmp_path):
         assert sorted(r["id"] for r in taken.collect()) == [0, *(i for i in range(4, 1000) if i != 7)]
 
 
+def test_upsert_picks_rows_before_texts_are_joined(spark, tmp_path, monkeypatch):
     spark.range(10).select(F.col("id").alias("doc"), F.lit("text").alias("raw_text")).write.parquet(f"{tmp_path}/texts")
     third = F.floor(F.col("id") / 3).cast("string")
     ids = spark.range(900).select("id", (F.col("id") % 10).alias("doc"), F.lit("Bug").alias("category"))
@@ -469,6 +470,37 @@ def test_repeated_deliveries_ask_nothing(spark, table):
     assert stored(spark, table).count() == 2
 
 
+def test_upsert_run_leaves_its_table_alone(spark, table, own_shared):
+    rows = [("tweet", f"e{i}", "crash" if i % 2 else "love", None) for i in range(200)]
+    raw = spark.createDataFrame(rows, "source string, external_id string, raw_text string, created_at string")
+    assert upsert_run(raw, keyword_answers, table) and not upsert_run(raw, keyword_answers, table)
+    assert ingest_run(raw, keyword_answers, table, append=True)
+    assert not os.listdir(own_shared)
+    found = stored(spark, table).groupBy("category").count().collect()
+    assert sorted(map(tuple, found)) == [("Bug", 200), ("Praise", 200)]
+
+
+def test_labels_come_to_the_rows(spark, monkeypatch):
+    """The texts of a delivery are not shuffled once more for their answers."""
+    plans, keep = [], ingest.settle
+
+    def planned(spark, build, *rest):
+        def looked():
+            df = build()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return df
+
+        return keep(spark, looked, *rest)
+
+    monkeypatch.setattr(ingest, "settle", planned)
+    rows = [(i, "tweet", "crash", "crash") for i in range(500)]
+    cleaned = spark.createDataFrame(rows, "id bigint, source string, raw_text string, clean_text string")
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), scratch(spark):
+        got = ingest._labelled(spark, lambda: cleaned, keyword_answers, 15)
+        assert got.filter("category = 'Bug' AND raw_text = 'crash' AND clean_text = 'crash'").count() == 500
+    assert "SortMergeJoin" in plans[0] and plans[0].count("Exchange hash") == 1, plans[0]
+
+
 def test_fetch_survives_a_crash_before_the_mark(spark, table, tmp_path, monkeypatch):
     posts = spark.createDataFrame(
         [(f"p{i}", "ch", f"Post {i}", "late bus", ELEVEN + i, False) for i in range(40)] + [("q", "other", "x", "", ELEVEN, False)],

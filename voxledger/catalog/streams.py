@@ -11,7 +11,7 @@ from voxledger.catalog.keyword_answers import keyword_answers
 from voxledger.catalog.labels import SEEN, keyword_case
 from voxledger.catalog.registry import query
 from voxledger.catalog.sources import FEED, SUBMISSIONS, landed_feeds, landed_submissions
-from voxledger.session import scratch_path
+from voxledger.session import drop_shuffles, scratch, scratch_folder, scratch_path
 from voxledger.sources.driver_tables import SCHEMAS, as_feedback, table
 from voxledger.sources.feedback_table import create_feedback_table
 from voxledger.streaming.ingest import stream_ingest, stream_posts
@@ -98,15 +98,18 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     """Two deliveries; the second shows half the feeds and all submissions once more."""
-    landing = scratch_path(spark, "landing")
     feeds, posts = landed_feeds(spark, sf_dir), landed_submissions(spark, sf_dir)
-    name, checkpoint = "feedback_" + landing[-12:], scratch_path(spark, "offsets")
-    create_feedback_table(spark, name, scratch_path(spark, "feedback"))
-    for part in (feeds.filter("feed % 2 = 0"), feeds):
-        part.write.mode("append").parquet(f"{landing}/feeds")
-        posts.write.mode("append").parquet(f"{landing}/posts")
-        landed = (spark.readStream.schema(df.schema).parquet(f"{landing}/{kind}") for kind, df in (("feeds", feeds), ("posts", posts)))
-        stream_posts(*landed, keyword_answers, name, checkpoint).awaitTermination()
+    table_path, checkpoint = scratch_path(spark, "feedback"), scratch_path(spark, "offsets")
+    name = "feedback_" + table_path[-12:]
+    create_feedback_table(spark, name, table_path)
+    with scratch(spark):
+        landing = scratch_folder(spark, "landing")
+        for part in (feeds.filter("feed % 2 = 0"), feeds):
+            with drop_shuffles(spark):
+                part.write.mode("append").parquet(f"{landing}/feeds")
+            posts.write.mode("append").parquet(f"{landing}/posts")
+            landed = (spark.readStream.schema(df.schema).parquet(f"{landing}/{kind}") for kind, df in (("feeds", feeds), ("posts", posts)))
+            stream_posts(*landed, keyword_answers, name, checkpoint).awaitTermination()
     spark.catalog.refreshTable(name)
     stored = spark.table(name).select("external_id", "raw_text", "clean_text", "created_at", "category", "sentiment", "urgency_score")
     spark.sql(f"DROP TABLE {name}")

@@ -62,7 +62,7 @@ def with_item_number(batched: DataFrame) -> DataFrame:
 
 def keep_batches(numbered: DataFrame) -> DataFrame:
     """The rows written once, in a bucket per chunk, so that prompts are built where the texts lie."""
-    return materialize_buckets(numbered, "chunk", "batches")
+    return materialize_buckets(numbered, "chunk", "batches", S.TEXTS)
 
 
 def build_batch_prompts(batched: DataFrame, chars: int = S.BATCH_TEXT_CHARS) -> DataFrame:

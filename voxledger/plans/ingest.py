@@ -12,7 +12,7 @@ from voxledger.functions.text import clean_text
 from voxledger.functions.timeparse import parse_iso
 from voxledger.operators import enrichment as E
 from voxledger.operators.priority import score
-from voxledger.session import materialize
+from voxledger.session import materialize, scratch, settings, settle
 from voxledger.sources import contract as C
 from voxledger.sources.feedback_table import load_append, load_overwrite, new_rows, to_feedback
 from voxledger.sources.posts import newer_than, newest_mark
@@ -44,26 +44,47 @@ def label_rows(cleaned: DataFrame, scorer: E.Scorer, batch_size: int = S.BATCH_S
     return labelled.drop(*E.BATCH, "pos", "item")
 
 
+def _labelled(spark: SparkSession, cleaned: Callable[[], DataFrame | None], scorer: E.Scorer, batch_size: int) -> DataFrame | None:
+    """What :func:`label_rows` makes of the rows, written once; only the result stays. None where there are no rows.
+
+    Rows lie by chunk and answers are far fewer, so the answers come to the rows: that takes
+    joining by chunk and batch what is placed by chunk alone.
+    """
+
+    def label() -> DataFrame | None:
+        rows = cleaned()
+        return None if rows is None else label_rows(rows, scorer, batch_size)
+
+    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        return settle(spark, label, "labelled", S.TEXTS)
+
+
 def ingest_run(
     raw: DataFrame, scorer: E.Scorer, table: str, append: bool = False, batch_size: int = S.BATCH_SIZE
 ) -> bool:
     """Label and score one delivery and load it; False when there was nothing to load."""
     if raw.isEmpty():
         return False
-    labelled = materialize(label_rows(clean_rows(raw), scorer, batch_size), "labelled")
-    (load_append if append else load_overwrite)(score(labelled), table)
+    with scratch(raw.sparkSession):
+        labelled = _labelled(raw.sparkSession, lambda: clean_rows(raw), scorer, batch_size)
+        (load_append if append else load_overwrite)(score(labelled), table)
     return True
 
 
 def upsert_run(raw: DataFrame, scorer: E.Scorer, table: str, batch_size: int = S.BATCH_SIZE) -> bool:
     """Label, score and insert the rows whose ``external_id`` is not stored; no others reach the scorer."""
     spark = raw.sparkSession
-    fresh = materialize(new_rows(clean_rows(raw), spark.table(table)), "fresh")
-    if fresh.isEmpty():
-        return False
-    labelled = materialize(label_rows(fresh, scorer, batch_size), "labelled")
-    # Another job may have stored some of them meanwhile.
-    load_append(new_rows(to_feedback(score(labelled)), spark.table(table)), table)
+
+    def fresh() -> DataFrame | None:
+        rows = materialize(new_rows(clean_rows(raw), spark.table(table)), "fresh", S.TEXTS)
+        return None if rows.isEmpty() else rows
+
+    with scratch(spark):
+        labelled = _labelled(spark, fresh, scorer, batch_size)
+        if labelled is None:
+            return False
+        # Another job may have stored some of them meanwhile.
+        load_append(new_rows(to_feedback(score(labelled)), spark.table(table)), table)
     spark.catalog.refreshTable(table)
     return True
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxledger import schema as S
 from voxledger.operators.enrichment import Scorer
 from voxledger.plans.ingest import upsert_run
-from voxledger.session import STATE_STORE
+from voxledger.session import STATE_STORE, drop_shuffles
 from voxledger.sources.contract import union_sources
 from voxledger.sources.posts import normalize_submissions, parse_atom_feed
 
@@ -25,7 +25,9 @@ def stream_ingest(raw: DataFrame, scorer: Scorer, table: str, checkpoint: str) -
         upsert_run(delivery, scorer, table)
 
     writer = raw.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    # A stream keeps the settings it starts with: shuffled deliveries go when they are loaded.
+    with drop_shuffles(raw.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def once_per_post(raw: DataFrame, repeats: str) -> DataFrame:
